@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import table
+from .line_dedup import line_dedup
+from .minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .token_count import token_counts
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -36,14 +42,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_quality_rules,
         op4_token_counts,
         op5_quality_classifier,
         op6_bpe,
         op7_packing,
+        op10_minhash,
     )
 }
 
