@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
 from .line_dedup import line_dedup
+from .lm_score import lm_scores
 from .minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import quality_scores
@@ -25,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lm_scores(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_words", F.round("lm_score", 6).alias("lm_score"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup,
         op2_quality_rules,
+        op3_lm_score,
         op4_token_counts,
         op5_quality_classifier,
         op6_bpe,
@@ -59,4 +67,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_lm_score": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+total AS (SELECT sum(len(w)) AS words FROM docs),
+tokens AS (SELECT d, doc_id, len(w) AS n_words, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1:i] END AS g2, CASE WHEN i > 2 THEN w[i - 2:i] END AS g3 FROM docs, unnest(range(1, len(w) + 1)) AS u(i)),
+c1 AS (SELECT *, count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, d) AS n1 FROM tokens),
+c2 AS (SELECT *, CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, d) END AS n2 FROM c1),
+c3 AS (SELECT *, CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, d) END AS n3 FROM c2),
+seen AS (SELECT *, lag(n1) OVER (PARTITION BY d ORDER BY i) AS p1, lag(n2) OVER (PARTITION BY d ORDER BY i) AS p2 FROM c3),
+one AS (SELECT seen.*, CASE WHEN n1 > 0 THEN n1 / (words - n_words) ELSE 1 / (words - n_words + 1) END AS s1 FROM seen, total),
+two AS (SELECT *, CASE WHEN i < 2 THEN s1 WHEN n2 > 0 THEN n2 / p1 ELSE 0.4 * s1 END AS s2 FROM one),
+three AS (SELECT *, CASE WHEN i < 3 THEN s2 WHEN n3 > 0 THEN n3 / p2 ELSE 0.4 * s2 END AS s3 FROM two)
+SELECT docs.doc_id, len(any_value(docs.w)) AS n_words, round(avg(log10(s3)), 6) AS lm_score FROM docs LEFT JOIN three USING (d) GROUP BY docs.d, docs.doc_id
+""",
+}
