@@ -17,6 +17,15 @@ FEATURES = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_punct", "n_distinct")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row.
+
+    A plain column may be copied into every place that reads it, also below a filter or inside a lambda, which would
+    compute it for each element. What a generator makes stays where it is.
+    """
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def _times(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).cast("long")
 
@@ -49,13 +58,14 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     some are looked at word by word.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words_of(t)).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+    df = once(once(docs, "_w", words_of(t)), "_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     three = lambda i: [F.element_at("_w", i + k) for k in (1, 2, 3)]
     windows = lambda f: F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), f))
-    df = df.withColumn("_h", windows(lambda i: F.xxhash64(*three(i))))
-    df = df.withColumn("_g", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(windows(lambda i: F.struct(F.concat_ws(" ", *three(i)).alias("g"), i.alias("i"))))))
+    df = once(df, "_h", windows(lambda i: F.xxhash64(*three(i))))
+    df = once(df, "_g", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(windows(lambda i: F.struct(F.concat_ws(" ", *three(i)).alias("g"), i.alias("i"))))))
     repeats = F.when(F.col("_g").isNotNull(), _covered(_repeated("_g"))).otherwise(0)
-    df = df.withColumn(
+    df = once(
+        df,
         "_s",
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
@@ -77,7 +87,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         s["n_symbols"] / chars, s["n_upper"] / chars, s["n_exclaim"] / chars, s["n_digits"] / chars, s["n_punct"] / chars, s["n_dup_lines"] / lines,
         s["n_repeat_words"] / words, s["word_chars"] / words, s["n_words"] / lines, s["n_distinct"] / words, F.log1p(s["n_words"].cast("double")),
     )
-    return df.withColumn("_s", F.struct(*(s[c].alias(c) for c in COUNTS), *(r.alias(n) for r, n in zip(ratios, FEATURES, strict=True))))
+    return once(df, "_s", F.struct(*(s[c].alias(c) for c in COUNTS), *(r.alias(n) for r, n in zip(ratios, FEATURES, strict=True))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
