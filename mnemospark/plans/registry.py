@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def entry(spark):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful")
 
-def queries() -> dict:
-    return {}
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
 
-def oracle_sql() -> dict:
-    return {}
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in PLANS:
+        import_module(f"mnemospark.plans.{name}")
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return queries()["hybrid_search"](spark, "/root/testdata/sf0.001")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
