@@ -136,14 +136,16 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, parts: int
         found = np.concatenate([_freed(f, "<u8") for _, f, _ in rows[1:]]).astype(np.int64)
         lengths, place, grams = _grams(texts, order, WordHashes())
         flat = _all(place, grams)
-        seen = np.unique(flat)
+        seen, index = np.unique(flat, return_inverse=True)
         at = int(np.searchsorted(seen, TOTAL))
         words, found = int(found[at]), np.delete(found, at)
         doc = np.repeat(np.arange(n), lengths)
-        others = []
+        others, begin = [], 0
         for k, g in enumerate(grams):
-            own = place >= k
-            i = np.searchsorted(seen, g[own])
+            own = np.flatnonzero(place >= k)
+            i, begin = index[begin : begin + len(own)], begin + len(own)
+            more = found[i] > 1  # what is counted once is this document's alone
+            own, i = own[more], i[more]
             _, again, times = np.unique(doc[own] * len(seen) + i, return_inverse=True, return_counts=True)
             left = np.zeros(len(g), dtype=np.int64)
             left[own] = found[i] - times[again]
