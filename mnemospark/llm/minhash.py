@@ -142,7 +142,57 @@ def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("n", common).where(100 * F.col("n") >= percent * (F.size("own_u") + F.size("own_v") - F.col("n"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 400_000) -> DataFrame:
+    """Links (u, v) between components within large buckets; rows has band, key, id, component and total, the bucket's shingles.
+
+    A bucket's members are dealt to blocks of about `most` shingles, and each pair of blocks is compared in a task of
+    its own, on full sets through an inverted index. Only links that join two components leave it: fewer than its members.
+    """
+    blocks = F.ceil(F.col("total") / most).cast("int")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def compared(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, component, mine = (t.column(c).to_numpy() for c in ("id", "component", "mine"))
+        lists = t.column("own").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        ends, low, high = np.concatenate([[0], np.cumsum(sizes)]), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        _, terms = np.unique(flat, return_inverse=True)
+        right = np.repeat(mine == high, sizes)
+        order = np.flatnonzero(right)[np.argsort(terms[right], kind="stable")]
+        owner, times = np.repeat(np.arange(len(ids)), sizes)[order], np.bincount(terms[right], minlength=int(terms.max()) + 1)
+        begin = np.cumsum(times) - times
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out: list[tuple[int, int]] = []
+        left = len(root) - 1
+        for x in np.flatnonzero(mine == low):
+            if not left:
+                break
+            asked = terms[ends[x] : ends[x + 1]]
+            n = times[asked]
+            at = np.repeat(begin[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(ids))
+            for y in np.flatnonzero((100 * common >= percent * (sizes[x] + sizes - common)) & (common > 0)):
+                p, q = top(int(component[x])), top(int(component[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                    left -= 1
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return dealt.join(own, "id").groupBy("band", "key", "i", "j").applyInArrow(compared, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, few: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
     Texts with the same words (A-Z in lower case) are one class, shown by its smallest doc_id; only classes are
@@ -150,9 +200,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     candidates if a band of minima agrees (a pair at the threshold escapes all bands once in a million).
 
     Within a band's bucket, links are sought until nothing more can join: each round pairs every class with one leader
-    (another each round), verifies, and joins components; buckets that lie in one component by then are done. What is
-    left after the rounds is compared across components only, pair by pair. So copies never meet all pairs, and no
-    link that would join two components is lost: there is no cap.
+    (another each round), verifies, and joins components; buckets that lie in one component by then are done. In what
+    is left, buckets of up to `few` classes send out their pairs across components; larger ones are compared inside
+    tasks, block by block, and only links that join components leave those. So no bucket sends out the square of its
+    size, and no link that would join two components is lost: there is no cap.
 
     Rows without words (or a null text) have no shingles and link with nothing; rows with a null doc_id are kept
     unlinked, with a null component_id. Rows of one doc_id count as one document; ties go to the smallest id. An empty
@@ -171,12 +222,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     label = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
     for k in range(rounds + 1):
         at = met.join(label, "id")
-        bounds = at.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("turn"), "id", "n_shingles", "bits", "component")).alias("lead")).where("low < high")
+        bounds = at.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("turn"), "id", "n_shingles", "bits", "component")).alias("lead")).where("low < high")
         if k < rounds:
             pairs = at.join(bounds.select("band", "key", "lead"), ["band", "key"]).where("component <> lead.component").select(
                 F.least("id", "lead.id").alias("u"), F.greatest("id", "lead.id").alias("v"), F.col("n_shingles").alias("n_u"), F.col("lead.n_shingles").alias("n_v"), F.col("bits").alias("bits_u"), F.col("lead.bits").alias("bits_v"))
         else:
-            rest = at.join(bounds.select("band", "key"), ["band", "key"])
+            left = at.join(bounds.select("band", "key", "n", "total"), ["band", "key"])
+            rest = left.where(F.col("n") <= few)
             side = lambda x: rest.select("band", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "bits")), F.col("n_shingles").alias(f"n_{x}"))  # noqa: B023, E731
             pairs = side("u").join(side("v"), ["band", "key"]).where("id_u < id_v AND component_u <> component_v").select(
                 F.col("id_u").alias("u"), F.col("id_v").alias("v"), "n_u", "n_v", "bits_u", "bits_v")
@@ -187,6 +239,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
         tested = new if tested is None else tested.union(new)
         found = cut(_linked(new, own, percent))
         links = found if links is None else links.union(found)
+        if k == rounds:
+            links = links.union(cut(_meeting(left.where(F.col("n") > few), own, percent)))
         joined = components(links)
         label = cut(ids.join(joined, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")))
     of_class = classes.join(label, F.col("rep") == F.col("id"), "left").where("members > 1 OR component < rep").select("content", F.coalesce("component", "rep").alias("c"))
