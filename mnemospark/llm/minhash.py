@@ -23,7 +23,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -66,6 +66,13 @@ def minima(own: np.ndarray, mul: np.ndarray, add: np.ndarray, step: int = 8192)
     return best
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: what is made of them stays small too."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _folded(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -76,7 +83,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in _slices(batches):
             n, content, keys, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 words = _folded(text)
@@ -104,7 +111,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in _slices(batches):
             own = [shingles(_folded(t), size, hashes).view(np.int64) for t in b.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate([*own, np.zeros(0, dtype=np.int64)])
@@ -142,7 +149,7 @@ def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("n", common).where(100 * F.col("n") >= percent * (F.size("own_u") + F.size("own_v") - F.col("n"))).select("u", "v")
 
 
-def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 400_000) -> DataFrame:
+def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 200_000) -> DataFrame:
     """Links (u, v) between components within large buckets; rows has band, key, id, component and total, the bucket's shingles.
 
     A bucket's members are dealt to blocks of about `most` shingles, and each pair of blocks is compared in a task of
@@ -178,9 +185,11 @@ def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 400_000)
             if not left:
                 break
             asked = terms[ends[x] : ends[x + 1]]
-            n = times[asked]
-            at = np.repeat(begin[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(ids))
+            common = np.zeros(len(ids), dtype=np.int64)
+            for some in np.array_split(asked, 1 + int(times[asked].sum()) // 200_000):
+                n = times[some]
+                at = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common += np.bincount(owner[at], minlength=len(ids))
             for y in np.flatnonzero((100 * common >= percent * (sizes[x] + sizes - common)) & (common > 0)):
                 p, q = top(int(component[x])), top(int(component[y]))
                 if p != q:
