@@ -25,36 +25,72 @@ class Words:
     and neither its normalizer nor its pattern reaches across it, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, name: str, most: int | None = 400_000):
+    def __init__(self, name: str, most: int | None = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(tokenizer_path(name)), most, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.cut_id, self.cut = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized)
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
+        """Ids of each word. Many words are encoded as one text, with a special token between: the library cuts texts
+        there before all else, so each word is encoded as if alone. Words that hold its string go by themselves."""
+        cut = self.cut.encode()
+        plain = [w for w in words if cut not in w]
+        found: list[bytes] = []
+        for i in range(0, len(plain), 4096):
+            own = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(b"".join([w + cut for w in own]).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends, data = (4 * np.flatnonzero(ids == self.cut_id)).tolist(), ids.tobytes()
+            found += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
+        if len(plain) == len(words):
+            return found
+        alone = {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words if cut in w}
+        there = iter(found)
+        return [alone[w] if w in alone else next(there) for w in words]
+
+    def ids(self, texts: list[bytes], at_once: int = 3_000_000) -> Iterator[bytes]:
+        """Ids of each text. Texts of about at_once bytes are split together, and their unknown words encoded together."""
+        own: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            own.append(text.split())
+            size += len(text)
+            if size >= at_once:
+                yield from self._joined(own)
+                own, size = [], 0
+        yield from self._joined(own)
+
+    def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
+        there = set().union(*split)
+        new = list(there - self.known.keys())
+        if self.most is not None and len(self.known) + len(new) > self.most:
+            self.known, new = {}, list(there)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-        if self.most and len(known) + len(new) > self.most:
-            self.known = known = {}
-            new = list(dict.fromkeys(words))
-        found = dict(zip(new, self.encoded(new), strict=True))
-        known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        return b"".join(known[w] if w in known else found[w] for w in words)
+        known.update(zip(new, self.encoded(new), strict=True))
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+
+    @classmethod
+    def shared(cls, name: str) -> Words:
+        """The one of this worker, whose words stay known from task to task."""
+        if name not in _SHARED:
+            _SHARED[name] = cls(name)
+        return _SHARED[name]
 
     def pieces(self) -> list[str]:
         """The piece of each id."""
         return [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
 
+_SHARED: dict[str, Words] = {}
+
+
 def _pressed(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
@@ -178,7 +214,7 @@ _PIECES: dict[str, list[str]] = {}
 
 def _pieces(name: str) -> list[str]:
     if name not in _PIECES:
-        _PIECES[name] = Words(name).pieces()
+        _PIECES[name] = Words(name, 0).pieces()
     return _PIECES[name]
 
 

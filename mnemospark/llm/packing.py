@@ -72,11 +72,11 @@ def cut_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 204
     """Documents' ids, each ended by id `end`, cut into windows of `size` ids and a rest: one row a piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(name), np.array([end], dtype="<u4").tobytes()
+        words, last = Words.shared(name), np.array([end], dtype="<u4").tobytes()
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = words.ids(text or b"") + last
+            for doc_id, encoded in zip(b.column(0).to_pylist(), words.ids([t or b"" for t in b.column(1).to_pylist()]), strict=True):
+                ids = encoded + last
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     own = ids[4 * start : 4 * (start + size)]
