@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 
 LONGEST = 256
+#: Words of printable ASCII and Latin letters, which are composed already (special tokens begin with <|); and the parts, in lower case, that the tokenizer cuts such words into.
+_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+")
 
 
 class Words:
@@ -25,31 +30,43 @@ class Words:
     and neither its normalizer nor its pattern reaches across it, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, name: str, most: int | None = 1_200_000):
+    def __init__(self, name: str, most: int | None = 600_000, most_parts: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(tokenizer_path(name)), most, {}
+        self.tokenizer, self.most, self.most_parts = Tokenizer.from_file(tokenizer_path(name)), most, most_parts
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut_id, self.cut = next((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized)
+        #: The frequent words of the first texts, in a table small enough for the processor's cache; the others; parts of words.
+        self.often: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.ends = np.array([p.endswith("</w>") for p in self.pieces()])
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Many words are encoded as one text, with a special token between: the library cuts texts
-        there before all else, so each word is encoded as if alone. Words that hold its string go by themselves."""
-        cut = self.cut.encode()
-        plain = [w for w in words if cut not in w]
-        found: list[bytes] = []
-        for i in range(0, len(plain), 4096):
-            own = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(b"".join([w + cut for w in own]).decode(), add_special_tokens=False).ids, dtype="<u4")
-            ends, data = (4 * np.flatnonzero(ids == self.cut_id)).tolist(), ids.tobytes()
-            found += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
-        if len(plain) == len(words):
-            return found
-        alone = {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words if cut in w}
-        there = iter(found)
-        return [alone[w] if w in alone else next(there) for w in words]
+        """Ids of each word. Plain words are looked up part by part; the library encodes the others, and unknown parts."""
+        texts = [w.decode() for w in words]
+        split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        if len(self.parts) > self.most_parts:
+            self.parts = {}
+        parts = self.parts
+        there = set().union(*[s for s in split if s])
+        new = list(there - parts.keys())
+        for i in range(0, len(new), 4096):
+            own = new[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            # each part is one pre-token, and the last id of a pre-token, no other, has the word's end in its piece
+            ends, data = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            parts.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        others = iter(self._by_library([t for t, s in zip(texts, split, strict=True) if s is None]))
+        out = [next(others) if s is None else parts[s[0]] if len(s) == 1 else b"".join([parts[x] for x in s]) for s in split]
+        for x in new:
+            if len(x) > LONGEST:
+                del parts[x]
+        return out
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[bytes], at_once: int = 3_000_000) -> Iterator[bytes]:
         """Ids of each text. Texts of about at_once bytes are split together, and their unknown words encoded together."""
@@ -65,13 +82,18 @@ class Words:
 
     def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
         there = set().union(*split)
+        there -= self.often.keys()
         new = list(there - self.known.keys())
         if self.most is not None and len(self.known) + len(new) > self.most:
             self.known, new = {}, list(there)
-        known = self.known
-        known.update(zip(new, self.encoded(new), strict=True))
+        often, known = self.often, self.known
+        found = dict(zip(new, self.encoded(new), strict=True))
+        known.update(found)
+        if not often:
+            often.update((w, known[w]) for w, _ in Counter(w for words in split for w in words).most_common(25_000) if known[w] and len(w) <= LONGEST)
+        get = often.get
         for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            yield b"".join([get(w) or known[w] for w in words])
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
