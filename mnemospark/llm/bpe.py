@@ -30,7 +30,7 @@ class Words:
     and neither its normalizer nor its pattern reaches across it, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, name: str, most: int | None = 600_000, most_parts: int = 1_000_000):
+    def __init__(self, name: str, most: int | None = 1_500_000, most_parts: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class Words:
             self.parts = {}
         parts = self.parts
         there = set().union(*[s for s in split if s])
-        new = list(there - parts.keys())
+        new = [x for x in there if x not in parts]
         for i in range(0, len(new), 4096):
             own = new[i : i + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -82,10 +82,9 @@ class Words:
 
     def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
         there = set().union(*split)
-        there -= self.often.keys()
-        new = list(there - self.known.keys())
+        new = [w for w in there if w not in self.often and w not in self.known]
         if self.most is not None and len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(there)
+            self.known, new = {}, [w for w in there if w not in self.often]
         often, known = self.often, self.known
         found = dict(zip(new, self.encoded(new), strict=True))
         known.update(found)
