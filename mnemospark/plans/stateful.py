@@ -1 +1,86 @@
-"""To come."""
+"""Stateful queries: claims become operations and fold into facts, in batch and as streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemospark.operators import state as ST
+from mnemospark.streaming import folds
+
+from .registry import query, table
+
+
+def _claims(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.when(F.col("value") >= 50, "high").otherwise("low").alias("value"), F.lit(0.9).alias("confidence"))
+
+
+_OPS = """
+c AS (SELECT user_id AS chain, event_id AS seq, event_type AS key, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS value FROM events),
+o AS (SELECT *, lag(value) OVER w AS before FROM c WINDOW w AS (PARTITION BY chain, key ORDER BY seq)),
+d AS (SELECT *, CASE WHEN before IS NULL THEN 'extend' WHEN before = value THEN 'reinforce' ELSE 'revise' END AS decision FROM o),
+e AS (SELECT *, CAST(sum(CASE WHEN decision = 'revise' THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY seq) AS INT) AS epoch,
+ sum(CASE WHEN decision = 'reinforce' THEN 0 ELSE 1 END) OVER (PARTITION BY chain, key ORDER BY seq) AS run FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY chain, key, run ORDER BY seq) - 1 AS n FROM e)
+"""
+_FOLD = f"WITH {_OPS} SELECT chain, seq, decision, epoch, CASE WHEN decision = 'revise' THEN before END AS closed_value, round(1 - 0.1 / power(2, n), 6) AS confidence FROM f"
+
+
+@query(_FOLD)
+def epoch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.fold(ST.reduced(_claims(table(spark, sf_dir, "events")))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_OPS} SELECT chain, key, max_by(value, seq) AS value, max(seq) AS last_seq, count(*) AS claims, count_if(decision = 'revise') AS revisions FROM f GROUP BY 1, 2")
+def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = ST.reduced(_claims(table(spark, sf_dir, "events")))
+    return ops.groupBy("chain", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("last_seq"), F.count("*").alias("claims"), F.count_if(F.col("op") == "replace").alias("revisions"))
+
+
+def _stream_dir(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-stream-")
+    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events replayed twice over: each comes out once."""
+    e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return folds.run_to_table(spark, folds.once(twice, "event_id", "3650 days").select("event_id", "user_id", "event_type"), "append", _stream_dir(spark))
+
+
+@query(_FOLD)
+def stream_epoch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as the batch fold, from a stream of its operations, with each chain's facts in Spark's state."""
+    ops = ST.reduced(_claims(table(spark, sf_dir, "events")))
+    at = _stream_dir(spark)
+    ops.write.parquet(f"{at}/ops")
+    stream = spark.readStream.schema(ops.schema).parquet(f"{at}/ops")
+    return folds.run_to_table(spark, folds.fold_stream(stream), "append", at).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""
+WITH last AS (SELECT max(ts) AS m FROM events), w AS (SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, start, n FROM w, last WHERE start + INTERVAL 1 HOUR <= m
+""")
+def stream_tumbling_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts from a stream in append mode: hours that the watermark has passed, as no more can come for them."""
+    e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = folds.run_to_table(spark, folds.tumbling(e, late="0 seconds"), "append", _stream_dir(spark))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT user_id AS owner, count(*) AS claims, count(DISTINCT event_type) AS keys, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1
+""")
+def chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("owner")).agg(F.count("*").alias("claims"), F.countDistinct("event_type").alias("keys"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
