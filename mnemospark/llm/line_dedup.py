@@ -129,7 +129,7 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
     deletions by doc_id and text. An empty table gives no rows.
     """
     new = ["n_lines", "removed_lines", "removed_words"]
-    keep = [c for c in docs.columns if c not in {*new, "_v", "_gone"}]
+    keep = [c for c in docs.columns if c not in {*new, "_v", "_w", "_d", "_dl", "_lines", "_gone"}]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -109,7 +109,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, predict_at: float = 0.7,
     doc_id counts as not held out; an empty table gives no rows.
     """
     model = fit(docs, labels, **how)
-    keep = [c for c in docs.columns if c not in {"held_out", "score", "predicted", "_s", "_x"}]
+    keep = [c for c in docs.columns if c not in {"held_out", "score", "predicted", "_w", "_l", "_h", "_g", "_s", "_x"}]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .stats import FEATURES, labelled, with_stats
+from .stats import COUNTS, FEATURES, labelled, with_stats
 
 #: A conjunction: (feature, "<=" or ">", threshold) and so on. A list of them is tried in order; the first that holds rejects.
 Rule = tuple[tuple[str, str, float], ...]
@@ -32,6 +32,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, bins: int
     at = with_stats(labelled(docs.select("doc_id", "text"), labels, fit_rows)).select("doc_id", "_y", "_s.*")
     rows = cut(at.withColumn("_grow", F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) > 0))
     cuts = rows.agg(*(F.percentile_approx(f, [i / bins for i in range(bins + 1)], 10_000).alias(f) for f in FEATURES)).first()
+    if not cuts[FEATURES[0]]:
+        return []
     cuts = {f: [(a + b) / 2 for a, b in pairwise(sorted(set(cuts[f] or [])))] for f in FEATURES}
     rules: list[Rule] = []
     while len(rules) < most_rules:
@@ -46,6 +48,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, bins: int
 
 def _counted(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[tuple[str, str, float], tuple[int, int]]:
     """For each threshold test: rows labelled 0 and 1 for which it holds. A row counts once in one bin of each feature."""
+    if not any(cuts.values()):
+        return {}
     place = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: F.col(f) > c))
     at = F.array(*(F.struct(F.lit(f).alias("f"), place(f).alias("b")) for f in FEATURES if cuts[f]))
     found = rows.select("_y", F.inline(at)).groupBy("f", "b").agg(F.count_if(F.col("_y") == 0).alias("p"), F.count_if(F.col("_y") == 1).alias("n")).collect()
@@ -103,8 +107,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) ->
     """
     rules = learn(docs, labels, fit_rows)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = with_stats(docs.drop("_s"))
-    keep = [c for c in docs.columns if c not in {*new, *FEATURES, "base_failed", "kept", "rule", "_s"}]
+    df = with_stats(docs)
+    keep = [c for c in docs.columns if c not in {*new, *FEATURES, *COUNTS, "base_failed", "kept", "rule", "_w", "_l", "_h", "_g", "_s"}]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.select(*keep, "_s.*").withColumn("base_failed", failed).withColumn("rule", rule_column(rules))
     return df.select(*keep, *new, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")

@@ -52,11 +52,12 @@ def _covered(places: Column) -> Column:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `_s`: the counts of every whole text and the FEATURES. A null text counts as empty.
+    """docs with a struct column `_s` (in place of columns named _w, _l, _h, _g or _s): the counts of every whole text and the FEATURES. A null text counts as empty.
 
     Windows are compared by hash first: without two equal hashes there are no equal windows, so only texts with
     some are looked at word by word.
     """
+    docs = docs.drop("_w", "_l", "_h", "_g", "_s")
     t = F.coalesce(F.col(text), F.lit(""))
     df = once(once(docs, "_w", words_of(t)), "_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     three = lambda i: [F.element_at("_w", i + k) for k in (1, 2, 3)]
