@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers")
+PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
