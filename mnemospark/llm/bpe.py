@@ -23,6 +23,15 @@ _PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+")
 
 
+#: Byte-level BPE writes each byte as a printable character: itself where it is one, else one from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _byte_letters(part: str) -> str:
+    return part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+
+
 class Words:
     """Ids of words, as little-endian unsigned 32-bit integers.
 
@@ -33,10 +42,14 @@ class Words:
     def __init__(self, name: str, most: int | None = 1_500_000, most_parts: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.most, self.most_parts = Tokenizer.from_file(tokenizer_path(name)), most, most_parts
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: The same merges without what comes before them, for parts that are in lower case, composed and split already.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         #: The frequent words of the first texts, in a table small enough for the processor's cache; the others; parts of words.
         self.often: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
@@ -54,7 +67,7 @@ class Words:
         new = [x for x in there if x not in parts]
         for i in range(0, len(new), 4096):
             own = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(map(_byte_letters, own))], add_special_tokens=False)[0].ids, dtype="<u4")
             # each part is one pre-token, and the last id of a pre-token, no other, has the word's end in its piece
             ends, data = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
             parts.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
