@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,10 +17,10 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path
 
 LONGEST = 256
-#: Words of printable ASCII and Latin letters, which are composed already (special tokens begin with <|); and the parts, in lower case, that the tokenizer cuts such words into.
-_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+")
-
+#: Words of printable ASCII and Latin letters, which are composed already and whose lower case is one letter (special
+#: tokens begin with <|); and the parts, in lower case, that the tokenizer cuts words into.
+_PLAIN = r"^[!-~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+_PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 
 #: Byte-level BPE writes each byte as a printable character: itself where it is one, else one from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -32,83 +31,102 @@ def _byte_letters(part: str) -> str:
     return part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
 
 
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of data, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _placed(data: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at each place, given the ids of distinct things and which of them each place holds; and where each ends."""
+    begin, size = (np.cumsum(size) - size)[at], size[at]
+    return _gathered(data, begin, size), np.cumsum(size)
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(i) // 4 for i in ids], dtype=np.int64)
+
+
+def _cut(data: np.ndarray, size: np.ndarray) -> list[bytes]:
+    ends, raw = (4 * np.cumsum(size)).tolist(), data.astype("<u4").tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Words:
     """Ids of words, as little-endian unsigned 32-bit integers.
 
-    A word is a run of bytes other than ASCII white space, as bytes.split() finds it. The tokenizer drops white space
+    A word is a run of characters other than ASCII white space. The tokenizer drops white space
     and neither its normalizer nor its pattern reaches across it, so a text's ids are those of its words in order.
     """
 
-    def __init__(self, name: str, most: int | None = 1_500_000, most_parts: int = 1_200_000):
+    def __init__(self, name: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.most, self.most_parts = Tokenizer.from_file(tokenizer_path(name)), most, most_parts
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(tokenizer_path(name)), most, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         #: The same merges without what comes before them, for parts that are in lower case, composed and split already.
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
-        #: The frequent words of the first texts, in a table small enough for the processor's cache; the others; parts of words.
-        self.often: dict[bytes, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.ends = np.array([p.endswith("</w>") for p in self.pieces()])
 
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Plain words are looked up part by part; the library encodes the others, and unknown parts."""
-        texts = [w.decode() for w in words]
-        split = [_PARTS.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        if len(self.parts) > self.most_parts:
-            self.parts = {}
-        parts = self.parts
-        there = set().union(*[s for s in split if s])
-        new = [x for x in there if x not in parts]
-        for i in range(0, len(new), 4096):
-            own = new[i : i + 4096]
-            ids = np.array(self.merges.encode_batch_fast([" ".join(map(_byte_letters, own))], add_special_tokens=False)[0].ids, dtype="<u4")
+    def ids(self, texts: pa.Array, rows: int = 2_000) -> Iterator[np.ndarray]:
+        """Ids of each text of a string array; null texts have none.
+
+        Words are split and told apart outside Python: only the distinct parts of `rows` texts are looked up here, and
+        ids join back to words, and to all places of the words, by position.
+        """
+        for i in range(0, len(texts), rows):
+            split = pc.ascii_split_whitespace(texts.slice(i, rows).fill_null(""))
+            coded = split.flatten().dictionary_encode()
+            data, size = self.encoded(coded.dictionary)
+            ids, ends = _placed(data, size, coded.indices.to_numpy())
+            cuts = np.concatenate([[0], ends])[np.cumsum(split.value_lengths().to_numpy())]
+            yield from np.split(ids, cuts[:-1]) if len(cuts) else ()
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has. Plain words are encoded by their parts, others by the library."""
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        spaced = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PARTS, r"\1 "))
+        split = pc.ascii_split_whitespace(spaced)
+        coded = split.flatten().dictionary_encode()
+        data, size = _joined(self._looked_up(coded.dictionary.to_pylist(), self._by_merges))
+        data, ends = _placed(data, size, coded.indices.to_numpy())
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
+        if len(spaced) == len(words):
+            return data, np.diff(at)
+        odd, odd_size = _joined(self._looked_up(words.filter(pc.invert(plain)).to_pylist(), self._by_library))
+        which, sizes, begin = plain.to_numpy(zero_copy_only=False), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        sizes[which], begin[which] = np.diff(at), at[:-1]
+        sizes[~which], begin[~which] = odd_size, len(data) + np.cumsum(odd_size) - odd_size
+        return _gathered(np.concatenate([data, odd]), begin, sizes), sizes
+
+    def _looked_up(self, texts: list[str], encode) -> list[bytes]:
+        """Ids of each text, encoded once and then known until there are too many."""
+        new = [t for t in texts if t not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, texts
+        known = self.known
+        known.update(zip(new, encode(new), strict=True))
+        out = [known[t] for t in texts]
+        for t in new:
+            if len(t) > LONGEST:
+                del known[t]
+        return out
+
+    def _by_merges(self, parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(parts), 4096):
+            ids = np.array(self.merges.encode_batch_fast([" ".join(map(_byte_letters, parts[i : i + 4096]))], add_special_tokens=False)[0].ids, dtype="<u4")
             # each part is one pre-token, and the last id of a pre-token, no other, has the word's end in its piece
             ends, data = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
-            parts.update(zip(own, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        others = iter(self._by_library([t for t, s in zip(texts, split, strict=True) if s is None]))
-        out = [next(others) if s is None else parts[s[0]] if len(s) == 1 else b"".join([parts[x] for x in s]) for s in split]
-        for x in new:
-            if len(x) > LONGEST:
-                del parts[x]
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[bytes], at_once: int = 3_000_000) -> Iterator[bytes]:
-        """Ids of each text. Texts of about at_once bytes are split together, and their unknown words encoded together."""
-        own: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            own.append(text.split())
-            size += len(text)
-            if size >= at_once:
-                yield from self._joined(own)
-                own, size = [], 0
-        yield from self._joined(own)
-
-    def _joined(self, split: list[list[bytes]]) -> Iterator[bytes]:
-        there = set().union(*split)
-        new = [w for w in there if w not in self.often and w not in self.known]
-        if self.most is not None and len(self.known) + len(new) > self.most:
-            self.known, new = {}, [w for w in there if w not in self.often]
-        often, known = self.often, self.known
-        found = dict(zip(new, self.encoded(new), strict=True))
-        known.update(found)
-        if not often:
-            often.update((w, known[w]) for w, _ in Counter(w for words in split for w in words).most_common(25_000) if known[w] and len(w) <= LONGEST)
-        get = often.get
-        for words in split:
-            yield b"".join([get(w) or known[w] for w in words])
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+    def _by_library(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     @classmethod
     def shared(cls, name: str) -> Words:
@@ -178,14 +196,16 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
             )
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(name, most=None)
+        encoder = Words.shared(name)
+        table: dict[bytes, bytes] = {}
         for b in batches:
             out = []
             for packed in b.column("words").to_pylist():
                 words = _opened(packed).split(b"\n")
-                new = [w for w in words if w not in table.known]
-                table.known.update(zip(new, table.encoded(new), strict=True))
-                found = [table.known[w] for w in words]
+                new = [w for w in words if w not in table]
+                data, size = encoder.encoded(pa.array([w.decode() for w in new], pa.string()))
+                table.update(zip(new, _cut(data, size), strict=True))
+                found = [table[w] for w in words]
                 out.append(_pressed(np.array([len(i) // 4 for i in found], dtype="<u4").tobytes() + b"".join(found)))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("part"), pa.array(out, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["key", "part", "ids", "docs"])
 
@@ -248,7 +268,7 @@ _PIECES: dict[str, list[str]] = {}
 
 def _pieces(name: str) -> list[str]:
     if name not in _PIECES:
-        _PIECES[name] = Words(name, 0).pieces()
+        _PIECES[name] = Words.shared(name).pieces()
     return _PIECES[name]
 
 

@@ -72,19 +72,18 @@ def cut_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 204
     """Documents' ids, each ended by id `end`, cut into windows of `size` ids and a rest: one row a piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words.shared(name), np.array([end], dtype="<u4").tobytes()
+        words, last = Words.shared(name), np.array([end], dtype="<u4")
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, encoded in zip(b.column(0).to_pylist(), words.ids([t or b"" for t in b.column(1).to_pylist()]), strict=True):
-                ids = encoded + last
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    own = ids[4 * start : 4 * (start + size)]
-                    for column, v in zip(out, (doc_id, start, len(own) // 4, zlib.crc32(own), n), strict=True):
+            for doc_id, encoded in zip(b.column(0).to_pylist(), words.ids(b.column(1)), strict=True):
+                ids = np.concatenate([encoded, last])
+                for start in range(0, len(ids), size):
+                    own = ids[start : start + size]
+                    for column, v in zip(out, (doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids)), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
 
 def pack(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 2048, group: int = 200_000) -> DataFrame:
