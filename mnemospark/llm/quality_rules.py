@@ -99,13 +99,14 @@ def rule_column(rules: list[Rule]) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, train: DataFrame | None = None) -> DataFrame:
     """docs with its statistics, base_failed, rule (the number that rejected it, 0 for none) and kept.
 
-    Needs columns doc_id and text; others pass, and columns of the result's names are replaced. A null text counts as
+    The rules are learned from the labelled documents of `train`, docs itself if none is given. Needs columns doc_id
+    and text; others pass, and columns of the result's names or of the statistics' are replaced. A null text counts as
     empty and fails the base test. Repeated rows and ties are judged row by row; an empty table gives no rows.
     """
-    rules = learn(docs, labels, fit_rows)
+    rules = learn(docs if train is None else train, labels, fit_rows)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     df = with_stats(docs)
     keep = [c for c in docs.columns if c not in {*new, *FEATURES, *COUNTS, "base_failed", "kept", "rule", "_w", "_l", "_h", "_g", "_s"}]
