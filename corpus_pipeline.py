@@ -26,8 +26,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base test nor a learned rule rejects."""
-    return _as_documents(quality_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    """Documents that neither the base test nor a learned rule rejects. Most of what is labelled bad has gone by now, so
+    the rules are learned from the labelled ones of all documents."""
+    judged = quality_rules(docs, table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents"))
+    return _as_documents(judged.where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
