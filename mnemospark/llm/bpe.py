@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,8 @@ class Words:
         """Ids of each text, encoded once and then known until there are too many."""
         new = [t for t in texts if t not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known, new = {}, texts
+            self.trim()
+            new = [t for t in texts if t not in self.known]
         known = self.known
         known.update(zip(new, encode(new), strict=True))
         out = [known[t] for t in texts]
@@ -116,6 +118,11 @@ class Words:
                 del known[t]
         return out
 
+    def trim(self, keep: int = 100_000) -> None:
+        """Forgets all but what was met first, mostly what is frequent; done when a task ends, as others need the memory then."""
+        self.known = dict(islice(self.known.items(), min(keep, self.most // 2)))
+        pa.default_memory_pool().release_unused()
+
     def _by_merges(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(parts), 4096):
@@ -208,6 +215,7 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
                 found = [table[w] for w in words]
                 out.append(_pressed(np.array([len(i) // 4 for i in found], dtype="<u4").tobytes() + b"".join(found)))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("part"), pa.array(out, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["key", "part", "ids", "docs"])
+        encoder.trim()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(parts)

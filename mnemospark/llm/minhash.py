@@ -54,7 +54,7 @@ def _keys(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def minima(own: np.ndarray, mul: np.ndarray, add: np.ndarray, step: int = 8192) -> np.ndarray:
+def minima(own: np.ndarray, mul: np.ndarray, add: np.ndarray, step: int = 2048) -> np.ndarray:
     """The minimum of a set under each hash function, in blocks of the set."""
     best = np.full(len(mul), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(own), step):
@@ -71,6 +71,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _folded(text: bytes | None) -> list[bytes]:

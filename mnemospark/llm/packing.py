@@ -82,6 +82,7 @@ def cut_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 204
                     for column, v in zip(out, (doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids)), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words.trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
