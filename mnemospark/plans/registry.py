@@ -11,6 +11,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records")
+#: DuckDB counts what holds in 128 bits and takes literals as decimals; these columns are cast to the types that Spark gives.
+_AS_LONG = {
+    "rate_report": ("failures",), "dataset_summary": ("en", "de", "fr", "es", "short"), "write_gate": ("informative",), "failure_decomposition": ("failed", "retrieval", "utilisation"),
+    "backfill_sessions": ("backfilled",), "pricing": ("unpriced",), "current_state": ("revisions",), "reliable_time": ("reliable",), "hard_time_filter": ("between_days", "before_days", "after_days"),
+    "interval_variants": ("short_gaps", "long_gaps"), "dialogue_tokens": ("valid", "short"),
+}
+_AS_DOUBLE = {"exact_mention_score": ("score",), "partial_credit": ("credit",), "ranking_scores": ("score", "hints"), "affects_topic": ("confidence",), "judge_coercion": ("accuracy",)}
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = [f"CAST({c} AS {t}) AS {c}" for names, t in ((_AS_LONG, "BIGINT"), (_AS_DOUBLE, "DOUBLE")) for c in names.get(name, ())]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -45,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return {name: _typed(name, sql) for name, sql in _SQL.items()}
