@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import release, tokenizer_path
 
 LONGEST = 256
 #: Words of printable ASCII and Latin letters, which are composed already and whose lower case is one letter (special
@@ -121,7 +121,7 @@ class Words:
     def trim(self, keep: int = 100_000) -> None:
         """Forgets all but what was met first, mostly what is frequent; done when a task ends, as others need the memory then."""
         self.known = dict(islice(self.known.items(), min(keep, self.most // 2)))
-        pa.default_memory_pool().release_unused()
+        release()
 
     def _by_merges(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []

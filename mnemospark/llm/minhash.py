@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sized_join, stored
+from .common import components, cut, release, shuffles_cleaned, sized_join, stored
 
 ROWS = 4  # minima in a band
 BITS = 2  # low bits kept of each minimum
@@ -71,7 +71,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def _folded(text: bytes | None) -> list[bytes]:
@@ -180,6 +180,7 @@ def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 200_000)
                 c = root[c]
             return c
 
+        del flat, order, right
         out: list[tuple[int, int]] = []
         left = len(root) - 1
         for x in np.flatnonzero(mine == low):
@@ -202,23 +203,8 @@ def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 200_000)
     return dealt.join(own, "id").groupBy("band", "key", "i", "j").applyInArrow(compared, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, few: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
-
-    Texts with the same words (A-Z in lower case) are one class, shown by its smallest doc_id; only classes are
-    compared. Two are linked if 100 * common >= percent * union of their sets of `size`-word shingles, and meet as
-    candidates if a band of minima agrees (a pair at the threshold escapes all bands once in a million).
-
-    Within a band's bucket, links are sought until nothing more can join: each round pairs every class with one leader
-    (another each round), verifies, and joins components; buckets that lie in one component by then are done. In what
-    is left, buckets of up to `few` classes send out their pairs across components; larger ones are compared inside
-    tasks, block by block, and only links that join components leave those. So no bucket sends out the square of its
-    size, and no link that would join two components is lost: there is no cap.
-
-    Rows without words (or a null text) have no shingles and link with nothing; rows with a null doc_id are kept
-    unlinked, with a null component_id. Rows of one doc_id count as one document; ties go to the smallest id. An empty
-    table gives no rows, and other columns are ignored.
-    """
+def _classed(docs: DataFrame, size: int, percent: int, rounds: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (content, c) for classes with copies or links: c is the smallest doc_id of their component."""
     bands = bands_for(percent / 100)
     sketch = stored(sketches(docs, size, bands))
     classes = sketch.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
@@ -255,6 +241,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
         label = cut(ids.join(joined, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")))
     of_class = classes.join(label, F.col("rep") == F.col("id"), "left").where("members > 1 OR component < rep").select("content", F.coalesce("component", "rep").alias("c"))
     of_class = stored(of_class)
+    return sketch, of_class
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, few: int = 16) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
+
+    Texts with the same words (A-Z in lower case) are one class, shown by its smallest doc_id; only classes are
+    compared. Two are linked if 100 * common >= percent * union of their sets of `size`-word shingles, and meet as
+    candidates if a band of minima agrees (a pair at the threshold escapes all bands once in a million).
+
+    Within a band's bucket, links are sought until nothing more can join: each round pairs every class with one leader
+    (another each round), verifies, and joins components; buckets that lie in one component by then are done. In what
+    is left, buckets of up to `few` classes send out their pairs across components; larger ones are compared inside
+    tasks, block by block, and only links that join components leave those. So no bucket sends out the square of its
+    size, and no link that would join two components is lost: there is no cap.
+
+    Rows without words (or a null text) have no shingles and link with nothing; rows with a null doc_id are kept
+    unlinked, with a null component_id. Rows of one doc_id count as one document; ties go to the smallest id. An empty
+    table gives no rows, and other columns are ignored.
+    """
+    with shuffles_cleaned(docs.sparkSession):
+        sketch, of_class = _classed(docs, size, percent, rounds, few)
     out = sketch.select("doc_id", "n_shingles", "content").join(of_class, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
