@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 
@@ -69,6 +70,41 @@ def relation(a: str, b: str, same: float = 0.5, untimed: float = 0.8, title: flo
     )
 
 
+def _follows(events: DataFrame, by: list[str], days: int) -> DataFrame:
+    """id and n: how many events of the same `by`, on other days, are at most `days` * 86,400 seconds away.
+
+    Days nearer than that count whole; only of the days just that far away does the second of the day matter.
+    """
+    per_day = events.groupBy(*by, "day").agg(F.count("*").alias("n"))
+    moved = per_day.withColumn("day", F.explode(F.array(*(F.col("day") + i for i in range(1 - days, days) if i))))
+    inner = moved.groupBy(*by, "day").agg(F.sum("n").alias("inner"))
+    copy = lambda shift, later, earlier: events.select(*by, (F.col("day") + shift).alias("day"), "second", F.lit(None).cast("long").alias("id"), F.lit(later).alias("later"), F.lit(earlier).alias("earlier"))
+    own = events.select(*by, "day", "second", "id", F.lit(0).alias("later"), F.lit(0).alias("earlier"))
+    w = Window.partitionBy(*by, "day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = own.unionByName(copy(-days, 1, 0)).unionByName(copy(days, 0, 1))
+    edge = edge.withColumn("edge", F.sum("later").over(w.orderBy("second")) + F.sum("earlier").over(w.orderBy(F.desc("second")))).where("id IS NOT NULL")
+    return edge.join(inner, [*by, "day"], "left").select("id", (F.col("edge") + F.coalesce("inner", F.lit(0))).alias("n"))
+
+
+def related(events: DataFrame, days: int = 7) -> DataFrame:
+    """type, pairs, first and last: the relations of all pairs of events with one entity each, by the rules of `relation`.
+
+    events has id (one row each), k (the entity), action, topic, chain, day (a number; the session) and second of the
+    day; none is null, the title is the action. Equal k and action are SAME_EVENT at any distance, FOLLOW_UP_OF needs no common entity.
+    Pairs are counted for each event out of the sizes of groups and are never made, so work grows with the events.
+    """
+    size = lambda *by: F.count("*").over(Window.partitionBy(*by))
+    own = events.select("id", (size("k", "action") - 1).alias("same"), (size("k") - size("k", "action") - size("k", "chain") + size("k", "chain", "action")).alias("other"))
+    signs = {("topic",): (1, 0), ("topic", "k", "action"): (-1, 1), ("topic", "k"): (0, -1), ("topic", "k", "chain"): (0, 1), ("topic", "k", "chain", "action"): (0, -1)}
+    met = own.select("id", "same", F.lit(0).alias("follow"), F.col("other").alias("context"))
+    for by, (follow, context) in signs.items():
+        met = met.unionByName(_follows(events, list(by), days).select("id", F.lit(0).alias("same"), (F.col("n") * follow).alias("follow"), (F.col("n") * context).alias("context")))
+    each = met.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("same", "follow", "context")))
+    kinds = F.array(*(F.struct(F.lit(t).alias("type"), F.col(c).alias("n")) for t, c in (("SAME_EVENT", "same"), ("FOLLOW_UP_OF", "follow"), ("CONTEXT_FOR", "context"))))
+    found = each.select("id", F.inline(kinds)).where("n > 0")
+    return found.groupBy("type").agg((F.sum("n") / 2).cast("long").alias("pairs"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def merged(pairs: DataFrame) -> DataFrame:
     """id and canonical for entities that pairs (a, b) merge, transitively: the smallest id of each group.
 

@@ -78,6 +78,21 @@ def cross_edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("type").agg(F.count("*").alias("pairs"), F.min("a").alias("first"), F.max("b").alias("last"))
 
 
+@query("""
+WITH d AS (SELECT event_id AS id, user_id AS chain, event_type AS action, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id % 10 AS topic, CAST(ts AS DATE) AS session FROM events),
+p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.k = b.k AND a.action = b.action THEN 'SAME_EVENT'
+  WHEN a.topic = b.topic AND a.session <> b.session AND abs(a.start - b.start) <= 604800 THEN 'FOLLOW_UP_OF' WHEN a.k = b.k AND a.chain <> b.chain THEN 'CONTEXT_FOR' END AS type
+ FROM d a JOIN d b ON a.id < b.id AND (a.k = b.k OR a.topic = b.topic))
+SELECT type, count(*) AS pairs, min(a) AS first, max(b) AS last FROM p WHERE type IS NOT NULL GROUP BY 1
+""")
+def cross_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of all events, on any two days: cross_edge_candidates, whose SQL meets on one day, without that limit."""
+    e = table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return G.related(e.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("action"), (F.col("user_id") % 10).alias("topic"), F.col("user_id").alias("chain"), F.datediff(day, F.lit("1970-01-01")).alias("day"), (start - F.unix_seconds(day.cast("timestamp"))).alias("second")))
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return S.dense(_centres(spark, sf_dir), v, 32).drop("rank").join(v.select("id", "v", F.col("label").alias("topic")), "id").select("probe", "id", "score", "topic", (F.col("id") % 3).alias("kind"), (F.col("id") % 5).alias("importance"), "v")

@@ -121,3 +121,13 @@ def test_bm25_prefers_rare_terms(spark):
     probes = spark.createDataFrame([(1, "apple pear")], "probe long, text string")
     best = S.bm25(post, S.probe_terms(probes), S.corpus_stats(post)).orderBy(F.desc("bm25")).first()
     assert best.id == 1 and best.n_terms == 2
+
+
+def test_related_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    ev = [(i, f"k{rng.integers(0, 4)}", f"a{rng.integers(0, 3)}", int(c % 3), int(c), int(rng.integers(0, 25)), int(rng.choice([0, 1, 40_000, 86_399]))) for i, c in enumerate(rng.integers(0, 9, 120))]
+    df = spark.createDataFrame(ev, "id long, k string, action string, topic long, chain long, day int, second long")
+    own = lambda x: df.select(F.col("id").alias(x), *(v.alias(f"{x}_{n}") for n, v in {"action": F.col("action"), "start": F.col("day") * 86_400 + F.col("second"), "entities": F.array("k"), "title": F.array("action"), "topic": F.col("topic").cast("string"), "session": F.col("day"), "chain": F.col("chain")}.items()))
+    pairs = own("a").crossJoin(own("b")).where("a < b").withColumn("type", G.relation("a", "b")).where("type IS NOT NULL")
+    want = rows(pairs.groupBy("type").agg(F.count("*"), F.min("a"), F.max("b")), "type")
+    assert rows(G.related(df), "type") == want and [w[0] for w in want] == ["CONTEXT_FOR", "FOLLOW_UP_OF", "SAME_EVENT"]
