@@ -22,19 +22,19 @@ def scaled(value: Column, by: str) -> Column:
     return F.when(high - low <= 1e-12, 0.0).otherwise((value - low) / (high - low))
 
 
-def retrieve(found: DataFrame, edges: DataFrame, relevance: DataFrame, rounds: int = 3, anchors: int = 4, budget: int = 4, limit: int = 16, rerank: Reranker | None = None) -> DataFrame:
+def retrieve(found: DataFrame, edges: DataFrame, relevance: DataFrame, rounds: int = 8, anchors: int = 4, budget: int = 4, limit: int = 16, barren: int = 2, rerank: Reranker | None = None) -> DataFrame:
     """probe, id, hop, score, rank: what each probe retrieves after at most `rounds` rounds of expansion.
 
     found (probe, id, score) is the first search. In a round each probe's best `anchors` candidates that were no anchors
-    before reach their `budget` best neighbours; each hop costs 0.08. A probe that finds nothing new drops out, and the
-    loop ends when all have. At the end relevance (probe, node, rel), or what `rerank` makes of the candidates
+    before reach their `budget` best neighbours; each hop costs 0.08. A probe that finds nothing new in `barren` rounds
+    on end drops out, and the loop ends when all have. At the end relevance (probe, node, rel), or what `rerank` makes of the candidates
     (probe, id, rel), counts 0.7 and the scaled retrieval score 0.3. Each round is written to spark.checkpoint.dir.
     """
     spark = found.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-"))
     pool = found.select("probe", "id", F.lit(0).alias("hop"), F.col("score").cast("double").alias("score"), F.lit(False).alias("used")).checkpoint()
-    growing = pool.select("probe").distinct()
+    growing = pool.select("probe").distinct().withColumn("idle", F.lit(0))
     for turn in range(1, rounds + 1):
         fresh = pool.where("NOT used").join(growing, "probe", "left_semi")
         chosen = ranked(fresh, ["probe"], [F.desc("score"), F.col("id")], anchors).select("probe", F.col("id").alias("anchor"), "score")
@@ -42,7 +42,8 @@ def retrieve(found: DataFrame, edges: DataFrame, relevance: DataFrame, rounds: i
         new = reached.join(pool.select("probe", "id"), ["probe", "id"], "left_anti").select("probe", "id", F.lit(turn).alias("hop"), F.round(F.col("score") - 0.08 * turn, 6).alias("score"), F.lit(False).alias("used")).checkpoint()
         marks = chosen.select("probe", F.col("anchor").alias("id"), F.lit(True).alias("now"))
         pool = pool.join(marks, ["probe", "id"], "left").select("probe", "id", "hop", "score", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")).unionByName(new).checkpoint()
-        growing = new.select("probe").distinct()
+        found_some = new.select("probe").distinct().withColumn("some", F.lit(True))
+        growing = growing.join(found_some, "probe", "left").select("probe", F.when(F.col("some"), 0).otherwise(F.col("idle") + 1).alias("idle")).where(F.col("idle") < barren).checkpoint()
         if not growing.limit(1).count():
             break
     rel = rerank(pool) if rerank else relevance.select("probe", F.col("node").alias("id"), "rel")

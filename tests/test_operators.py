@@ -7,6 +7,7 @@ from mnemospark.functions import columns as C
 from mnemospark.operators import evaluation as E
 from mnemospark.operators import graph as G
 from mnemospark.operators import personas as P
+from mnemospark.operators import runtime as R
 from mnemospark.operators import search as S
 from mnemospark.operators import selection as SEL
 from mnemospark.operators import state as ST
@@ -131,3 +132,40 @@ def test_related_equals_brute_force(spark):
     pairs = own("a").crossJoin(own("b")).where("a < b").withColumn("type", G.relation("a", "b")).where("type IS NOT NULL")
     want = rows(pairs.groupBy("type").agg(F.count("*"), F.min("a"), F.max("b")), "type")
     assert rows(G.related(df), "type") == want and [w[0] for w in want] == ["CONTEXT_FOR", "FOLLOW_UP_OF", "SAME_EVENT"]
+
+
+def _retrieved(found, edges, rounds, anchors, budget, barren):
+    """What R.retrieve's pool holds (probe, id, hop), probe by probe, with all edges explicit CAUSES and no relevance."""
+    out = set()
+    for probe in {p for p, _, _ in found}:
+        score, hop, used, idle = {i: s for p, i, s in found if p == probe}, {i: 0 for p, i, _ in found if p == probe}, set(), 0
+        for turn in range(1, rounds + 1):
+            chosen = sorted((i for i in score if i not in used), key=lambda i: (-score[i], i))[:anchors]
+            new = {}
+            for a in chosen:
+                for n in sorted({y if x == a else x for x, y in edges if a in (x, y)})[:budget]:
+                    if n not in score:
+                        new[n] = max(new.get(n, -9.0), round(0.8 * score[a], 6))
+            used |= set(chosen)
+            score |= {n: round(s - 0.08 * turn, 6) for n, s in new.items()}
+            hop |= dict.fromkeys(new, turn)
+            idle = 0 if new else idle + 1
+            if idle >= barren:
+                break
+        out |= {(probe, i, hop[i]) for i in score}
+    return out
+
+
+def test_rounds_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(100, 110)]
+    late = [(200, 201), (201, 200), (210, 211), (211, 212)]  # 210 is the fifth best, so its turn comes after a barren round
+    random = [(int(a), int(b)) for a, b in rng.integers(0, 40, (60, 2)) if a != b]
+    edges = sorted(set(chain + late + random))
+    found = [(1, 100, 1.0), *((2, i, 0.9) for i in (200, 201, 202, 203)), (2, 210, 0.5), *((3, int(i), round(float(s), 3)) for i, s in zip(range(5), rng.random(5), strict=True))]
+    df = spark.createDataFrame([(*e, "CAUSES", "explicit", 1.0) for e in edges], "source long, target long, type string, trust string, confidence double")
+    none = spark.createDataFrame([], "probe long, node long, rel double")
+    start = spark.createDataFrame(found, "probe long, id long, score double")
+    got = {(r.probe, r.id, r.hop) for r in R.retrieve(start, df, none, limit=1000).collect()}
+    assert got == _retrieved(found, edges, 8, 4, 4, 2)
+    assert {(1, 108, 8), (2, 211, 2), (2, 212, 3)} <= got and (1, 109, 9) not in got
