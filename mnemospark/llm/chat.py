@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import stored
 
 OPEN, CLOSE = "<|", "|>"
 
@@ -23,17 +26,49 @@ def perspectives(turns: DataFrame, window: int = 256) -> DataFrame:
     the speaker "unknown", a null text is empty, a null turn goes before 0 in segment 0; rows with a null conv_id form
     a dialogue of their own. Dialogues of system turns alone have no speaker, so no row. Other columns are ignored.
     """
+    at = _told(turns).withColumn("segment", F.coalesce(F.floor(F.col("turn") / window), F.lit(0)).cast("long"))
+    talks = at.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
+    return _rendered(talks.withColumn("speaker", F.explode(F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["who"]), lambda w: w != "system"))))))
+
+
+def whole_perspectives(turns: DataFrame, window: int = 256, parts: int = 64) -> DataFrame:
+    """As perspectives, but segments follow each other by place, and every speaker of the dialogue views all of them.
+
+    Places come from the order of turn, role, text, so a segment has exactly `window` turns but for the dialogue's last,
+    whatever their numbers. A later segment begins with the earlier system turns, each text once, n_carried in number;
+    n_messages counts them too. A speaker's segments without these are what one rendering of the whole dialogue would be.
+    Turns are dealt out by range of that order, so neither a long dialogue nor one turn number lands in one task.
+    """
+    told = _told(turns).withColumn("tie", F.monotonically_increasing_id())
+    dealt = stored(told.repartitionByRange(parts, "conv_id", "turn", "who", "said", "tie").withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "who", "said", "tie")) - 1
+    placed = dealt.withColumn("place", place).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    at = stored(placed.select("conv_id", F.floor((F.col("first") + F.col("place")) / window).alias("segment"), (F.col("first") + F.col("place")).alias("place"), "turn", "who", "said"))
+    own = at.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "who", "said"))).alias("turns"))
+    rules = at.where("who = 'system'").groupBy(F.col("conv_id").alias("c"), "said").agg(F.min(F.struct("place", "turn", "who", "segment")).alias("r"))
+    later = own.where("segment > 0").select("conv_id", "segment").join(rules, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("r.segment") < F.col("segment")))
+    carried = later.groupBy(F.col("conv_id").alias("c"), F.col("segment").alias("s")).agg(F.sort_array(F.collect_list(F.struct("r.place", "r.turn", "r.who", "said"))).alias("carried"))
+    speakers = at.where("who <> 'system'").select(F.col("conv_id").alias("d"), F.col("who").alias("speaker")).distinct()
+    talks = own.join(carried, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left").withColumn("carried", F.coalesce("carried", F.expr("slice(turns, 1, 0)")))
+    views = talks.join(speakers, F.col("conv_id").eqNullSafe(F.col("d")))
+    return _rendered(views.select("conv_id", "segment", "speaker", F.concat("carried", "turns").alias("turns"), F.size("carried").cast("long").alias("n_carried")), "n_carried")
+
+
+def _told(turns: DataFrame) -> DataFrame:
     role = F.coalesce(F.lower(F.trim(F.col("role").cast("string"))), F.lit("unknown"))
     safe = lambda c: F.replace(c, F.lit(OPEN), F.lit("< |"))
-    at = turns.select(
+    return turns.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / window), F.lit(0)).cast("long").alias("segment"),
         F.col("turn").cast("long").alias("turn"),
         safe(F.when(role == "", "unknown").otherwise(role)).alias("who"),
         safe(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("said"),
     )
-    talks = at.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
-    talks = talks.withColumn("speaker", F.explode(F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["who"]), lambda w: w != "system")))))
+
+
+def _rendered(talks: DataFrame, *also: str) -> DataFrame:
+    """talks has conv_id, segment, speaker and turns (with who and said); columns in `also` pass."""
     mine = lambda t: t["who"] == F.col("speaker")
     kind = lambda t: F.when(mine(t), "assistant").when(t["who"] == "system", "system").otherwise("user")
     head = lambda t: F.concat(F.lit(OPEN), kind(t), F.when(mine(t) | (t["who"] == "system"), "").otherwise(F.concat(F.lit(":"), t["who"])), F.lit(CLOSE + "\n"))
@@ -56,4 +91,5 @@ def perspectives(turns: DataFrame, window: int = 256) -> DataFrame:
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
         "messages",
         F.transform(F.filter("messages", lambda m: m["train"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))).alias("mask"),
+        *also,
     )

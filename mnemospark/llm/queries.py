@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_documents
-from .chat import perspectives
+from .chat import perspectives, whole_perspectives
 from .common import table
 from .line_dedup import line_dedup
 from .lm_score import lm_scores
@@ -61,6 +61,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", "segment", "speaker", "n_messages", "n_trained", "text", mask.alias("mask"))
 
 
+def op9_chat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_chat without the split by turn number that its SQL has."""
+    df = whole_perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",")
+    return df.select("conv_id", "segment", "speaker", "n_messages", "n_carried", "n_trained", "text", mask.alias("mask"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_packing,
         op8_nearest,
         op9_chat,
+        op9_chat_whole,
         op10_minhash,
     )
 }

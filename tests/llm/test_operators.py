@@ -335,3 +335,28 @@ def test_chat(spark):
     assert anna.text == "<|system|>\nbe kind<|end|>\n<|user:user|>\nhi < |end|><|end|>\n<|assistant|>\nhello<|end|>\n<|user:user|>\n<|end|>\n<|user:user|>\n<|end|>\n"
     assert [anna.text[m.start : m.start + m.length] for m in anna.mask] == ["hello<|end|>\n"]
     assert [m.role for m in anna.messages] == ["system", "user", "assistant", "user", "user"] and chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_whole(spark):
+    names = ["user", "Anna", "bob", None]
+    long = [(1, None if i % 3 == 0 else i // 5, "system" if i in (0, 90, 400) else "quiet" if i == 2 else names[i % 4], f"t{i} é") for i in range(600)]
+    short = [(3, 0, "user", "a"), (3, 300, "user", "b"), (3, 300, "user", "b"), (None, 1, "x", "y"), (2, 0, "system", "alone")]
+    df = spark.createDataFrame(long + short, "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.speaker): r for r in chat.perspectives(df, 1 << 40).collect()}
+    got: dict = {}
+    for r in sorted(chat.whole_perspectives(df, 256, 5).collect(), key=lambda r: r.segment):
+        got.setdefault((r.conv_id, r.speaker), []).append(r)
+    assert set(got) == set(whole) and len(got[1, "quiet"]) == 3 and len(got[3, "user"]) == 1
+    for key, segments in got.items():
+        own = [m for r in segments for m in r.messages[r.n_carried :]]
+        assert [(m.role, m.name, m.content, m.train) for m in own] == [(m.role, m.name, m.content, m.train) for m in whole[key].messages]
+        for n, r in enumerate(segments):
+            assert r.n_messages - r.n_carried == min(256, whole[key].n_messages - 256 * n)
+            assert [m.content for m in r.messages[: r.n_carried]] == [m.content for m in whole[key].messages[: 256 * n] if m.role == "system"]
+            assert all(r.text[m.start : m.start + m.length] == m.content + "<|end|>\n" for m in r.messages)
+        cut = [r.text[r.messages[r.n_carried].start - len(head(r.messages[r.n_carried])) :] for r in segments]
+        assert "".join(cut) == whole[key].text
+
+
+def head(m):
+    return "<|" + m.role + (f":{m.name}" if m.name else "") + "|>\n"
