@@ -28,11 +28,24 @@ def partial_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("doc_id", "item_id", A.partial_credit(F.col("answer"), F.col("reference")).alias("credit"))
 
 
+@query(rf"""
+WITH p AS (SELECT d.doc_id, b.item_id, d.text AS answer, b.text AS reference, {_PLAIN.format("d.text")} AS said, {_PLAIN.format("b.text")} AS want FROM documents d CROSS JOIN benchmark b),
+w AS (SELECT doc_id, item_id, len([v FOR v IN list_transform(string_split_regex(reference, '\|\||\n|;') || [reference], lambda x: {_PLAIN.format('x')}) IF v <> '' AND contains(said, v)]) > 0 AS whole, list_distinct([x FOR x IN string_split(want, ' ') IF length(x) > 1 AND NOT list_contains({_STOP}, x)]) AS a, list_distinct([x FOR x IN string_split(said, ' ') IF length(x) > 1 AND NOT list_contains({_STOP}, x)]) AS b FROM p)
+SELECT doc_id, item_id, CAST(CASE WHEN whole THEN 1.0 WHEN len(a) > 0 AND 2 * len(list_intersect(a, b)) >= len(a) THEN 0.5 ELSE 0.0 END AS DOUBLE) AS credit FROM w
+""")
+def answer_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an answer to every item; partial_credit and its SQL take one item of the first 40 each."""
+    return A.credits(*_answers(spark, sf_dir))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
+
+
 @query()
 def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, b = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
-    met = d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
-    return met.select("doc_id", "item_id", F.round(A.bleu_column(F.col("answer"), F.col("reference")), 6).alias("bleu"))
+    """Each document as an answer to every item."""
+    return A.bleu_pairs(*_answers(spark, sf_dir)).withColumn("bleu", F.round("bleu", 6))
 
 
 @query(r"""
@@ -201,6 +214,19 @@ def affects_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.join(heads, "other").where("other <> chain").select("source", "target", F.round(F.lit(0.8 * 0.9), 6).alias("confidence"))
 
 
+@query("""
+WITH h AS (SELECT user_id AS chain, event_id, value, ts FROM events), heads AS (SELECT chain, max_by(event_id, (ts, event_id)) AS head FROM h GROUP BY 1), rel AS (SELECT event_id AS source, chain, (chain * 7 + 1) % (SELECT count(DISTINCT user_id) FROM events) AS other FROM h WHERE value > 90)
+SELECT source, head AS target, CAST(round(0.8 * 0.9, 6) AS DOUBLE) AS confidence FROM rel JOIN heads ON other = heads.chain WHERE other <> rel.chain
+""")
+def affects_any_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """affects_topic with heads of all chains as targets; its SQL has those of 150."""
+    ev = table(spark, sf_dir, "events")
+    heads = ev.groupBy(F.col("user_id").alias("other")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("target"))
+    chains = heads.agg(F.count("other").alias("chains"))  # one row
+    rel = ev.where("value > 90").crossJoin(F.broadcast(chains)).select(F.col("event_id").alias("source"), F.col("user_id").alias("chain"), ((F.col("user_id") * 7 + 1) % F.col("chains")).alias("other"))
+    return rel.join(heads, "other").where("other <> chain").select("source", "target", F.round(F.lit(0.8 * 0.9), 6).alias("confidence"))
+
+
 @query("""
 WITH u AS (SELECT event_id, user_id, event_type, value, sha256(concat_ws('|', user_id::VARCHAR, event_type, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR))) AS print FROM events)
 SELECT print, min(event_id) AS first, count(*) AS replays FROM u GROUP BY 1

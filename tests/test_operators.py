@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
+from mnemospark.operators import answers as A
 from mnemospark.operators import evaluation as E
 from mnemospark.operators import graph as G
 from mnemospark.operators import personas as P
@@ -169,3 +170,25 @@ def test_rounds_equal_brute_force(spark):
     got = {(r.probe, r.id, r.hop) for r in R.retrieve(start, df, none, limit=1000).collect()}
     assert got == _retrieved(found, edges, 8, 4, 4, 2)
     assert {(1, 108, 8), (2, 211, 2), (2, 212, 3)} <= got and (1, 109, 9) not in got
+
+
+def test_every_answer_meets_every_reference(spark):
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(rng.choice(["the", "cat", "Sat", "on", "mat", "dog", "ran;", "far||away"], n))
+    answers = [(i, text(int(n))) for i, n in enumerate([0, 1, 3, 9, 30, 60])] + [(6, None), (100, "cat")]
+    refs = [(i, text(int(n))) for i, n in enumerate(rng.integers(1, 12, 50))] + [(50, ""), (51, "cat")]
+    a, b = spark.createDataFrame(answers, "doc_id long, answer string"), spark.createDataFrame(refs, "item_id long, reference string")
+    words = lambda t: (t or "").lower().split()
+    want = {(i, j): round(A.bleu(words(x), words(y)), 9) for i, x in answers for j, y in refs}
+    for block in (10_000, 11):
+        got = A.bleu_pairs(a, b, block).collect()
+        assert {(r.doc_id, r.item_id): round(r.bleu, 9) for r in got} == want and len(got) == len(want)
+    credit = a.crossJoin(b).select("doc_id", "item_id", A.partial_credit(F.col("answer"), F.col("reference")))
+    assert rows(A.credits(a, b), "doc_id", "item_id") == rows(credit, "doc_id", "item_id")
+
+
+def test_bleu_scores_has_all_pairs(spark, data):
+    from mnemospark.plans import registry
+
+    n = spark.read.parquet(f"{data}/documents.parquet").count() * spark.read.parquet(f"{data}/benchmark.parquet").count()
+    assert registry.queries()["bleu_scores"](spark, data).select("doc_id", "item_id").distinct().count() == n
