@@ -62,6 +62,17 @@ def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") % 500 * 2 + 1).alias("b")).distinct())
 
 
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 500 AS b FROM orders), pairs AS (SELECT a * 2 AS a, b * 2 + 1 AS b FROM p),
+both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON reach.r = both_ways.a)
+SELECT id, min(r) AS canonical FROM reach GROUP BY id
+""")
+def merge_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """merge_entities over all orders; its SQL has only those of the first priority."""
+    o = table(spark, sf_dir, "orders")
+    return G.merged(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") % 500 * 2 + 1).alias("b")).distinct())
+
+
 @query("""
 WITH d AS (SELECT event_id AS id, user_id AS chain, event_type AS action, epoch(ts) AS start, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id % 10 AS topic, CAST(ts AS DATE) AS session FROM events),
 p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.action = b.action AND abs(a.start - b.start) <= 86400 THEN 'SAME_EVENT' WHEN a.action = b.action THEN 'SAME_EVENT'

@@ -192,3 +192,19 @@ def test_bleu_scores_has_all_pairs(spark, data):
 
     n = spark.read.parquet(f"{data}/documents.parquet").count() * spark.read.parquet(f"{data}/benchmark.parquet").count()
     assert registry.queries()["bleu_scores"](spark, data).select("doc_id", "item_id").distinct().count() == n
+
+
+def test_all_orders_merge(spark, data):
+    from mnemospark.plans import registry
+
+    over: dict = {}
+
+    def top(x):
+        while over.setdefault(x, x) != x:
+            x = over[x]
+        return x
+
+    for r in spark.read.parquet(f"{data}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        a, b = top(r.o_custkey * 2), top(r.o_orderkey % 500 * 2 + 1)
+        over[max(a, b)] = min(a, b)
+    assert {r.id: r.canonical for r in registry.queries()["merge_all_entities"](spark, data).collect()} == {x: top(x) for x in list(over)}
