@@ -159,6 +159,18 @@ def exact_mention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("source", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
 
 
+@query(r"""
+WITH m AS (SELECT DISTINCT id, lower(n) AS mention FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)', 1)) AS n FROM documents)),
+t AS (SELECT DISTINCT item_id AS probe, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+')) AS term FROM benchmark),
+x AS (SELECT term, mention, CASE WHEN term = mention THEN 1.0 WHEN length(term) > 1 AND contains(mention, term) THEN 0.8 WHEN length(mention) > 1 AND contains(term, mention) THEN 0.6 END AS score FROM (SELECT DISTINCT term FROM t), (SELECT DISTINCT mention FROM m))
+SELECT probe, id, CAST(max(score) AS DOUBLE) AS score FROM x JOIN t USING (term) JOIN m USING (mention) WHERE score > 0 GROUP BY 1, 2
+""")
+def exact_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the names in each document mention each probe's terms, all of them; exact_mention_score looks up one term."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)), F.lower))
+    return S.exact_mentions(S.probe_terms(_probes(spark, sf_dir), 1 << 30), _nodes(spark, sf_dir).select("id", F.explode(names).alias("mention")))
+
+
 @query(f"""
 WITH {_CENTRES},
 s AS (SELECT probe, vec_id AS id, round({_COSINE}, 6) AS score FROM embeddings, centre),

@@ -208,3 +208,15 @@ def test_all_orders_merge(spark, data):
         a, b = top(r.o_custkey * 2), top(r.o_orderkey % 500 * 2 + 1)
         over[max(a, b)] = min(a, b)
     assert {r.id: r.canonical for r in registry.queries()["merge_all_entities"](spark, data).collect()} == {x: top(x) for x in list(over)}
+
+
+def test_exact_mentions_equal_brute_force(spark):
+    terms = [(1, "ann"), (1, "a"), (1, "joanna"), (2, "hannover"), (2, "z"), (3, "nobody")]
+    names = [(1, "ann"), (2, "joann"), (3, "hanno"), (4, "z-axis"), (5, "ab"), (6, "annann")]
+    score = lambda t, m: 1.0 if t == m else 0.8 if len(t) > 1 and t in m else 0.6 if len(m) > 1 and m in t else 0.0
+    want: dict = {}
+    for p, t in terms:
+        for i, m in names:
+            want[p, i] = max(want.get((p, i), 0.0), score(t, m))
+    got = S.exact_mentions(spark.createDataFrame(terms, "probe long, term string"), spark.createDataFrame(names, "id long, mention string"))
+    assert {(r.probe, r.id): r.score for r in got.collect()} == {k: x for k, x in want.items() if x}
