@@ -16,15 +16,22 @@ from .common import stored
 
 
 def rare_keys(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """For each line: a hash of it and of as many following lines as make up `least` words; none if too few follow.
+    """For each line: hashes of it with as many following, and with as many preceding, lines as make up `least` words.
 
-    A line of that many words stands by itself. Short lines recur everywhere, so only their run is rare enough. Any
-    common block of `least` words or more holds one of these runs.
+    A line of that many words stands by itself. Short lines recur everywhere, so only their run is rare enough. Runs
+    that are too short at the document's ends don't count. Every line of a common block of `least` words or more lies in
+    a run within the block: those that end there reach the lines after the last one that begins there.
     """
-    ends = np.cumsum([0, *words])
-    stops = np.searchsorted(ends, ends[:-1] + least)
     flat = np.array(hashes, dtype=np.int64)
-    return [xxhash.xxh3_64_intdigest(flat[i:j].tobytes()) - (1 << 63) for i, j in enumerate(stops.tolist()) if j <= len(hashes)]
+    return [xxhash.xxh3_64_intdigest(flat[i:j].tobytes()) - (1 << 63) for i, j in runs_of(words, least)]
+
+
+def runs_of(words: list[int], least: int) -> list[tuple[int, int]]:
+    """Begin and end of the shortest runs of `least` words or more that begin, or end, at each line."""
+    ends = np.cumsum([0, *words])
+    stops = np.searchsorted(ends, ends[:-1] + least).tolist()
+    starts = (np.searchsorted(ends, ends[1:] - least, side="right") - 1).tolist()
+    return sorted({(i, j) for i, j in enumerate(stops) if j < len(ends)} | {(i, j + 1) for j, i in enumerate(starts) if i >= 0})
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -121,7 +128,7 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
     Lines are what lies between \\n, without white space at either end; lines without words don't count and stay.
     Earlier means of smaller doc_id. A run of lines with at least least_words words that is in several documents pairs
     each of them with the first that has it, so pairs grow with the documents and not with their square, and nothing
-    is capped. Patience diff aligns each pair, and aligned blocks of least_words words or more are deleted from the
+    is capped. Runs are taken forwards and backwards, so each line of a block that any earlier document has is in one. Patience diff aligns each pair, and aligned blocks of least_words words or more are deleted from the
     later one. What is deleted stays in the first document that has it.
 
     Needs doc_id and text; other columns pass, and columns of the result's names are replaced. A null text stays null.

@@ -360,3 +360,31 @@ def test_chat_whole(spark):
 
 def head(m):
     return "<|" + m.role + (f":{m.name}" if m.name else "") + "|>\n"
+
+
+def shared_with_any(texts, least):
+    """Numbers of the lines of each document in blocks of `least` words or more that lie together in any earlier one."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    out = {}
+    for i, own in lines.items():
+        gone = set()
+        for there in (lines[z] for z in lines if z < i):
+            for a in range(len(own)):
+                for x in range(len(there)):
+                    n = 0
+                    while a + n < len(own) and x + n < len(there) and own[a + n] == there[x + n]:
+                        n += 1
+                    if sum(len(t.split()) for t in own[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        out[i] = [t for n, t in enumerate(own) if n not in gone]
+    return out
+
+
+def test_line_dedup_meets_all_earlier(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate([52, 10, 30, 25, 20, 49, 60, 15])]
+    texts = {1: pool[0], 2: "\n".join(pool[:2]), 3: "\n".join(pool[:2])}
+    texts |= {10 + n: "\n".join(pool[(b + i) % 8] for i in range(int(rng.integers(1, 6)))) for n, b in enumerate(rng.integers(0, 8, 30))}
+    got = line_dedup.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = shared_with_any(texts, 50)
+    assert {r.doc_id: r.text for r in got} == {i: "\n".join(t) for i, t in want.items()} and want[3] == []
