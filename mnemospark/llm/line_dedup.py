@@ -102,15 +102,19 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
     """Places in b of lines in blocks that lie together in both, of at least `least` words in all.
 
-    Aligned lines are set aside and the rest is aligned again, so blocks in another order are found too.
+    Aligned lines are set aside and the rest is aligned again, so blocks in another order are found too. Where lines
+    recur, an alignment can break up a common block; its runs, which both have, are looked up at the end.
     """
     if a == b:
         return list(range(len(b))) if sum(words) >= least else []
+    of = dict(zip(b, words, strict=True))
+    there = {tuple(a[i:j]) for i, j in runs_of([of.get(x, least) for x in a], least)}
+    broken = {n for i, j in runs_of(words, least) if tuple(b[i:j]) in there for n in range(i, j)}
     a, b, gone = list(a), list(b), []
     while True:
         pairs = patience(a, b)
         if not pairs:
-            return sorted(gone)
+            return sorted(broken.union(gone))
         begin = 0
         for n in range(1, len(pairs) + 1):
             if n == len(pairs) or pairs[n] != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):

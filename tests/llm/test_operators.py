@@ -388,3 +388,17 @@ def test_line_dedup_meets_all_earlier(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     want = shared_with_any(texts, 50)
     assert {r.doc_id: r.text for r in got} == {i: "\n".join(t) for i, t in want.items()} and want[3] == []
+
+
+def test_common_blocks_that_alignment_breaks_up():
+    assert line_dedup.common_blocks([1, 2, 1, 3], [1, 3], [30, 30], 50) == [0, 1]
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, int(rng.integers(1, 9))).tolist() for _ in range(2))
+        words = [12, 20, 30, 45, 55]
+        want = set()
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                if sum(words[x] for x in b[i:j]) >= 50 and any(a[k : k + j - i] == b[i:j] for k in range(len(a))):
+                    want |= set(range(i, j))
+        assert line_dedup.common_blocks(a, b, [words[x] for x in b], 50) == sorted(want)
