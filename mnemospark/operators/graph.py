@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
+from mnemospark.functions.shared import shared_dir
 
 from .search import ranked
 
@@ -111,11 +112,7 @@ def merged(pairs: DataFrame) -> DataFrame:
     Each round spreads the smallest label along pairs and then lets every label take its own label's; rounds grow with
     the logarithm of a chain's length. They are written to spark.checkpoint.dir.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-"))
+    shared_dir(pairs.sparkSession)
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("canonical"))
     while True:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions.shared import shared_dir
 from mnemospark.operators import state as ST
 from mnemospark.streaming import folds
 
@@ -41,8 +41,7 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_dir(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-stream-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
