@@ -1,4 +1,4 @@
-"""Multi-party chat formatting: every speaker's view of a dialogue, in DataFrame operations only."""
+"""Multi-party chat formatting: every speaker's view of a whole dialogue, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -6,57 +6,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import carried, stored
 
 OPEN, CLOSE = "<|", "|>"
+END = f"{OPEN}end{CLOSE}\n"
 
 
-def perspectives(turns: DataFrame, window: int = 256) -> DataFrame:
-    """One row for each dialogue window and each of its speakers: the dialogue with that speaker as the assistant.
+def perspectives(turns: DataFrame) -> DataFrame:
+    """The messages of every dialogue as each of its speakers sees them: that one as assistant, the others as named users.
 
-    turns has conv_id, turn, role and text; a speaker is a role other than "system". Columns of the result: conv_id,
-    segment, speaker, n_messages, n_trained, text (the rendering), messages (role, name, content, start, length,
-    train) and mask (start and length, in characters, of what is trained on: the speaker's contents and their ends).
-    Each message is rendered as OPEN role CLOSE, or OPEN user:name CLOSE for the other speakers, a newline, its content
-    and OPEN end CLOSE newline. OPEN within a content or name gets a space after its "<", so no turn can forge a mark.
+    turns has conv_id, turn, role and text; a speaker is a role other than "system". Each speaker of a dialogue views
+    all of it, one row a message: conv_id, speaker, place (0, 1 ... in the dialogue), role, name (of a user), text (the
+    message as rendered), start and length (in characters, of its content and end within the speaker's whole rendering)
+    and train (the speaker's own). A rendering is its texts in order of place; its mask is the spans that train.
+    A message is OPEN role CLOSE, or OPEN user:name CLOSE for other speakers, a newline, its content and END. OPEN
+    within a content or name gets a space after its "<", so no turn can forge a mark.
 
-    A row holds the turns of one window, numbers segment * window to (segment + 1) * window - 1: a dialogue up to
-    `window` turns is whole, a longer one goes to more rows, so no dialogue, however long, lands in one task.
-    Turns are in order of turn, role, text, so ties and repeated rows, which all stay, have one order. A null role is
-    the speaker "unknown", a null text is empty, a null turn goes before 0 in segment 0; rows with a null conv_id form
-    a dialogue of their own. Dialogues of system turns alone have no speaker, so no row. Other columns are ignored.
+    Nothing is cut and nothing is gathered into a row: turns are dealt out by range of their order, places and offsets
+    are sums within a range added to sums over the ranges before, so neither a dialogue, however long, nor one turn
+    number lands in one task. `dialogues` makes single texts of them.
+
+    Turns are in order of turn, role, text, so ties and repeated rows, which all stay, have one order; what turns are
+    numbered doesn't matter otherwise. A null turn goes before all others, a null role is the speaker "unknown", a null
+    text is empty; rows with a null conv_id form a dialogue of their own. Dialogues of system turns alone have no
+    speaker, so no row; an empty table gives none. Other columns are ignored.
     """
-    at = _told(turns).withColumn("segment", F.coalesce(F.floor(F.col("turn") / window), F.lit(0)).cast("long"))
-    talks = at.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
-    return _rendered(talks.withColumn("speaker", F.explode(F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["who"]), lambda w: w != "system"))))))
+    told = _told(turns).withColumn("tie", F.monotonically_increasing_id())
+    dealt = stored(told.repartitionByRange("conv_id", "turn", "who", "said", "tie").withColumn("part", F.spark_partition_id()))
+    per = dealt.groupBy("conv_id", "part", "who").agg(F.count("*").alias("n"), F.sum(F.length(_head("user", "who")) + F.length(_body("said"))).alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.groupBy("conv_id", "part").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.coalesce(F.sum(F.when(F.col("who") == "system", F.col("n"))), F.lit(0)).alias("rules"))
+    starts = parts.select("conv_id", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "size", "rules")))
+    speakers = per.where("who <> 'system'").select("conv_id", F.col("who").alias("speaker")).distinct()
+    seats = starts.alias("s").join(speakers.alias("k"), F.col("s.conv_id").eqNullSafe(F.col("k.conv_id"))).select("s.*", "speaker")
+    own = per.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("who").alias("w"), F.col("n").alias("own"))
+    seats = seats.join(own, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("speaker") == F.col("w")), "left").drop("c", "p", "w")
+    seats = seats.withColumn("own_before", F.coalesce(F.sum("own").over(Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    seats = seats.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "speaker", "n_before", "size_before", "rules_before", "own_before")
+    views = dealt.join(seats, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    mine = F.col("who") == F.col("speaker")
+    kind = F.when(mine, "assistant").when(F.col("who") == "system", "system").otherwise("user")
+    head, body = F.when(mine, _head("assistant")).when(F.col("who") == "system", _head("system")).otherwise(_head("user", "who")), _body("said")
+    order = Window.partitionBy("conv_id", "part", "speaker").orderBy("turn", "who", "said", "tie")
+    # sums of ranges before count every head as a user's; the speaker's own and the system's differ by a fixed length
+    shift = lambda role, who: F.length(_head(role)) - F.length(_head("user", who))
+    base = F.col("size_before") + F.col("own_before") * shift("assistant", "speaker") + F.col("rules_before") * F.lit(len(_text("system")) - len(_text("user", "system")))
+    inside = F.coalesce(F.sum(F.length(head) + F.length(body)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return views.select(
+        "conv_id", "speaker", (F.col("n_before") + F.row_number().over(order) - 1).cast("long").alias("place"), kind.alias("role"), F.when(kind == "user", F.col("who")).alias("name"),
+        F.concat(head, body).alias("text"), (base + inside + F.length(head)).cast("long").alias("start"), F.length(body).cast("long").alias("length"), mine.alias("train"),
+    )
 
 
-def whole_perspectives(turns: DataFrame, window: int = 256, parts: int = 64) -> DataFrame:
-    """As perspectives, but segments follow each other by place, and every speaker of the dialogue views all of them.
+def dialogues(messages: DataFrame) -> DataFrame:
+    """Single texts of what perspectives gives: conv_id, speaker, n_messages, n_trained, text and mask (start and length
+    of each trained span). A speaker's whole rendering is one row here, so it is for dialogues that fit one."""
+    own = F.sort_array(F.collect_list(F.struct("place", "text", "start", "length", "train")))
+    at = messages.groupBy("conv_id", "speaker").agg(F.count("*").alias("n_messages"), F.count_if("train").alias("n_trained"), own.alias("m"))
+    mask = F.transform(F.filter("m", lambda m: m["train"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length")))
+    return at.select("conv_id", "speaker", "n_messages", "n_trained", F.array_join(F.transform("m", lambda m: m["text"]), "").alias("text"), mask.alias("mask"))
+
+
+def _text(role: str, name: str | None = None) -> str:
+    return f"{OPEN}{role}{':' + name if name else ''}{CLOSE}\n"
 
-    Places come from the order of turn, role, text, so a segment has exactly `window` turns but for the dialogue's last,
-    whatever their numbers. A later segment begins with the earlier system turns, each text once, n_carried in number;
-    n_messages counts them too. A speaker's segments without these are what one rendering of the whole dialogue would be.
-    Turns are dealt out by range of that order, so neither a long dialogue nor one turn number lands in one task.
-    """
-    told = _told(turns).withColumn("tie", F.monotonically_increasing_id())
-    dealt = stored(told.repartitionByRange(parts, "conv_id", "turn", "who", "said", "tie").withColumn("part", F.spark_partition_id()))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "who", "said", "tie")) - 1
-    placed = dealt.withColumn("place", place).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    at = stored(placed.select("conv_id", F.floor((F.col("first") + F.col("place")) / window).alias("segment"), (F.col("first") + F.col("place")).alias("place"), "turn", "who", "said"))
-    own = at.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("place", "turn", "who", "said"))).alias("turns"))
-    rules = at.where("who = 'system'").groupBy(F.col("conv_id").alias("c"), "said").agg(F.min(F.struct("place", "turn", "who", "segment")).alias("r"))
-    later = own.where("segment > 0").select("conv_id", "segment").join(rules, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("r.segment") < F.col("segment")))
-    carried = later.groupBy(F.col("conv_id").alias("c"), F.col("segment").alias("s")).agg(F.sort_array(F.collect_list(F.struct("r.place", "r.turn", "r.who", "said"))).alias("carried"))
-    speakers = at.where("who <> 'system'").select(F.col("conv_id").alias("d"), F.col("who").alias("speaker")).distinct()
-    talks = own.join(carried, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("s")), "left").withColumn("carried", F.coalesce("carried", F.expr("slice(turns, 1, 0)")))
-    views = talks.join(speakers, F.col("conv_id").eqNullSafe(F.col("d")))
-    return _rendered(views.select("conv_id", "segment", "speaker", F.concat("carried", "turns").alias("turns"), F.size("carried").cast("long").alias("n_carried")), "n_carried")
+
+def _head(role: str, name: str | None = None):
+    return F.concat(F.lit(f"{OPEN}{role}:"), F.col(name), F.lit(f"{CLOSE}\n")) if name else F.lit(_text(role))
+
+
+def _body(said: str):
+    return F.concat(F.col(said), F.lit(END))
 
 
 def _told(turns: DataFrame) -> DataFrame:
+    turns, _ = carried(turns, ["conv_id", "turn", "role", "text"], keep=[])
     role = F.coalesce(F.lower(F.trim(F.col("role").cast("string"))), F.lit("unknown"))
     safe = lambda c: F.replace(c, F.lit(OPEN), F.lit("< |"))
     return turns.select(
@@ -65,31 +89,3 @@ def _told(turns: DataFrame) -> DataFrame:
         safe(F.when(role == "", "unknown").otherwise(role)).alias("who"),
         safe(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("said"),
     )
-
-
-def _rendered(talks: DataFrame, *also: str) -> DataFrame:
-    """talks has conv_id, segment, speaker and turns (with who and said); columns in `also` pass."""
-    mine = lambda t: t["who"] == F.col("speaker")
-    kind = lambda t: F.when(mine(t), "assistant").when(t["who"] == "system", "system").otherwise("user")
-    head = lambda t: F.concat(F.lit(OPEN), kind(t), F.when(mine(t) | (t["who"] == "system"), "").otherwise(F.concat(F.lit(":"), t["who"])), F.lit(CLOSE + "\n"))
-    end = f"{OPEN}end{CLOSE}\n"
-    parts = talks.withColumn("parts", F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["said"], F.lit(end)).alias("body"), kind(t).alias("role"), F.when(kind(t) == "user", t["who"]).alias("name"), t["said"].alias("content"), mine(t).alias("train"))))
-    none = F.expr("CAST(array() AS array<struct<role:string,name:string,content:string,start:int,length:int,train:boolean>>)")
-    placed = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("end"), none.alias("messages")),
-        lambda a, p: F.struct(
-            (a["end"] + F.length(p["head"]) + F.length(p["body"])).alias("end"),
-            F.array_append(a["messages"], F.struct(p["role"].alias("role"), p["name"].alias("name"), p["content"].alias("content"), (a["end"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["train"].alias("train"))).alias("messages"),
-        ),
-        lambda a: a["messages"],
-    )
-    df = parts.withColumn("messages", placed)
-    return df.select(
-        "conv_id", "segment", "speaker", F.size("parts").cast("long").alias("n_messages"),
-        F.size(F.filter("parts", lambda p: p["train"])).cast("long").alias("n_trained"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        "messages",
-        F.transform(F.filter("messages", lambda m: m["train"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))).alias("mask"),
-        *also,
-    )

@@ -4,31 +4,20 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions.shared import shared_dir
+
 #: The white space that separates words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(at)
-        return at
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder; for small frames."""
     shared_dir(df.sparkSession)
@@ -57,6 +46,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, needs: list[str], new: Iterable[str] = (), keep: list[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """df with the columns `needs`, and the others under names of this function's own (_c0, _c1 ...); and the columns
+    that bring back df's own ones, all or `keep`, under their names, less those that the result replaces (`new`).
+
+    Spark's names ignore case, so all comparisons here do, but a column spelt exactly as needed goes before one that
+    differs in case. What works on the frame in between may use any names that don't begin with _c and a digit.
+    """
+    place = {n: df.columns.index(n) if n in df.columns else [c.lower() for c in df.columns].index(n.lower()) for n in needs}
+    there = {i: n for n, i in place.items()}
+    replaced = {n.lower() for n in new}
+    kept = [i for i, n in enumerate(df.columns) if n.lower() not in replaced and (keep is None or n in keep)]
+    flat = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
+    flat = flat.select(*(F.col(f"_c{i}").alias(n) for n, i in place.items()), *(f"_c{i}" for i in kept if i not in there))
+    return flat, [F.col(there.get(i, f"_c{i}")).alias(df.columns[i]) for i in kept]
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer file lies on this machine; asked for on the worker that opens it."""
     import public_tokenizers

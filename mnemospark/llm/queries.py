@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_documents
-from .chat import perspectives, whole_perspectives
+from .chat import perspectives
 from .common import table
 from .line_dedup import line_dedup
 from .lm_score import lm_scores
@@ -56,16 +56,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = perspectives(table(spark, sf_dir, "conversations"))
-    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",")
-    return df.select("conv_id", "segment", "speaker", "n_messages", "n_trained", "text", mask.alias("mask"))
-
-
-def op9_chat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_chat without the split by turn number that its SQL has."""
-    df = whole_perspectives(table(spark, sf_dir, "conversations"))
-    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",")
-    return df.select("conv_id", "segment", "speaker", "n_messages", "n_carried", "n_trained", "text", mask.alias("mask"))
+    return perspectives(table(spark, sf_dir, "conversations"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,24 +75,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_packing,
         op8_nearest,
         op9_chat,
-        op9_chat_whole,
         op10_minhash,
     )
 }
 
 SQL: dict[str, str] = {
     "op9_chat": r"""
-WITH told AS (SELECT conv_id, coalesce(CAST(floor(turn / 256) AS BIGINT), 0) AS segment, turn,
-  replace(CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE lower(trim(role)) END, '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, who, said) AS n FROM told),
-views AS (SELECT r.*, s.speaker FROM ranked r JOIN (SELECT DISTINCT conv_id, segment, who AS speaker FROM told WHERE who <> 'system') s
-  ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.segment = s.segment),
-parts AS (SELECT *, CASE WHEN who = speaker THEN '<|assistant|>' || chr(10) WHEN who = 'system' THEN '<|system|>' || chr(10) ELSE '<|user:' || who || '|>' || chr(10) END AS head,
-  said || '<|end|>' || chr(10) AS body FROM views),
-placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY n) - length(body) AS begins FROM parts)
-SELECT conv_id, segment, speaker, count(*) AS n_messages, count(*) FILTER (who = speaker) AS n_trained, string_agg(head || body, '' ORDER BY n) AS text,
-  string_agg(CAST(CAST(begins AS BIGINT) AS VARCHAR) || '+' || length(body), ',' ORDER BY n) FILTER (who = speaker) AS mask
-FROM placed GROUP BY conv_id, segment, speaker
+WITH told AS (SELECT conv_id, turn, replace(CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE lower(trim(role)) END, '<|', '< |') AS who,
+  replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, said) - 1 AS place FROM told),
+views AS (SELECT r.*, s.speaker, who = s.speaker AS train FROM ranked r JOIN (SELECT DISTINCT conv_id, who AS speaker FROM told WHERE who <> 'system') s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+parts AS (SELECT *, CASE WHEN train THEN '<|assistant|>' WHEN who = 'system' THEN '<|system|>' ELSE '<|user:' || who || '|>' END || chr(10) AS head, said || '<|end|>' || chr(10) AS body FROM views)
+SELECT conv_id, speaker, place, CASE WHEN train THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user' END AS role, CASE WHEN NOT train AND who <> 'system' THEN who END AS name,
+  head || body AS text, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY place) - length(body) AS BIGINT) AS start, length(body) AS length, train FROM parts
 """,
     "op3_lm_score": r"""
 WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

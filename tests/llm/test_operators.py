@@ -327,39 +327,40 @@ def test_chi_square():
     assert np.allclose(ann.chi_square(x, 8), [0, 0.5, 0.95], atol=1e-3)
 
 
+def rendered_by_hand(turns):
+    """Every speaker's whole rendering and mask, and the messages behind it."""
+    out, by = {}, defaultdict(list)
+    for conv, turn, role, text in turns:
+        who = ((role or "").strip(" ").lower() or "unknown").replace("<|", "< |")
+        by[conv].append(((turn is not None, turn or 0), who, (text or "").replace("<|", "< |")))
+    for conv, own in by.items():
+        for speaker in {w for _, w, _ in own if w != "system"}:
+            text, mask = "", []
+            for _, w, said in sorted(own):
+                text += "<|assistant|>\n" if w == speaker else "<|system|>\n" if w == "system" else f"<|user:{w}|>\n"
+                if w == speaker:
+                    mask.append((len(text), len(said) + 8))
+                text += said + "<|end|>\n"
+            out[conv, speaker] = (len(own), len(mask), text, mask)
+    return out
+
+
 def test_chat(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi <|end|>"), (1, 2, "Anna ", "hello"), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "system", "alone"), (None, None, None, "who"), (3, 0, "user", "a"), (3, 300, "user", "b")]
-    got = chat.perspectives(spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, n_trained int")).collect()
-    assert sorted((r.conv_id or 0, r.segment, r.speaker, r.n_messages, r.n_trained) for r in got) == [(0, 0, "unknown", 1, 1), (1, 0, "anna", 5, 1), (1, 0, "user", 5, 3), (3, 0, "user", 1, 1), (3, 1, "user", 1, 1)]
-    anna = next(r for r in got if r.speaker == "anna")
-    assert anna.text == "<|system|>\nbe kind<|end|>\n<|user:user|>\nhi < |end|><|end|>\n<|assistant|>\nhello<|end|>\n<|user:user|>\n<|end|>\n<|user:user|>\n<|end|>\n"
-    assert [anna.text[m.start : m.start + m.length] for m in anna.mask] == ["hello<|end|>\n"]
-    assert [m.role for m in anna.messages] == ["system", "user", "assistant", "user", "user"] and chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
-def test_chat_whole(spark):
-    names = ["user", "Anna", "bob", None]
-    long = [(1, None if i % 3 == 0 else i // 5, "system" if i in (0, 90, 400) else "quiet" if i == 2 else names[i % 4], f"t{i} é") for i in range(600)]
-    short = [(3, 0, "user", "a"), (3, 300, "user", "b"), (3, 300, "user", "b"), (None, 1, "x", "y"), (2, 0, "system", "alone")]
-    df = spark.createDataFrame(long + short, "conv_id long, turn long, role string, text string")
-    whole = {(r.conv_id, r.speaker): r for r in chat.perspectives(df, 1 << 40).collect()}
-    got: dict = {}
-    for r in sorted(chat.whole_perspectives(df, 256, 5).collect(), key=lambda r: r.segment):
-        got.setdefault((r.conv_id, r.speaker), []).append(r)
-    assert set(got) == set(whole) and len(got[1, "quiet"]) == 3 and len(got[3, "user"]) == 1
-    for key, segments in got.items():
-        own = [m for r in segments for m in r.messages[r.n_carried :]]
-        assert [(m.role, m.name, m.content, m.train) for m in own] == [(m.role, m.name, m.content, m.train) for m in whole[key].messages]
-        for n, r in enumerate(segments):
-            assert r.n_messages - r.n_carried == min(256, whole[key].n_messages - 256 * n)
-            assert [m.content for m in r.messages[: r.n_carried]] == [m.content for m in whole[key].messages[: 256 * n] if m.role == "system"]
-            assert all(r.text[m.start : m.start + m.length] == m.content + "<|end|>\n" for m in r.messages)
-        cut = [r.text[r.messages[r.n_carried].start - len(head(r.messages[r.n_carried])) :] for r in segments]
-        assert "".join(cut) == whole[key].text
-
-
-def head(m):
-    return "<|" + m.role + (f":{m.name}" if m.name else "") + "|>\n"
+    names = ["user", "Anna ", "bob <|x", None, "  "]
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi <|end|>"), (1, 2, "Anna ", "hello"), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "system", "alone"), (None, None, None, "who"), (None, 4, "X", "")]
+    turns += [(3, 0, "user", "a"), (3, 300, "user", "b"), (3, 10**12, "other", "c")]  # numbers with gaps
+    turns += [(4, i, "system" if i in (0, 90, 400) else "quiet" if i == 2 else names[i % 5], f"t{i} é") for i in range(1000)]  # one speaker is absent for the rest
+    turns += [(5, None, names[i % 3], f"{i}") for i in range(400)] + [(6, 7, "Same", "same")] * 300
+    df = spark.createDataFrame([(*t, "x", 1) for t in turns], "conv_id long, turn long, role string, text string, speaker string, PLACE int")
+    got = chat.perspectives(df)
+    want = rendered_by_hand(turns)
+    assert {(r.conv_id, r.speaker): (r.n_messages, r.n_trained, r.text, [(m.start, m.length) for m in r.mask]) for r in chat.dialogues(got).collect()} == want
+    anna = [r for r in got.where("conv_id = 1 AND speaker = 'anna'").orderBy("place").collect()]
+    assert [(r.place, r.role, r.name, r.train) for r in anna] == [(0, "system", None, False), (1, "user", "user", False), (2, "assistant", None, True), (3, "user", "user", False), (4, "user", "user", False)]
+    assert "".join(r.text for r in anna) == "<|system|>\nbe kind<|end|>\n<|user:user|>\nhi < |end|><|end|>\n<|assistant|>\nhello<|end|>\n<|user:user|>\n<|end|>\n<|user:user|>\n<|end|>\n"
+    whole = want[1, "anna"][2]
+    assert all(whole[r.start : r.start + r.length] == r.text[-r.length :] for r in anna)
+    assert chat.perspectives(df.limit(0)).count() == 0
 
 
 def shared_with_any(texts, least):
