@@ -7,13 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import carried, cut, held_out
 from .stats import FEATURES, labelled, with_stats
 
 
+PARTS = 8
+
+
 @dataclass(frozen=True)
 class Model:
     """Centre and scale of the statistics, the random features, the ridge weights and the calibration's steps."""
@@ -60,15 +64,16 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int = 192, gamma: float = 0.15, ridge: float = 1e-3, bins: int = 200, seed: int = 7) -> Model:
     """Learns from at most fit_rows labelled documents outside the held-out fold.
 
-    Four fifths of them go into the normal equations: each partition sends its sums, and Spark adds them cell by cell.
-    The rest calibrate: their raw scores, in bins of equal counts, are made non-decreasing. gamma is the Gaussian
-    kernel's parameter. Without labels, or with one label only, every score is that label's share (0.5 without).
+    Four fifths of them go into the normal equations: each of PARTS partitions sends its sums, and Spark adds them cell
+    by cell. The rest calibrate: their raw scores, in bins of equal counts, are made non-decreasing. gamma is the
+    Gaussian kernel's parameter. With fewer than 20 labelled rows, or with one label only, nothing can be learned: every
+    score is the share of label 1 among them (0.5 without any).
     """
-    at = with_stats(labelled(docs.select("doc_id", "text"), labels, fit_rows)).select("doc_id", "_y", "_s.*", vector().alias("_x"))
+    at = with_stats(labelled(carried(docs, ["doc_id", "text"], keep=[])[0], labels, fit_rows)).select("doc_id", "_y", "_s.*", vector().alias("_x"))
     rows = cut(at.withColumn("_fit", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) > 0))
     seen = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("y"), *(F.avg(f).alias(f) for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).first()
     rng = np.random.default_rng(seed)
-    numbers = lambda names, other: np.array([seen[c] if seen[c] else other for c in names], dtype=np.float64)
+    numbers = lambda names, other: np.array([float(f"{seen[c]:.9g}") if seen[c] else other for c in names], dtype=np.float64)
     blank = Model(numbers(FEATURES, 0.0), numbers([f"s_{f}" for f in FEATURES], 1.0), rng.normal(0, np.sqrt(2 * gamma), (len(FEATURES), width)), rng.uniform(0, 2 * np.pi, width), np.zeros(width + 1), np.zeros(1), np.array([0.5 if seen["y"] is None else seen["y"]]))
     if seen["n"] < 20 or seen["y"] in (0.0, 1.0):
         return blank
@@ -78,11 +83,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int =
         for b in batches:
             x = blank.features(_matrix(b))
             total += x.T @ np.column_stack([x, b.column("_y").to_numpy(zero_copy_only=False)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, part, dtype=np.int32)), pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["part", "cell", "v"])
 
-    cells = rows.where("_fit").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()  # (width + 1) * (width + 2) rows
+    # what a partition holds, its order and the order of the partitions are fixed, so the last bits are too
+    dealt = rows.where("_fit").repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "_y", *(F.col("_x")[i] for i in range(len(FEATURES))))
+    summed = dealt.mapInArrow(sums, "part int, cell long, v double").groupBy("cell").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("part", "v"))), F.lit(0.0), lambda a, x: a + x["v"]).alias("v"))
     total = np.zeros((width + 1) * (width + 2))
-    for c in cells:
+    for c in summed.collect():  # (width + 1) * (width + 2) rows
         total[c["cell"]] = c["v"]
     total = total.reshape(width + 1, width + 2)
     weight = np.linalg.solve(total[:, :-1] + ridge * max(1.0, total[-1, -2]) / width * np.eye(width + 1), total[:, -1])
@@ -97,25 +105,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int =
     if not edges:
         return blank
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda c: F.col("raw") > c))
-    held = scored.groupBy(place.alias("b")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("x").collect()  # at most bins rows
+    held = scored.groupBy(place.alias("b")).agg(F.round(F.avg("raw"), 9).alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("x").collect()  # at most bins rows
     return Model(model.centre, model.scale, model.way, model.shift, weight, np.array([h["x"] for h in held]), isotonic(np.array([h["y"] for h in held]), np.array([h["n"] for h in held])))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, predict_at: float = 0.7, **how) -> DataFrame:
-    """docs with held_out, score (0 to 1; higher: label 1 likelier) and predicted (1 from predict_at on).
+def quality_scores(docs: DataFrame, labels: DataFrame, predict_at: float = 0.7, keep: list[str] | None = None, **how) -> DataFrame:
+    """docs (its columns `keep`, all by default) with held_out, score (0 to 1; higher: label 1 likelier) and predicted (1 from predict_at on).
 
-    Needs doc_id and text; other columns pass, save those with the result's names. The score comes from statistics of
+    Needs doc_id and text; other columns pass, save those with the result's names in any case. The score comes from statistics of
     the whole text alone; a null text counts as empty and is scored too. Repeated rows get equal scores; a null
     doc_id counts as not held out; an empty table gives no rows.
     """
     model = fit(docs, labels, **how)
-    keep = [c for c in docs.columns if c not in {"held_out", "score", "predicted", "_w", "_l", "_h", "_g", "_s", "_x"}]
+    df, back = carried(docs, ["doc_id", "text"], ["held_out", "score", "predicted"], keep)
+    own = [c for c in df.columns if c != "text" or keep is None or "text" in keep]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = model.score(_matrix(b)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+            score = np.round(model.score(_matrix(b)), 9) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(score)], names=[*own, "_score"])
 
-    df = with_stats(docs.select(*keep)).select(*keep, vector().alias("_x"))
-    df = df.mapInArrow(scores, docs.select(*keep).withColumn("score", F.lit(0.0)).schema)
-    return df.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= predict_at).cast("int").alias("predicted"))
+    schema = df.select(*own).withColumn("_score", F.lit(0.0)).schema
+    df = with_stats(df).select(*own, vector().alias("_x")).mapInArrow(scores, schema)
+    return df.select(*back, held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= predict_at).cast("int").alias("predicted"))

@@ -9,8 +9,8 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .stats import COUNTS, FEATURES, labelled, with_stats
+from .common import carried, cut
+from .stats import FEATURES, labelled, with_stats
 
 #: A conjunction: (feature, "<=" or ">", threshold) and so on. A list of them is tried in order; the first that holds rejects.
 Rule = tuple[tuple[str, str, float], ...]
@@ -27,9 +27,11 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, bins: int
     rest of the engine covers all rows). A rule grows by the threshold test of the largest FOIL gain, from one
     aggregate over all candidate tests, until it is pure or has most_tests tests. Pruning drops the last tests while
     (p - n) / (p + n) on the pruning rows doesn't fall. A rule stays if at least `purity` of what it rejects there is
-    labelled 0; then its rows leave and the next rule grows. No labelled rows: no rules, so every document is kept.
+    labelled 0; then its rows leave and the next rule grows. Covering ends when no rule stays, or at
+    most_rules: a list of at most that many rules of at most most_tests tests is what is fitted, so that it can be read.
+    No labelled rows: no rules, so every document is kept.
     """
-    at = with_stats(labelled(docs.select("doc_id", "text"), labels, fit_rows)).select("doc_id", "_y", "_s.*")
+    at = with_stats(labelled(carried(docs, ["doc_id", "text"], keep=[])[0], labels, fit_rows)).select("doc_id", "_y", "_s.*")
     rows = cut(at.withColumn("_grow", F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) > 0))
     cuts = rows.agg(*(F.percentile_approx(f, [i / bins for i in range(bins + 1)], 10_000).alias(f) for f in FEATURES)).first()
     if not cuts[FEATURES[0]]:
@@ -103,13 +105,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, tr
     """docs with its statistics, base_failed, rule (the number that rejected it, 0 for none) and kept.
 
     The rules are learned from the labelled documents of `train`, docs itself if none is given. Needs columns doc_id
-    and text; others pass, and columns of the result's names or of the statistics' are replaced. A null text counts as
-    empty and fails the base test. Repeated rows and ties are judged row by row; an empty table gives no rows.
+    and text; others pass, and columns of the result's names, in any case, are replaced. A null text counts as empty and
+    fails the base test. Repeated rows and ties are judged row by row; an empty table gives no rows.
     """
     rules = learn(docs if train is None else train, labels, fit_rows)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = with_stats(docs)
-    keep = [c for c in docs.columns if c not in {*new, *FEATURES, *COUNTS, "base_failed", "kept", "rule", "_w", "_l", "_h", "_g", "_s"}]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.select(*keep, "_s.*").withColumn("base_failed", failed).withColumn("rule", rule_column(rules))
-    return df.select(*keep, *new, "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule")
+    df, back = carried(docs, ["text"], [*new, "base_failed", "kept", "rule"])
+    df = with_stats(df)
+    failed = (F.col("_s.n_words") < 50) | (100 * F.col("_s.n_repeat_words") > 50 * F.col("_s.n_words"))
+    df = df.select(*(c for c in df.columns if c != "_s"), "_s", failed.alias("_failed"), *(F.col("_s")[f].alias(f) for f in FEATURES)).withColumn("_rule", rule_column(rules))
+    return df.select(*back, *(F.col("_s")[c].alias(c) for c in new), F.col("_failed").alias("base_failed"), (~F.col("_failed") & (F.col("_rule") == 0)).alias("kept"), F.col("_rule").alias("rule"))

@@ -26,8 +26,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
-def _times(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).cast("long")
+def _times(text: Column, kind: str) -> Column:
+    """How many characters of a kind a text has: by how much it gets shorter without them."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))).cast("long")
 
 
 def _repeated(by: str) -> Column:
@@ -52,14 +53,16 @@ def _covered(places: Column) -> Column:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `_s` (in place of columns named _w, _l, _h, _g or _s): the counts of every whole text and the FEATURES. A null text counts as empty.
+    """docs with a struct column `_s`: the counts of every whole text and the FEATURES. A null text counts as empty.
 
+    docs has no columns named _t, _w, _l, _h, _g or _s (`carried` sees to that).
     Windows are compared by hash first: without two equal hashes there are no equal windows, so only texts with
     some are looked at word by word.
     """
-    docs = docs.drop("_w", "_l", "_h", "_g", "_s")
     t = F.coalesce(F.col(text), F.lit(""))
-    df = once(once(docs, "_w", words_of(t)), "_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+    # what is counted by kind is neither a-z nor white space; without those, texts are short
+    df = once(docs, "_t", F.regexp_replace(t, f"[a-z{SPACE}]+", ""))
+    df = once(once(df, "_w", words_of(t)), "_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     three = lambda i: [F.element_at("_w", i + k) for k in (1, 2, 3)]
     windows = lambda f: F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), f))
     df = once(df, "_h", windows(lambda i: F.xxhash64(*three(i))))
@@ -70,18 +73,18 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "_s",
         F.struct(
             F.size("_w").cast("long").alias("n_words"),
-            F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-            _times(t, r"[#*$%&|<>]").alias("n_symbols"),
+            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+            _times(F.col("_t"), r"[#*$%&|<>]").alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
             repeats.cast("long").alias("n_repeat_words"),
             F.size("_l").cast("long").alias("n_lines"),
-            _times(t, r"\p{Lu}").alias("n_upper"),
-            _times(t, "!").alias("n_exclaim"),
-            _times(t, "[0-9]").alias("n_digits"),
-            _times(t, r"[.,;:?]").alias("n_punct"),
+            _times(F.col("_t"), r"\p{Lu}").alias("n_upper"),
+            _times(F.col("_t"), "[!]").alias("n_exclaim"),
+            _times(F.col("_t"), "[0-9]").alias("n_digits"),
+            _times(F.col("_t"), r"[.,;:?]").alias("n_punct"),
             F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
         ),
-    ).drop("_w", "_l", "_h", "_g")
+    ).drop("_t", "_w", "_l", "_h", "_g")
     s, one = F.col("_s"), lambda c: F.greatest(c, F.lit(1)).cast("double")
     chars, words, lines = one(s["word_chars"]), one(s["n_words"]), one(s["n_lines"])
     ratios = (

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import carried, tokenizer_path
 
 #: A pre-token after the prefix space: spaces, then what lies before the next space; spaces alone at the end.
 _PRE = re.compile(" *[^ ]+| +")
@@ -66,39 +67,50 @@ class Lengths:
         return out
 
 
-def frequent_lengths(docs: DataFrame, model: str, frequent: int, sample_docs: int) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, model: str, frequent: int, sample_docs: int, sample_parts: int = 16) -> dict[str, int]:
     """The commonest pre-tokens of at most sample_docs documents, with their lengths: at most `frequent` entries.
 
-    It only saves encoding; which documents it saw changes no result.
+    The documents are the first of up to sample_parts partitions, spread evenly, so no more is read at any size, and
+    each task sends counts of at most `frequent` pre-tokens, no texts. The table only saves encoding; which documents
+    it saw changes no result.
     """
+    rows = docs.select("text").rdd
+    there = rows.getNumPartitions()
+    some = sorted({i * there // sample_parts for i in range(sample_parts)}) if there else []
+    each = -(-sample_docs // max(1, len(some)))
 
-    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def commonest(texts: Iterator) -> list[tuple[str, int]]:
         seen: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(p for p in pre_tokens(text or "") if len(p) <= LONGEST)
-        top = [p for p, _ in seen.most_common(frequent)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(Lengths(model, {}).encoded(top), pa.int32())], names=["part", "n"])
+        for row in islice(texts, each):
+            seen.update(p for p in pre_tokens(row[0] or "") if len(p) <= LONGEST)
+        return seen.most_common(frequent)
 
-    return {r["part"]: r["n"] for r in docs.select("text").limit(sample_docs).mapInArrow(commonest, "part string, n int").collect()}
+    total: Counter = Counter()
+    for p, n in docs.sparkSession.sparkContext.runJob(rows, commonest, some) if some else []:
+        total[p] += n
+    top = [p for p, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:frequent]]
+    return dict(zip(top, Lengths(model, {}).encoded(top), strict=True)) if top else {}
 
 
-def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, keep: list[str] | None = None, frequent: int = 30_000, sample_docs: int = 2_000) -> DataFrame:
+def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, keep: list[str] | None = None, frequent: int = 30_000, sample_docs: int = 2_048) -> DataFrame:
     """docs (its columns `keep`, all by default) with n_bytes, n_tokens and over_limit (more than `limit` tokens).
 
-    Needs a column text; a null text counts as empty, with 0 bytes and tokens. Columns of the result's names are
-    replaced. Every row is counted by itself, so repeated rows count alike; an empty table gives no rows.
+    Needs a column text; a null text counts as empty, with 0 bytes and tokens. Columns of the result's names, in any
+    case, are replaced; others pass. Every row is counted by itself, so repeated rows count alike; an empty table gives
+    no rows.
     """
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {"n_bytes", "n_tokens", "over_limit"}]
-    shared = spark.sparkContext.broadcast(frequent_lengths(docs, model, frequent, sample_docs))
+    df, back = carried(docs, ["text"], ["n_bytes", "n_tokens", "over_limit"], keep)
+    shared = spark.sparkContext.broadcast(frequent_lengths(df, model, frequent, sample_docs))
+    whole = "text" in {c.lower() for c in (docs.columns if keep is None else keep)}
+    own = [c for c in df.columns if c != "text" or whole]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(model, shared.value)
         for b in batches:
-            n = lengths.count([t or "" for t in b.column("_t").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("n_bytes"), pa.array(n, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+            n = lengths.count([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), b.column("_bytes"), pa.array(n, pa.int64())], names=[*own, "_bytes", "_tokens"])
 
-    df = docs.select(*keep, F.col("text").alias("_t"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    schema = df.drop("_t").withColumn("n_tokens", F.lit(0).cast("long")).schema
-    return df.mapInArrow(counted, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    df = df.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    schema = df.select(*own, "_bytes").withColumn("_tokens", F.lit(0).cast("long")).schema
+    return df.mapInArrow(counted, schema).select(*back, F.col("_bytes").alias("n_bytes"), F.col("_tokens").alias("n_tokens"), (F.col("_tokens") > limit).alias("over_limit"))
