@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import carried, stored
 
 
 def rare_keys(hashes: list[int], words: list[int], least: int) -> list[int]:
@@ -102,45 +102,55 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
     """Places in b of lines in blocks that lie together in both, of at least `least` words in all.
 
-    Aligned lines are set aside and the rest is aligned again, so blocks in another order are found too. Where lines
-    recur, an alignment can break up a common block; its runs, which both have, are looked up at the end.
+    Aligned lines are set aside and the rest is aligned again, so blocks in another order are found too, as long as an
+    alignment takes a quarter of the lines that both have left: the work is then that of few alignments. Blocks that are
+    left by then, or that an alignment broke up, are looked up by their runs, which both have: every line of a common
+    block lies in one (see rare_keys), so the result is whole either way.
     """
     if a == b:
         return list(range(len(b))) if sum(words) >= least else []
     of = dict(zip(b, words, strict=True))
-    there = {tuple(a[i:j]) for i, j in runs_of([of.get(x, least) for x in a], least)}
-    broken = {n for i, j in runs_of(words, least) if tuple(b[i:j]) in there for n in range(i, j)}
-    a, b, gone = list(a), list(b), []
+    sizes = [of.get(x, least) for x in a]
+    there = {_digest(a, i, j) for i, j in runs_of(sizes, least)}
+    gone = {n for i, j in runs_of(words, least) if _digest(b, i, j) in there for n in range(i, j)}
+    a, b = list(a), list(b)
     while True:
         pairs = patience(a, b)
-        if not pairs:
-            return sorted(broken.union(gone))
         begin = 0
         for n in range(1, len(pairs) + 1):
             if n == len(pairs) or pairs[n] != (pairs[n - 1][0] + 1, pairs[n - 1][1] + 1):
                 block = [j for _, j in pairs[begin:n]]
                 if sum(words[j] for j in block) >= least:
-                    gone += block
+                    gone.update(block)
                 begin = n
         for n, (i, j) in enumerate(pairs):
             a[i], b[j] = ("a", i, n), ("b", j, n)  # equal to nothing
+        both = set(a).intersection(b)
+        if not both or 4 * len(pairs) < len(pairs) + sum(x in both for x in b):
+            return sorted(gone)
 
 
-def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
-    """docs with text less the blocks of lines that an earlier document has, n_lines, removed_lines and removed_words.
+def _digest(lines: list[int], i: int, j: int) -> bytes:
+    return xxhash.xxh3_128_digest(np.array(lines[i:j], dtype=np.int64).tobytes())
+
 
-    Lines are what lies between \\n, without white space at either end; lines without words don't count and stay.
-    Earlier means of smaller doc_id. A run of lines with at least least_words words that is in several documents pairs
-    each of them with the first that has it, so pairs grow with the documents and not with their square, and nothing
-    is capped. Runs are taken forwards and backwards, so each line of a block that any earlier document has is in one. Patience diff aligns each pair, and aligned blocks of least_words words or more are deleted from the
-    later one. What is deleted stays in the first document that has it.
+def line_dedup(docs: DataFrame, least_words: int = 50, pairs_a_task: int = 20_000) -> DataFrame:
+    """docs with text less the blocks of lines that an earlier document has, n_lines, removed_lines and removed_words.
 
-    Needs doc_id and text; other columns pass, and columns of the result's names are replaced. A null text stays null.
-    Rows with a null doc_id pass untouched; rows of one doc_id are not compared with each other, and get their
-    deletions by doc_id and text. An empty table gives no rows.
+    Lines are what lies between \n, without white space at either end; lines without words don't count and stay.
+    Earlier means of smaller doc_id. What makes lines rare is their length: a run of lines with at least least_words
+    words hardly ever recurs by chance, while a single short line ("Home", a greeting) recurs everywhere, and deleting it
+    would hurt clean documents; so runs, forwards and backwards, are the keys, and each line of a block that any earlier
+    document has is in one. A run that is in several documents pairs each of them with the first that has it, so pairs
+    grow with the documents and not with their square, and nothing is capped. Patience diff aligns each pair, and aligned
+    blocks of least_words words or more are deleted from the later one. What is deleted stays in the first document
+    that has it. Pairs of one first document are dealt to tasks of about pairs_a_task.
+
+    Needs doc_id and text; other columns pass, and columns of the result's names, in any case, are replaced. A null text
+    stays null. Rows with a null doc_id pass untouched; rows of one doc_id are not compared with each other, and get
+    their deletions by doc_id and text. An empty table gives no rows.
     """
-    new = ["n_lines", "removed_lines", "removed_words"]
-    keep = [c for c in docs.columns if c not in {*new, "_v", "_w", "_d", "_dl", "_lines", "_gone"}]
+    df, back = carried(docs, ["doc_id", "text"], ["n_lines", "removed_lines", "removed_words"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,14 +164,17 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
             arrays = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_v"), *arrays], names=["doc_id", "_v", "hashes", "words", "places", "keys"])
 
-    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_v"), F.col("text").cast("binary"))
+    source = df.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_v"), F.col("text").cast("binary"))
     lines = stored(source.mapInArrow(read, "doc_id long, _v long, hashes array<long>, words array<int>, places array<int>, keys array<long>"))
     runs = lines.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     shared = runs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    pairs = runs.join(shared, "key").where("first < doc_id").select("first", "doc_id").distinct()
-    earlier = lines.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
+    pairs = stored(runs.join(shared, "key").where("first < doc_id").select("first", "doc_id").distinct())
+    # a first document that many others meet is dealt to as many tasks as its pairs need
+    salts = 1 + pairs.count() // pairs_a_task
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    earlier = pairs.select("first", "salt").distinct().join(lines.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")), "first")
     later = lines.select("doc_id", "_v", F.col("hashes").alias("b"), "words", "places")
-    both = pairs.join(earlier, "first").join(later, "doc_id").select("doc_id", "_v", "a", "b", "words", "places")
+    both = pairs.join(earlier, ["first", "salt"]).join(later, "doc_id").select("doc_id", "_v", "a", "b", "words", "places")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,13 +199,14 @@ def line_dedup(docs: DataFrame, least_words: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_v"), pa.array(flags, pa.list_(pa.bool_())), pa.array(words, pa.int64())], names=["_d", "_v", "_gone", "removed_words"])
 
     gone = met.mapInArrow(marked, "_d long, _v long, _gone array<boolean>, removed_words long")
-    df = docs.select(*keep).withColumn("_v", F.xxhash64("text")).withColumn("_dl", F.col("doc_id").cast("long"))
+    df = df.withColumn("_v", F.xxhash64("text")).withColumn("_dl", F.col("doc_id").cast("long"))
     df = df.join(gone.withColumnRenamed("_v", "_w"), (F.col("_dl") == F.col("_d")) & (F.col("_v") == F.col("_w")), "left").withColumn("_lines", F.split("text", "\n"))
     left = F.filter("_lines", lambda _, i: ~F.coalesce(F.get(F.col("_gone"), i), F.lit(False)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return df.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in keep),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda g: g))).cast("long").alias("removed_lines"),
-        F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
+    df = df.select(
+        *(c for c in df.columns if c not in {"text", "_gone", "_lines", "removed_words"}),
+        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("_n"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda g: g))).cast("long").alias("_removed"),
+        F.coalesce("removed_words", F.lit(0)).cast("long").alias("_words"),
     )
+    return df.select(*back, F.col("_n").alias("n_lines"), F.col("_removed").alias("removed_lines"), F.col("_words").alias("removed_words"))

@@ -11,9 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried
 from .minhash import WordHashes
 
 BLOCK_BYTES = 6_000_000
+PART_BYTES = 8_000_000  # of texts for each count table: tables grow in number with the corpus, not in size
 BITS = 56  # of an n-gram's hash; a byte less is a sixth less to shuffle, and 10^12 n-grams still share a hash once in 70,000
 TOTAL = np.uint64(0x58F42D4C957F2D)  # stands for the number of all words in the count tables
 
@@ -79,7 +81,8 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, parts: int
     given up; a single word has count / all words, and one that no other document has 1 / (all words + 1). Counts are
     of all documents less the one that is scored, else it would always be found.
 
-    1. Each block of documents sends its distinct n-grams with their counts, by hash, to `parts` count tables.
+    1. Each block of documents sends its distinct n-grams with their counts, by hash, to `parts` count tables (one for
+       each PART_BYTES of texts, if not given).
     2. A table sums the counts of its n-grams over all blocks and answers each block, by position.
     3. A block's texts meet the answers; scores are summed per document.
 
@@ -89,9 +92,12 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, parts: int
     (or null) have n_words 0 and a null score; repeated rows are documents of their own; null doc_ids pass; an empty
     table gives no rows; other columns are ignored.
     """
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = np.uint64((1 << BITS) // parts + 1)
+    docs, _ = carried(docs, ["doc_id", "text"], keep=[])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    if not parts:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    step = np.uint64((1 << BITS) // parts + 1)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
