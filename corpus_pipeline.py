@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: each stage reads what the one before it wrote."""
+"""A corpus from raw documents to packed sequences: each stage reads what the one before it wrote.
+
+Every stage takes documents with COLUMNS; further columns are ignored, an empty table gives an empty one. A null text
+counts as empty: the rules reject it, as any text under 50 words. Rows with a null doc_id are judged like others and meet
+no copies. Rows of one doc_id go and stay together in near_dedup; elsewhere each is judged by itself.
+"""
 
 from __future__ import annotations
 

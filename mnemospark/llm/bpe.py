@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, tokenizer_path
+from .common import carried, release, tokenizer_path
 
 LONGEST = 256
 #: Words of printable ASCII and Latin letters, which are composed already and whose lower case is one letter (special
@@ -190,6 +190,7 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
     doc_ids pass; an empty table gives no rows; other columns are ignored.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs, _ = carried(docs, ["doc_id", "text"], keep=[])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

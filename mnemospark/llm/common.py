@@ -107,6 +107,9 @@ def sized_join(big: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (u, v long): component is the smallest id reachable.
 
+    Repeated edges and edges from an id to itself change nothing, edges with a null end are ignored, and no edges give
+    no rows.
+
     Labels spread along edges and then jump to their own label's label, so rounds grow with the logarithm of a
     component's width. Each round is written to the shared folder; nothing but one count reaches the driver.
     """

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release, shuffles_cleaned, sized_join, stored
+from .common import carried, components, cut, release, shuffles_cleaned, sized_join, stored
 
 ROWS = 4  # minima in a band
 BITS = 2  # low bits kept of each minimum
@@ -78,8 +78,13 @@ def _folded(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _content(words: list[bytes]) -> bytes | None:
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, content (128-bit digest of the words), bands (a hash of each) and bits (packed low bits)."""
+    """doc_id, n_shingles, content (128-bit digest of the words), bands (a hash of each) and bits (packed low bits) of
+    each row of docs (doc_id, text); without words or text n_shingles is 0 and the others are null."""
     mul, add = _keys(bands * ROWS)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +95,7 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
                 words = _folded(text)
                 own = shingles(words, size, hashes)
                 n.append(len(own))
-                content.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                content.append(_content(words))
                 if not len(own):
                     keys.append(None)
                     bits.append(None)
@@ -108,35 +113,45 @@ def sketches(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and own, the sorted shingle hashes, of each row of docs (doc_id, text)."""
+    """id, content and own, the sorted shingle hashes, of each row of docs (doc_id, text); empty without words or text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in _slices(batches):
-            own = [shingles(_folded(t), size, hashes).view(np.int64) for t in b.column(1).to_pylist()]
+            split = [_folded(t) for t in b.column(1).to_pylist()]
+            own = [shingles(words, size, hashes).view(np.int64) for words in split]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate([*own, np.zeros(0, dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_content(w) for w in split], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "content", "own"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(made, "id long, own array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(made, "id long, content binary, own array<long>")
 
 
-def _agreeing(pairs: DataFrame, functions: int, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose packed low bits don't rule it out.
+def _least_agreeing(functions: int, percent: int) -> float:
+    """How many of the packed minima two sets at the threshold agree in at least, but for six deviations.
 
     Bits of two minima agree by chance once in 2**BITS, so the similarity's estimate is (share - c) / (1 - c) with
-    c = 2**-BITS. A pair goes only if its share lies more than six deviations under what the threshold would give.
+    c = 2**-BITS, and at the threshold the share is this one.
     """
     s, c = percent / 100, 0.5**BITS
     share = s + (1 - s) * c
-    least = functions * share - 6 * math.sqrt(functions * share * (1 - share))
+    return functions * share - 6 * math.sqrt(functions * share * (1 - share))
+
+
+#: For each byte of two signatures' difference: how many minima in it differ.
+_DIFFERING = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, -1, BITS).any(axis=2).sum(axis=1).astype(np.uint8)
+
+
+def _agreeing(pairs: DataFrame, functions: int, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the similarity and whose packed low bits don't rule it out (see _least_agreeing)."""
+    least = _least_agreeing(functions, percent)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("bits_u", "bits_v"))
-            differ = np.unpackbits(x ^ y, axis=1).reshape(b.num_rows, -1, BITS)[:, :functions].any(axis=2).sum(axis=1)
+            differ = _DIFFERING[x ^ y].sum(axis=1, dtype=np.int64)
             yield b.filter(pa.array(functions - differ >= least)).select(["u", "v"])
 
     fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
@@ -150,70 +165,69 @@ def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("n", common).where(100 * F.col("n") >= percent * (F.size("own_u") + F.size("own_v") - F.col("n"))).select("u", "v")
 
 
-def _meeting(rows: DataFrame, own: DataFrame, percent: int, most: int = 200_000) -> DataFrame:
-    """Links (u, v) between components within large buckets; rows has band, key, id, component and total, the bucket's shingles.
+def _meeting(rows: DataFrame, own: DataFrame, functions: int, percent: int, most: int = 200_000) -> DataFrame:
+    """Links (u, v) between components within large buckets; rows has band, key, id, component, bits and total, the bucket's shingles.
 
     A bucket's members are dealt to blocks of about `most` shingles, and each pair of blocks is compared in a task of
-    its own, on full sets through an inverted index. Only links that join two components leave it: fewer than its members.
+    its own: first the packed bits of all pairs across components, then the full sets of those that may be similar.
+    Only links that join two components leave it: fewer than its members.
     """
-    blocks = F.ceil(F.col("total") / most).cast("int")
+    blocks, least = F.ceil(F.col("total") / most).cast("int"), _least_agreeing(functions, percent)
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select("band", "key", "id", "component", "bits", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compared(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
         ids, component, mine = (t.column(c).to_numpy() for c in ("id", "component", "mine"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         lists = t.column("own").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        ends, low, high = np.concatenate([[0], np.cumsum(sizes)]), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        _, terms = np.unique(flat, return_inverse=True)
-        right = np.repeat(mine == high, sizes)
-        order = np.flatnonzero(right)[np.argsort(terms[right], kind="stable")]
-        owner, times = np.repeat(np.arange(len(ids)), sizes)[order], np.bincount(terms[right], minlength=int(terms.max()) + 1)
-        begin = np.cumsum(times) - times
-        root = {c: c for c in component.tolist()}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        del flat, order, right
+        sizes = lists.value_lengths().to_numpy()
+        begin, low, high = np.cumsum(sizes) - sizes, t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        kinds, terms = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros(len(kinds), dtype=bool)
+        right = np.flatnonzero(mine == high)
+        _, named = np.unique(component, return_inverse=True)
+        root = np.arange(int(named.max()) + 1)  # of each component, always its last one's number
         out: list[tuple[int, int]] = []
-        left = len(root) - 1
         for x in np.flatnonzero(mine == low):
-            if not left:
+            if len(out) == len(root) - 1:
                 break
-            asked = terms[ends[x] : ends[x + 1]]
-            common = np.zeros(len(ids), dtype=np.int64)
-            for some in np.array_split(asked, 1 + int(times[asked].sum()) // 200_000):
-                n = times[some]
-                at = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                common += np.bincount(owner[at], minlength=len(ids))
-            for y in np.flatnonzero((100 * common >= percent * (sizes[x] + sizes - common)) & (common > 0)):
-                p, q = top(int(component[x])), top(int(component[y]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
-                    left -= 1
+            apart = right[root[named[right]] != root[named[x]]]
+            apart = apart[100 * np.minimum(sizes[apart], sizes[x]) >= percent * np.maximum(sizes[apart], sizes[x])]
+            apart = apart[bits.shape[1] and functions - _DIFFERING[bits[apart] ^ bits[x]].sum(axis=1, dtype=np.int64) >= least]
+            if not len(apart):
+                continue
+            has[terms[begin[x] : begin[x] + sizes[x]]] = True
+            for some in np.array_split(apart, 1 + int(sizes[apart].sum()) // most):
+                ends = np.cumsum(sizes[some])
+                at = np.repeat(begin[some] - (ends - sizes[some]), sizes[some]) + np.arange(ends[-1])
+                common = np.add.reduceat(has[terms[at]].astype(np.int64), ends - sizes[some])
+                for y in some[100 * common >= percent * (sizes[x] + sizes[some] - common)]:
+                    p, q = int(root[named[x]]), int(root[named[y]])
+                    if p != q:
+                        root[root == p] = q
+                        out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            has[terms[begin[x] : begin[x] + sizes[x]]] = False
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return dealt.join(own, "id").groupBy("band", "key", "i", "j").applyInArrow(compared, "u long, v long")
 
 
-def _classed(docs: DataFrame, size: int, percent: int, rounds: int, few: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and (content, c) for classes with copies or links: c is the smallest doc_id of their component."""
+def _classed(docs: DataFrame, size: int, percent: int, rounds: int, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches; (content, c) for classes with copies or links, c being the smallest doc_id of their component; and
+    (doc_id, shown) for doc_ids with several texts, shown being the content that counts."""
     bands = bands_for(percent / 100)
     sketch = stored(sketches(docs, size, bands))
-    classes = sketch.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    reps = sketch.join(classes.select(F.col("rep").alias("doc_id"), F.col("content").alias("c")), "doc_id").where("content = c")
+    named = sketch.where("content IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("content").alias("content"), F.max("content").alias("other"))
+    mixed = cut(named.where("content < other").select("doc_id", F.col("content").alias("shown")))
+    classes = named.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+    reps = sketch.join(classes.select(F.col("rep").alias("doc_id"), F.col("content").alias("c")), "doc_id").where("content = c").dropDuplicates(["doc_id"])
     met = reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits", F.posexplode("bands").alias("band", "key"))
     crowded = met.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("band", "key")
     met = stored(met.join(crowded, ["band", "key"]))
     ids = cut(met.select(F.col("id").alias("doc_id")).distinct())
-    own = stored(sets(sized_join(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id", "left_semi"), size).dropDuplicates(["id"]))
+    own = stored(sets(sized_join(docs.where("text IS NOT NULL").select("doc_id", "text"), ids, "doc_id", "left_semi"), size).groupBy("id").agg(F.min_by("own", "content").alias("own")))
     tested = links = None
     label = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
     for k in range(rounds + 1):
@@ -236,12 +250,11 @@ def _classed(docs: DataFrame, size: int, percent: int, rounds: int, few: int) ->
         found = cut(_linked(new, own, percent))
         links = found if links is None else links.union(found)
         if k == rounds:
-            links = links.union(cut(_meeting(left.where(F.col("n") > few), own, percent)))
+            links = links.union(cut(_meeting(left.where(F.col("n") > few), own, bands * ROWS, percent)))
         joined = components(links)
         label = cut(ids.join(joined, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")))
     of_class = classes.join(label, F.col("rep") == F.col("id"), "left").where("members > 1 OR component < rep").select("content", F.coalesce("component", "rep").alias("c"))
-    of_class = stored(of_class)
-    return sketch, of_class
+    return sketch, stored(of_class), mixed
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2, few: int = 16) -> DataFrame:
@@ -254,15 +267,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     Within a band's bucket, links are sought until nothing more can join: each round pairs every class with one leader
     (another each round), verifies, and joins components; buckets that lie in one component by then are done. In what
     is left, buckets of up to `few` classes send out their pairs across components; larger ones are compared inside
-    tasks, block by block, and only links that join components leave those. So no bucket sends out the square of its
+    tasks, block by block, and only links that join components leave those. Every pair is judged by its packed bits
+    before its full sets are read. So no bucket sends out the square of its
     size, and no link that would join two components is lost: there is no cap.
 
     Rows without words (or a null text) have no shingles and link with nothing; rows with a null doc_id are kept
-    unlinked, with a null component_id. Rows of one doc_id count as one document; ties go to the smallest id. An empty
-    table gives no rows, and other columns are ignored.
+    unlinked, with a null component_id. Rows of one doc_id count as one document: if their texts differ, the one with
+    the smallest digest of its words is compared, and all of them get its component; each keeps its own n_shingles.
+    Ties go to the smallest id. An empty table gives no rows, and other columns are ignored.
     """
     with shuffles_cleaned(docs.sparkSession):
-        sketch, of_class = _classed(docs, size, percent, rounds, few)
-    out = sketch.select("doc_id", "n_shingles", "content").join(of_class, "content", "left")
+        sketch, of_class, mixed = _classed(carried(docs, ["doc_id", "text"], keep=[])[0], size, percent, rounds, few)
+    rows = sized_join(sketch.select("doc_id", "n_shingles", "content"), mixed, "doc_id", "left").withColumn("content", F.when(F.col("content").isNotNull(), F.coalesce("shown", "content")))
+    out = rows.join(of_class, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

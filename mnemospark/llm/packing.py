@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Words
-from .common import stored
+from .common import carried, stored
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -69,7 +69,11 @@ def best_fit(lengths: list[int], size: int) -> list[tuple[int, int]]:
 
 
 def cut_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 2048, end: int = 1) -> DataFrame:
-    """Documents' ids, each ended by id `end`, cut into windows of `size` ids and a rest: one row a piece."""
+    """Documents' ids, each ended by id `end`, cut into windows of `size` ids and a rest: one row a piece.
+
+    docs has doc_id and text; other columns are ignored. A null or empty text is `end` alone; null doc_ids and repeated
+    rows are cut like others; an empty table gives no rows.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = Words.shared(name), np.array([end], dtype="<u4")
@@ -84,6 +88,7 @@ def cut_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", size: int = 204
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         words.trim()
 
+    docs, _ = carried(docs, ["doc_id", "text"], keep=[])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
 

@@ -187,7 +187,7 @@ def linked(texts, size, percent):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent", "few"), [(3, 85, 16), (5, 80, 1)])
+@pytest.mark.parametrize(("size", "percent", "few"), [(3, 85, 16), (5, 80, 1), (3, 70, 1)])
 def test_near_duplicates(spark, odd, none, size, percent, few):
     rng = np.random.default_rng(5)
     vocabulary = [f"t{i}" for i in range(2000)]
@@ -208,6 +208,17 @@ def test_near_duplicates(spark, odd, none, size, percent, few):
     assert minhash.near_duplicates(none, size, percent).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    one, two, three = (" ".join(f"{c}{i}" for i in rng.integers(0, 900, 80)) for c in "abc")
+    rows = [(9, one), (9, two), (9, one), (4, one), (5, two), (6, three), (6, three), (9, ""), (7, None)]
+    out = [sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()) for n in (1, 5)]
+    assert out[0] == out[1]
+    top = {(d, n > 0): c for d, n, c, _ in out[0]}
+    assert top[9, True] in (4, 5) and top[9, False] == 9 and top[4, True] == 4 and top[5, True] == 5 and top[6, True] == 6 and top[7, False] == 7
+    assert all(k == (d == c) for d, _, c, k in out[0]) and len(out[0]) == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -403,3 +414,34 @@ def test_common_blocks_that_alignment_breaks_up():
                 if sum(words[x] for x in b[i:j]) >= 50 and any(a[k : k + j - i] == b[i:j] for k in range(len(a))):
                     want |= set(range(i, j))
         assert line_dedup.common_blocks(a, b, [words[x] for x in b], 50) == sorted(want)
+
+
+CLASHING = ["N_BYTES", "_t", "N_Words", "Removed_Words", "Score", "Rule", "KEPT", "Base_Failed", "_v", "_w", "_d", "_dl", "_lines", "_gone", "_s", "_x", "_c0", "_C1", "_score", "_bytes", "TEXT", "Component_ID", "Held_Out"]
+
+
+@pytest.mark.parametrize(
+    ("operator", "new"),
+    [
+        (lambda df, labels: token_count.token_counts(df), ["n_bytes", "n_tokens", "over_limit"]),
+        (lambda df, labels: quality_rules.quality_rules(df, labels), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"]),
+        (lambda df, labels: quality_classifier.quality_scores(df, labels), ["held_out", "score", "predicted"]),
+        (lambda df, labels: line_dedup.line_dedup(df), ["n_lines", "removed_lines", "removed_words"]),
+    ],
+    ids=["op4", "op2", "op5", "op1"],
+)
+def test_clashing_names(spark, labels, operator, new):
+    """Columns of the result's names are replaced in any case, all others pass, whatever the operator calls its own."""
+    df = spark.createDataFrame([(*(f"{c} {i}" for c in CLASHING), i, f"{PASSAGE} {i}\n{PASSAGE}" if i else None) for i in range(4)], ", ".join(f"`{c}` string" for c in CLASHING) + ", doc_id long, text string")
+    out = operator(df, labels)
+    others = [c for c in CLASHING if c.lower() not in new]
+    assert out.columns == [*others, "doc_id", "text", *new]
+    rows = sorted(out.toDF(*(f"x{i}" for i in range(len(out.columns)))).collect(), key=lambda r: r[len(others)])
+    assert [list(r[: len(others)]) for r in rows] == [[f"{c} {i}" for c in others] for i in range(4)]
+
+
+def test_clashing_names_of_others(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z", "k"), (2, None, "x", "y", "z", "k")], "doc_id long, text string, Doc_ID_2 string, TEXT string, N_Tokens string, KEY string")
+    assert sorted((r.doc_id, r.n_words) for r in lm_score.lm_scores(docs).collect()) == [(1, 3), (2, 0)]
+    assert sorted((r.doc_id, r.n_shingles) for r in minhash.near_duplicates(docs).collect()) == [(1, 1), (2, 0)]
+    assert sorted((r.doc_id, r.n_tokens) for r in bpe.encode_documents(docs).collect()) == [(1, 3), (2, 0)]
+    assert sorted((r.doc_id, r.length) for r in packing.pack(docs).collect()) == [(1, 4), (2, 1)]
