@@ -333,6 +333,26 @@ def test_nearest(spark):
     assert [tuple(r) for r in ann.nearest(few).collect()] == [(0, 1, 1, 0.5)]
 
 
+def test_nearest_leaves_far_cells_out(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)] + 0.05 * rng.normal(size=(6000, 32))
+    v[3000:5000] = 1.5 * v[3000]  # a third are copies
+    made = spark.sparkContext.accumulator(0)
+    out = ann.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), block=500, made=made)
+    got = defaultdict(list)
+    for r in out.orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 6000, 20)) and all(len(x) == 20 for x in got.values())
+    hits = 0
+    for q in got:
+        s = v @ v[q]
+        s[q] = -np.inf
+        exact = np.lexsort((np.arange(6000), -np.round(s, 9)))[:20]
+        hits += len(set(exact.tolist()) & set(got[q]))
+    assert hits >= 0.95 * 20 * len(got) and 0 < made.value < 0.4 * 300 * 4001
+    assert got[3040] == list(range(3000, 3020)) and got[3000] == list(range(3001, 3021))
+
+
 def test_chi_square():
     x = np.array([0.0, 7.344, 15.507])
     assert np.allclose(ann.chi_square(x, 8), [0, 0.5, 0.95], atol=1e-3)
