@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import carried, release, tokenizer_path
 
 LONGEST = 256
+BLOCK_BYTES = 12_000_000
+PART_BYTES = 32_000_000
 #: Words of printable ASCII and Latin letters, which are composed already and whose lower case is one letter (special
 #: tokens begin with <|); and the parts, in lower case, that the tokenizer cuts words into.
 _PLAIN = r"^[!-~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
@@ -159,49 +161,73 @@ def _opened(data: bytes) -> bytes:
 
 
 class Blocks:
-    """A task's documents in blocks of one Arrow batch; the same rows give the same blocks each time."""
+    """A task's documents in blocks of about BLOCK_BYTES of text; the same rows give the same blocks each time."""
 
     def __init__(self, parts: int):
         self.parts, self.task, self.n = parts, TaskContext.get().partitionId(), -1
 
-    def read(self, texts: list[bytes | None]) -> tuple[str, list[list[bytes]], list[list[bytes]]]:
-        """The block's key, its distinct words by part (by hash, sorted), and the words of each text."""
-        self.n += 1
-        split = [(t or b"").split() for t in texts]
-        by: list[list[bytes]] = [[] for _ in range(self.parts)]
-        for w in sorted(set().union(*split)):
-            by[xxhash.xxh3_64_intdigest(w) % self.parts].append(w)
-        digest = xxhash.xxh3_128_hexdigest(b"\n".join(b"\t".join(p) for p in by))
-        return f"{self.task}-{self.n}-{digest}", by, split
+    def read(self, batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray]]:
+        """For each block: its key, its rows, its distinct words by part (by hash, sorted), how many words each text has,
+        and of each word its place in the list of all parts' words."""
+        texts = pc.fill_null(batch.column("text"), "")
+        ends, begin = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while begin < len(texts):
+            self.n += 1
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BLOCK_BYTES, side="right")))
+            split = pc.ascii_split_whitespace(texts.slice(begin, end - begin))
+            coded = split.flatten().dictionary_encode()
+            # text that begins or ends with white space has an empty word there
+            words, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+            lengths = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if b"" in words:
+                full = at != words.index(b"")
+                lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[full], minlength=len(lengths))
+                at = at[full]
+            by: list[list[bytes]] = [[] for _ in range(self.parts)]
+            order = sorted((w, i) for i, w in enumerate(words) if w)
+            dealt: list[list[int]] = [[] for _ in range(self.parts)]
+            for w, i in order:
+                part = xxhash.xxh3_64_intdigest(w) % self.parts
+                by[part].append(w)
+                dealt[part].append(i)
+            place = np.zeros(len(words), dtype="<u4")
+            place[[i for own in dealt for i in own]] = np.arange(len(order), dtype="<u4")
+            digest = xxhash.xxh3_128_hexdigest(b"\n".join(b"\t".join(p) for p in by))
+            yield f"{self.task}-{self.n}-{digest}", batch.slice(begin, end - begin), by, lengths, place[at]
+            begin = end
 
 
 def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text of docs (doc_id, text).
 
-    1. Each block of documents lists its distinct words, dealt to `parts` by hash (as many as shuffle partitions).
+    1. Each block of documents lists its distinct words, dealt to `parts` by hash (one for each PART_BYTES of texts, if
+       not given, so a part's words stay as many at any size).
     2. A part's task holds its share of the distinct-word table: it encodes each word once and answers each block
        with the ids of the block's words, by position.
     3. A block's documents, as positions in its list of words, meet the answers; ids join back by position, and
-       decoding looks each id's piece up in the table of pieces, whose size the vocabulary fixes.
+       decoding looks each id's piece up in the table of pieces, whose size the vocabulary fixes, once for each of the
+       block's distinct words.
 
     Only packed word lists and positions are shuffled, and a word counts once a block, so none is hot. Blocks must be
     the same in both readings of docs: read it from a table. A block that isn't raises an error, for its key holds a
     digest of its words. Null texts count as empty (no ids, empty decoded text); repeated rows give repeated rows; null
     doc_ids pass; an empty table gives no rows; other columns are ignored.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs, _ = carried(docs, ["doc_id", "text"], keep=[])
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not parts:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(parts)
-        for b in batches:
-            key, by, _ = blocks.read(b.column("text").to_pylist())
-            there = [i for i, words in enumerate(by) if words]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array([_pressed(b"\n".join(by[i])) for i in there], pa.binary())],
-                names=["key", "part", "words"],
-            )
+        for batch in batches:
+            for key, _, by, _, _ in blocks.read(batch):
+                there = [i for i, words in enumerate(by) if words]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array([_pressed(b"\n".join(by[i])) for i in there], pa.binary())],
+                    names=["key", "part", "words"],
+                )
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Words.shared(name)
@@ -220,16 +246,14 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(parts)
-        for b in batches:
-            key, by, split = blocks.read(b.column("text").to_pylist())
-            at = {w: i for i, w in enumerate(w for words in by for w in words)}
-            flat = np.fromiter((at[w] for words in split for w in words), dtype="<u4", count=sum(map(len, split)))
-            ids = b.column("doc_id")
-            head = np.array([len(split), len(flat), len(at)], dtype="<u8").tobytes()
-            body = np.array([len(w) for w in split], dtype="<u4").tobytes() + np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
-            nulls = np.array(ids.is_valid().to_pylist(), dtype=np.uint8).tobytes()
-            own = head + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + nulls + body
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([_pressed(own)], pa.binary())], names=["key", "part", "ids", "docs"])
+        for batch in batches:
+            for key, b, by, lengths, flat in blocks.read(batch):
+                ids = b.column("doc_id")
+                head = np.array([b.num_rows, len(flat), sum(map(len, by))], dtype="<u8").tobytes()
+                body = lengths.astype("<u4").tobytes() + np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+                nulls = np.array(ids.is_valid().to_pylist(), dtype=np.uint8).tobytes()
+                own = head + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + nulls + body
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([_pressed(own)], pa.binary())], names=["key", "part", "ids", "docs"])
 
     def joined(block: pa.Table) -> pa.Table:
         rows = sorted(zip(block.column("part").to_pylist(), block.column("ids").to_pylist(), block.column("docs").to_pylist(), strict=True), key=lambda r: r[0])
@@ -245,7 +269,9 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
             edges = n * 4 + 4 * np.concatenate([[0], np.cumsum(numbers[:n], dtype=np.int64)])
             words += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         pieces = _pieces(name)
-        said = [" ".join([pieces[i] for i in np.frombuffer(w, dtype="<u4").tolist()]) for w in words]
+        size = np.array([len(w) // 4 for w in words], dtype=np.int64)
+        coded = np.frombuffer(b"".join(words), dtype="<u4")
+        said = pa.array([" ".join([pieces[i] for i in np.frombuffer(w, dtype="<u4").tolist()]) for w in words], pa.string())
         out: list[list] = [[], [], [], []]
         for _, _, packed in own:
             data = _opened(packed)
@@ -253,16 +279,18 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
             if distinct != len(words):
                 raise RuntimeError("a block's words changed between two readings of the documents: store them as a table first")
             ids, there, at = np.frombuffer(data, dtype="<i8", count=n, offset=24), np.frombuffer(data, dtype=np.uint8, count=n, offset=24 + 8 * n), 24 + 9 * n
-            lengths = np.frombuffer(data, dtype="<u4", count=n, offset=at)
+            lengths = np.frombuffer(data, dtype="<u4", count=n, offset=at).astype(np.int64)
             planes = np.frombuffer(data, dtype=np.uint8, count=4 * flat, offset=at + 4 * n).reshape(4, flat)
-            places = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
-            begin = 0
+            places = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+            encoded, ends = _placed(coded, size, places)
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+            raw = encoded.tobytes()
+            full = size[places] > 0  # words without ids are not decoded to anything
+            kept = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(lengths)])]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept, pa.int32()), said.take(pa.array(places[full]))), " ").cast(pa.binary())
             for i in range(n):
-                own_words = places[begin : begin + int(lengths[i])]
-                begin += int(lengths[i])
-                encoded = b"".join([words[w] for w in own_words])
-                text = " ".join([said[w] for w in own_words if words[w]])
-                for column, v in zip(out, (int(ids[i]) if there[i] else None, len(encoded) // 4, hashlib.sha256(encoded).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), strict=True):
+                mine = raw[4 * cuts[i] : 4 * cuts[i + 1]]
+                for column, v in zip(out, (int(ids[i]) if there[i] else None, len(mine) // 4, hashlib.sha256(mine).hexdigest(), hashlib.sha256(texts[i].as_buffer()).hexdigest()), strict=True):
                     column.append(v)
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
@@ -284,7 +312,8 @@ def _pieces(name: str) -> list[str]:
 def decode_ids(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """rows (doc_id, ids array) with `text`: the pieces (id, piece) of its ids, joined by id, with spaces between.
 
-    pieces is a vocabulary: its size is fixed by the tokenizer, so it is broadcast.
+    pieces is a vocabulary: its size is fixed by the tokenizer, so it is broadcast. Null or empty ids, and ids that have
+    no piece, give nothing; doc_ids must be unique and a null one is a document too; an empty table gives no rows.
     """
     at = rows.select("doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     said = at.join(F.broadcast(pieces), "id", "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "piece")))).alias("p"))
