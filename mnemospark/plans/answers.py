@@ -48,17 +48,6 @@ def bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.bleu_pairs(*_answers(spark, sf_dir)).withColumn("bleu", F.round("bleu", 6))
 
 
-@query(r"""
-WITH q AS (SELECT doc_id, lower(text) AS t FROM documents), i AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(t, '\b(when|date|year|month|day|how long)\b') THEN 'time' END, CASE WHEN regexp_matches(t, '\b(where|city|country|live)\b') THEN 'place' END,
- CASE WHEN regexp_matches(t, '\b(who|whom|whose)\b') THEN 'person' END, CASE WHEN regexp_matches(t, '\b(how many|how much|number of)\b') THEN 'count' END, CASE WHEN regexp_matches(t, '\b(why|because|reason)\b') THEN 'cause' END,
- CASE WHEN regexp_matches(t, '\b(change|changed|before|after|now|still)\b') THEN 'change' END, CASE WHEN regexp_matches(t, '\b(list|which|what are)\b') THEN 'list' END, CASE WHEN regexp_matches(t, '\b(more|less|than|difference|compare)\b') THEN 'compare' END], lambda x: x IS NOT NULL) AS k FROM q)
-SELECT array_to_string(k, ',') AS intents, CASE WHEN len(k) >= 3 THEN 'complex' WHEN len(k) = 2 THEN 'compound' ELSE 'simple' END AS complexity, count(*) AS n FROM i GROUP BY 1, 2
-""")
-def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").groupBy(F.array_join(A.intents(t), ",").alias("intents"), A.complexity(t).alias("complexity")).agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH c AS (SELECT user_id AS item, min(CASE event_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1)
 SELECT item, stage FROM c, (SELECT unnest(['memory', 'retrieval', 'answer', 'correction', 'judging', 'scoring']) AS stage, unnest(range(6)) AS i) WHERE i >= n

@@ -16,16 +16,16 @@ from .stateful import _event_stream, _stream_dir
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, regexp_replace(text, '(?s)^\s*(\S+)', 'I like \1') AS said FROM conversations),
-m AS (SELECT conv_id, turn, unnest([struct_pack(key := 'preference', value := TRUE, object := trim(regexp_extract(said, '\b[Ii]\s+(?:like|love)\s*([^,.!?]+)', 1))),
- struct_pack(key := 'preference', value := FALSE, object := trim(regexp_extract(said, '\b[Ii]\s+(?:dislike|hate)\s*([^,.!?]+)', 1))),
- struct_pack(key := 'food_restriction', value := FALSE, object := trim(regexp_extract(said, '\b(?:can''t eat|cannot eat|avoid)\s*([^,.!?]+)', 1))),
- struct_pack(key := 'allergy', value := TRUE, object := trim(regexp_extract(said, '\ballergic to\s*([^,.!?]+)', 1)))]) AS f FROM t)
+WITH t AS (SELECT conv_id, turn, regexp_replace(text, '(?s)^\s*(\S+)', CASE WHEN turn % 2 = 0 THEN 'I LIKE \1' ELSE 'Can''t eat \1' END) AS said FROM conversations),
+m AS (SELECT conv_id, turn, unnest([struct_pack(key := 'preference', value := TRUE, object := trim(regexp_extract(said, '(?i)\bI\s+(?:like|love)\s*([^,.!?]+)', 1))),
+ struct_pack(key := 'preference', value := FALSE, object := trim(regexp_extract(said, '(?i)\bI\s+(?:dislike|hate)\s*([^,.!?]+)', 1))),
+ struct_pack(key := 'food_restriction', value := FALSE, object := trim(regexp_extract(said, '(?i)\b(?:can''t eat|cannot eat|avoid)\s*([^,.!?]+)', 1))),
+ struct_pack(key := 'allergy', value := TRUE, object := trim(regexp_extract(said, '(?i)\ballergic to\s*([^,.!?]+)', 1)))]) AS f FROM t)
 SELECT conv_id, turn, f.key AS key, f.value AS value, sha256(f.object) AS object FROM m WHERE f.object <> ''
 """)
 def stated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts by pattern; each turn is read as if it began with what its speaker likes."""
-    said = F.regexp_replace("text", r"(?s)^\s*(\S+)", "I like $1")
+    """Facts by pattern, in any case; each turn is read as if it began with what its speaker likes or can't eat."""
+    said = F.regexp_replace("text", F.lit(r"(?s)^\s*(\S+)"), F.when(F.col("turn") % 2 == 0, "I LIKE $1").otherwise("Can't eat $1"))
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(X.stated_facts(said)))
     return df.where("object <> ''").select("conv_id", "turn", "key", "value", F.sha2("object", 256).alias("object"))
 

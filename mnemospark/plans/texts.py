@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
 from mnemospark.operators import texts as X
+from mnemospark.operators import times as T
 
 from .registry import query, table
 
@@ -93,21 +94,21 @@ def time_normalize_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MMMM yyyy", "yyyy", "yyyy-MM")
     said = F.element_at(F.array(*(F.date_format("ts", w) for w in ways)), (F.col("event_id") % 6 + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"))
-    read = X.absolute_time(F.col("said"))
-    return df.select("event_id", "said", read["precision"].alias("precision"), read["starts"].cast("string").alias("starts"))
+    read = T.absolute(F.col("said"))
+    return df.select("event_id", "said", read["precision"].alias("precision"), read["starts"].alias("starts"))
 
 
 @query("""
 WITH x AS (SELECT event_id, CAST(ts AS DATE) AS a, CASE event_id % 8 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' WHEN 2 THEN '3 days ago' WHEN 3 THEN '2 weeks ago' WHEN 4 THEN 'last month' WHEN 5 THEN 'next year' WHEN 6 THEN 'a few days ago' ELSE '5 months later' END AS said FROM events)
 SELECT event_id, said, CASE WHEN said LIKE '%few%' THEN 'unresolved' ELSE 'resolved_relative' END AS status,
- CAST(CASE said WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN '3 days ago' THEN a - 3 WHEN '2 weeks ago' THEN a - 14 WHEN 'last month' THEN date_trunc('month', a) - INTERVAL 1 MONTH WHEN 'next year' THEN date_trunc('year', a) + INTERVAL 1 YEAR WHEN '5 months later' THEN a + INTERVAL 5 MONTH END AS DATE)::VARCHAR AS starts FROM x
+ CAST(CASE said WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN '3 days ago' THEN a - 3 WHEN '2 weeks ago' THEN date_trunc('week', a) - INTERVAL 14 DAY WHEN 'last month' THEN date_trunc('month', a) - INTERVAL 1 MONTH WHEN 'next year' THEN date_trunc('year', a) + INTERVAL 1 YEAR WHEN '5 months later' THEN date_trunc('month', a) + INTERVAL 5 MONTH END AS DATE)::VARCHAR AS starts FROM x
 """)
 def time_normalize_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = ("today", "yesterday", "3 days ago", "2 weeks ago", "last month", "next year", "a few days ago", "5 months later")
     said = F.element_at(F.array(*map(F.lit, ways)), (F.col("event_id") % 8 + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"), F.to_date("ts").alias("anchor"))
-    read = X.relative_time(F.col("said"), F.col("anchor"))
-    return df.select("event_id", "said", read["status"].alias("status"), read["starts"].cast("string").alias("starts"))
+    read = T.normalized(F.col("said"), F.col("anchor"))
+    return df.select("event_id", "said", read["status"].alias("status"), read["starts"].alias("starts"))
 
 
 @query(r"""
