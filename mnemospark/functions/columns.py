@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "␟"
@@ -18,6 +18,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a plain one may be copied into every place that reads it."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def collapsed(text: Column) -> Column:
     """Lower case with single spaces."""
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")))
@@ -61,8 +66,9 @@ def longer_share(a: Column, b: Column) -> Column:
 
 
 def exact_mention(term: Column, mentions: Column) -> Column:
-    """1 for a mention equal to the term, 0.8 for one that contains it, 0.6 for one within it, else 0."""
-    one = lambda m: F.when(m == term, 1.0).when(F.contains(m, term), 0.8).when(F.contains(term, m), 0.6).otherwise(0.0)
+    """1 for a mention equal to the term, 0.8 for one that contains it, 0.6 for one within it, else 0; what lies in the
+    other has two characters or more."""
+    one = lambda m: F.when(m == term, 1.0).when((F.length(term) > 1) & F.contains(m, term), 0.8).when((F.length(m) > 1) & F.contains(term, m), 0.6).otherwise(0.0)
     return F.coalesce(F.array_max(F.transform(mentions, one)), F.lit(0.0))
 
 

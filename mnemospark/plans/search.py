@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
+from mnemospark.functions.shared import stored
 from mnemospark.operators import search as S
 
 from .registry import query, table
@@ -16,7 +17,7 @@ post AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, l
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, max(dl) AS dl FROM post GROUP BY id)),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 ptok AS (SELECT item_id AS probe, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+')) AS d, regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+') AS t FROM benchmark),
-pterm AS (SELECT probe, term FROM (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY first) AS r FROM (
+pterm AS (SELECT probe, term, r FROM (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY first) AS r FROM (
   SELECT probe, term, min(i) AS first FROM (SELECT probe, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM ptok) GROUP BY probe, term)) WHERE r <= 16),
 hit AS (SELECT probe, id, count(*) AS n_terms, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
   FROM pterm JOIN dfs USING (term) JOIN post USING (term), corpus GROUP BY probe, id)
@@ -59,37 +60,43 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dense(_centres(spark, sf_dir), _vectors(spark, sf_dir), 10)
 
 
+def _index(spark: SparkSession, sf_dir: str, most: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the probes' first terms, those terms, and the corpus's size."""
+    terms = S.probe_terms(_probes(spark, sf_dir), most)
+    indexed = S.index(_nodes(spark, sf_dir), terms)
+    return S.postings(indexed), terms, S.corpus_stats(indexed)
+
+
 @query(f"WITH {_POST} SELECT * FROM (SELECT probe, id, n_terms, round(bm25, 6) AS score, row_number() OVER (PARTITION BY probe ORDER BY round(bm25, 6) DESC, id) AS rank FROM hit) WHERE rank <= 20")
 def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = S.postings(_nodes(spark, sf_dir))
-    hit = S.bm25(post, S.probe_terms(_probes(spark, sf_dir)), S.corpus_stats(post)).select("probe", "id", "n_terms", F.round("bm25", 6).alias("score"))
-    return S.ranked(hit, ["probe"], [F.desc("score"), F.col("id")], 20)
+    post, terms, corpus = _index(spark, sf_dir)
+    return S.bm25_top(post, stored(S.weighed(post, terms, corpus)), 20)
 
 
-@query(f"""
-WITH {_POST},
-four AS (SELECT probe, term FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY term) AS r FROM pterm) WHERE r <= 4),
-strict AS (SELECT probe, id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s, count(*) AS c
-  FROM four JOIN dfs USING (term) JOIN post USING (term), corpus GROUP BY probe, id),
-need AS (SELECT probe, count(*) AS k FROM four GROUP BY probe),
-own AS (SELECT probe, id, s / max(s) OVER (PARTITION BY probe) AS strict FROM strict JOIN need USING (probe) WHERE c = k),
-broad AS (SELECT probe, id, bm25 / max(bm25) OVER (PARTITION BY probe) AS broad FROM hit),
-any_strict AS (SELECT DISTINCT probe, TRUE AS has FROM own)
-SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM (
-  SELECT probe, id, round(CASE WHEN has THEN 0.7 * coalesce(strict, 0) + 0.3 * broad ELSE broad END, 6) AS score
-  FROM broad LEFT JOIN own USING (probe, id) LEFT JOIN any_strict USING (probe))) WHERE rank <= 20
-""")
+_BM25 = "sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))"
+
+
+def _structured(k: int) -> str:
+    """SQL of structured search: must are a probe's first four terms, should the next eight; each part its k best."""
+    return f"""
+need AS (SELECT probe, count(*) AS k FROM pterm WHERE r <= 4 GROUP BY probe),
+sa AS (SELECT probe, id, round({_BM25}, 6) AS s, count(*) AS c FROM pterm JOIN dfs USING (term) JOIN post USING (term), corpus WHERE r <= 4 GROUP BY probe, id),
+sb AS (SELECT probe, id, s FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY s DESC, id) AS n FROM sa JOIN need USING (probe) WHERE c = k) WHERE n <= {k}),
+own AS (SELECT probe, id, s / max(s) OVER (PARTITION BY probe) AS strict FROM sb),
+ba AS (SELECT probe, id, round({_BM25}, 6) AS s FROM pterm JOIN dfs USING (term) JOIN post USING (term), corpus WHERE r <= 12 GROUP BY probe, id),
+bb AS (SELECT probe, id, s FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY s DESC, id) AS n FROM ba) WHERE n <= {k}),
+broad AS (SELECT probe, id, s / max(s) OVER (PARTITION BY probe) AS broad FROM bb),
+any_strict AS (SELECT DISTINCT probe, TRUE AS has FROM own),
+structured AS (SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM (
+  SELECT probe, id, round(CASE WHEN has THEN 0.7 * coalesce(strict, 0) + 0.3 * coalesce(broad, 0) ELSE broad END, 6) AS score
+  FROM broad FULL JOIN own USING (probe, id) LEFT JOIN any_strict USING (probe))) WHERE rank <= {k})"""
+
+
+@query(f"WITH {_POST}, {_structured(20)} SELECT * FROM structured")
 def bm25_strict_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of the first four terms (by name) weigh 0.7 and any of the terms 0.3; any alone where nothing has all four."""
-    post = S.postings(_nodes(spark, sf_dir))
-    terms, corpus = S.probe_terms(_probes(spark, sf_dir)), S.corpus_stats(post)
-    four = S.ranked(terms, ["probe"], [F.col("term")], 4).select("probe", "term")
-    strict = S.bm25(post, four, corpus).join(four.groupBy("probe").agg(F.count("*").alias("k")), "probe").where("n_terms = k")
-    strict = strict.select("probe", "id", S.peak(F.col("bm25"), "probe").alias("strict"))
-    broad = S.bm25(post, terms, corpus).select("probe", "id", S.peak(F.col("bm25"), "probe").alias("broad"))
-    both = broad.join(strict, ["probe", "id"], "left").join(strict.select("probe").distinct().withColumn("has", F.lit(True)), "probe", "left")
-    score = F.when(F.col("has"), 0.7 * F.coalesce("strict", F.lit(0.0)) + 0.3 * F.col("broad")).otherwise(F.col("broad"))
-    return S.ranked(both.select("probe", "id", F.round(score, 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 20)
+    """All of the first four terms weigh 0.7 and any of the first twelve 0.3; any alone where nothing has all four."""
+    post, terms, corpus = _index(spark, sf_dir, 12)
+    return S.structured(post, terms.where("place < 4"), terms.where("place >= 4"), corpus, 20)
 
 
 @query(f"""
@@ -98,38 +105,60 @@ SELECT * FROM (SELECT probe, id, round(n_terms / k, 6) AS score, row_number() OV
 """)
 def entity_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a probe's entities (its terms) that a node names."""
-    post, terms = S.postings(_nodes(spark, sf_dir)), S.probe_terms(_probes(spark, sf_dir))
+    post, terms, _ = _index(spark, sf_dir)
     found = terms.join(post, "term").groupBy("probe", "id").agg(F.count("*").alias("n")).join(terms.groupBy("probe").agg(F.count("*").alias("k")), "probe")
     return S.ranked(found, ["probe"], [F.desc("n"), F.col("id")], 20).select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
 
 
-@query(f"""
-WITH {_POST}, {_CENTRES},
-d AS (SELECT item_id AS probe, vec_id AS id, {_COSINE} AS dense FROM embeddings, centre, benchmark WHERE item_id % 10 = centre.probe),
-dtop AS (SELECT probe, id, dense FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(dense, 6) DESC, id) AS r FROM d) WHERE r <= 32),
-stop AS (SELECT probe, id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(bm25, 6) DESC, id) AS r FROM hit) WHERE r <= 32),
-need AS (SELECT probe, count(*) AS k FROM pterm GROUP BY probe),
-etop AS (SELECT probe, id, n_terms / k AS entity FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY n_terms DESC, id) AS r FROM hit) JOIN need USING (probe) WHERE r <= 32),
-u AS (SELECT probe, id, max(d) AS d, max(s) AS s, max(e) AS e FROM (
-  SELECT probe, id, dense AS d, 0.0 AS s, 0.0 AS e FROM dtop UNION ALL SELECT probe, id, 0.0, bm25, 0.0 FROM stop UNION ALL SELECT probe, id, 0.0, 0.0, entity FROM etop) GROUP BY probe, id),
-p AS (SELECT probe, id, d / greatest(max(d) OVER w, 1e-12) AS d, s / greatest(max(s) OVER w, 1e-12) AS s, e / greatest(max(e) OVER w, 1e-12) AS e FROM u WINDOW w AS (PARTITION BY probe)),
-b AS (SELECT probe, id, round(0.46 * d + 0.22 * s + 0.12 * e, 6) AS score FROM p)
-SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 20
+_ALL = r"list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)', 1), lambda x: lower(x))"
+_NAMES = f"list_distinct({_ALL})"
+_FACETS = "['time', 'place', 'name', 'year']"
+
+
+@query(rf"""
+WITH {_POST}, {_CENTRES}, {_structured(32)},
+nodes AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'semantic_state' ELSE 'chain_head' END AS kind, lower(source) AS topic, {_NAMES} AS entities, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_'']+')) AS t,
+  DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day FROM documents),
+probes AS (SELECT item_id AS probe, lower(text) AS asked, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']+')) AS q, list_filter({_ALL}, lambda x, i: list_position({_ALL}, x) = i)[1:4] AS hints, CASE WHEN item_id % 2 = 0 THEN ['event'] ELSE [] END AS kinds, CASE WHEN item_id % 3 = 0 THEN ['site1', 'news'] ELSE [] END AS topics,
+  [{_FACETS}[1 + item_id % 4]] AS facets, ['any', 'at', 'before', 'after', 'between'][1 + item_id % 5] AS op, item_id % 10 >= 5 AS hard, make_date(2024, 1 + CAST(item_id % 12 AS INTEGER), 1) AS low FROM benchmark),
+times AS (SELECT *, CAST(low + INTERVAL 1 MONTH AS DATE) - 1 AS first_ends, CAST(low + INTERVAL 3 MONTH AS DATE) - 1 AS high FROM probes),
+c AS (SELECT item_id AS probe, vec_id AS id, round({_COSINE}, 6) AS dense FROM embeddings, centre, benchmark WHERE item_id % 10 = centre.probe),
+dtop AS (SELECT probe, id, dense FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY dense DESC, id) AS n FROM c) WHERE n <= 32),
+ent AS (SELECT probe, id, len(list_intersect(hints, entities)) / len(hints) AS entity FROM nodes, times WHERE list_has_any(hints, entities)),
+etop AS (SELECT probe, id, entity FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY entity DESC, id) AS n FROM ent) WHERE n <= 32),
+u AS (SELECT probe, id, max(d) AS d, max(s) AS s, max(e) AS e FROM (SELECT probe, id, dense AS d, 0.0 AS s, 0.0 AS e FROM dtop UNION ALL SELECT probe, id, 0.0, score, 0.0 FROM structured UNION ALL SELECT probe, id, 0.0, 0.0, entity FROM etop) GROUP BY probe, id),
+x AS (SELECT *, CASE op WHEN 'any' THEN TRUE WHEN 'at' THEN day >= low AND day <= first_ends WHEN 'before' THEN day < low WHEN 'after' THEN day > first_ends ELSE day >= low AND day <= high END AS holds,
+  least(0.12, CASE WHEN list_contains(kinds, kind) THEN 0.05 ELSE 0 END + CASE WHEN len(list_filter(topics, lambda h: contains(topic, h) OR contains(h, topic))) > 0 THEN 0.05 ELSE 0 END + CASE WHEN list_has_any(hints, entities) THEN 0.05 ELSE 0 END
+    + CASE WHEN op <> 'any' AND NOT hard AND day <= first_ends AND day >= low THEN 0.06 ELSE 0 END) AS soft, CASE WHEN list_has_any(facets, t) THEN 1.0 ELSE 0.0 END AS facet FROM nodes, times),
+y AS (SELECT x.*, d, s, e FROM u JOIN x USING (probe, id) WHERE NOT hard OR holds),
+m AS (SELECT probe, id, term, mention FROM (SELECT probe, id, unnest(entities) AS mention FROM y) JOIN (SELECT probe, term FROM pterm WHERE r <= 12 UNION SELECT probe, unnest(hints) FROM times) USING (probe)),
+g AS (SELECT probe, id, max(CASE WHEN term = mention THEN 1.0 WHEN length(term) > 1 AND contains(mention, term) THEN 0.8 WHEN length(mention) > 1 AND contains(term, mention) THEN 0.6 ELSE 0.0 END) AS exact FROM m GROUP BY 1, 2),
+p AS (SELECT *, d / greatest(max(d) OVER w, 1e-12) AS dn, s / greatest(max(s) OVER w, 1e-12) AS sn, e / greatest(max(e) OVER w, 1e-12) AS en, regexp_matches(asked, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:who|what|which)(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])') AS asks FROM y WINDOW w AS (PARTITION BY probe)),
+b AS (SELECT probe, id, kind, round(greatest(0.45, 0.47 - CASE WHEN len(hints) > 0 THEN 0.08 ELSE 0 END - CASE WHEN op <> 'any' THEN 0.03 ELSE 0 END - CASE WHEN asks THEN 0.06 ELSE 0 END) * dn + (0.16 + CASE WHEN asks THEN 0.06 ELSE 0 END) * sn
+  + (0.12 + CASE WHEN len(hints) > 0 THEN 0.08 ELSE 0 END) * en + 0.15 * coalesce(exact, 0) + (0.05 + CASE WHEN op <> 'any' THEN 0.03 ELSE 0 END) * facet + soft, 6) AS score, FALSE AS seeded FROM p LEFT JOIN g USING (probe, id)),
+h AS (SELECT probe, id, kind, round(0.18 * len(list_intersect(q, t)) / greatest(1, len(q)) + 0.05 * facet + soft + 0.01, 6) AS score, TRUE AS seeded FROM x WHERE kind = 'chain_head' AND (NOT hard OR holds) AND probe NOT IN (SELECT probe FROM b WHERE kind = 'chain_head')),
+hs AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS n FROM h) WHERE n <= 16),
+z AS (SELECT *, row_number() OVER (PARTITION BY probe, kind = 'chain_head' ORDER BY score DESC, id) AS n FROM (SELECT * FROM b UNION ALL SELECT * FROM hs))
+SELECT probe, id, kind, CAST(score AS DOUBLE) AS score, seeded, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM z WHERE n <= CASE WHEN kind = 'chain_head' THEN 3 ELSE 16 END
 """)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector, term and entity channels, each its 32 best, peak-normalised, blended for a question ("what, which, who")."""
-    post, terms = S.postings(_nodes(spark, sf_dir)), S.probe_terms(_probes(spark, sf_dir))
-    hit = S.bm25(post, terms, S.corpus_stats(post))
-    centres = _centres(spark, sf_dir)
-    probes = _probes(spark, sf_dir).select("probe", (F.col("probe") % 10).alias("c")).join(centres.withColumnRenamed("probe", "c"), "c").select("probe", "pv")
-    near = _vectors(spark, sf_dir).join(F.broadcast(centres)).select(F.col("probe").alias("c"), "id", C.cosine(F.col("pv"), F.col("v")).alias("dense"))
-    near = S.ranked(near, ["c"], [F.desc(F.round("dense", 6)), F.col("id")], 32).join(probes.select("probe", (F.col("probe") % 10).alias("c")), "c").select("probe", "id", "dense")
-    sparse = S.ranked(hit, ["probe"], [F.desc(F.round("bm25", 6)), F.col("id")], 32).select("probe", "id", F.col("bm25").alias("sparse"))
-    entity = S.ranked(hit, ["probe"], [F.desc("n_terms"), F.col("id")], 32).join(terms.groupBy("probe").agg(F.count("*").alias("k")), "probe").select("probe", "id", (F.col("n_terms") / F.col("k")).alias("entity"))
-    met = S.fuse({"dense": near, "sparse": sparse, "entity": entity})
-    weight = S.WEIGHTS | {"dense": S.WEIGHTS["dense"] - 0.06, "sparse": S.WEIGHTS["sparse"] + 0.06}
-    score = sum((F.lit(round(weight[c], 2)) * S.peak(F.col(c), "probe") for c in ("sparse", "entity")), F.lit(round(weight["dense"], 2)) * S.peak(F.col("dense"), "probe"))
-    return S.ranked(met.select("probe", "id", F.round(score, 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 20)
+    """All five channels with hard times, hints, seeded heads and quota: documents are nodes, items ask with their first terms and names."""
+    lower = lambda c: F.array_distinct(F.transform(c, F.lower))
+    names = lambda c: lower(F.regexp_extract_all(c, F.lit(r"(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)"), F.lit(1)))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "event").when(F.col("doc_id") % 3 == 1, "semantic_state").otherwise("chain_head")
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", kind.alias("kind"), F.lower("source").alias("topic"), names(F.col("text")).alias("entities"), day.alias("starts"), day.alias("ends"))
+    i, none = F.col("item_id"), F.expr("CAST(array() AS array<string>)")
+    strings = lambda *v: F.array(*map(F.lit, v))
+    terms = F.array_distinct(C.tokens(F.col("text")))
+    low = F.make_date(F.lit(2024), (1 + i % 12).cast("int"), F.lit(1))
+    asked = table(spark, sf_dir, "benchmark").select(
+        i.alias("probe"), (i % 10).alias("c"), "text", F.slice(terms, 1, 4).alias("must"), F.slice(terms, 5, 8).alias("should"), F.slice(names(F.col("text")), 1, 4).alias("hints"), F.when(i % 2 == 0, strings("event")).otherwise(none).alias("kinds"),
+        F.when(i % 3 == 0, strings("site1", "news")).otherwise(none).alias("topics"), F.array(F.element_at(strings("time", "place", "name", "year"), (1 + i % 4).cast("int"))).alias("facets"), F.element_at(strings("any", "at", "before", "after", "between"), (1 + i % 5).cast("int")).alias("op"),
+        (i % 10 >= 5).alias("hard"), low.alias("low"), F.last_day(low).alias("first_ends"), F.date_sub(F.add_months(low, 3), 1).alias("high"), F.lit(16).alias("budget"),
+    )
+    probes = asked.join(_centres(spark, sf_dir).withColumnRenamed("probe", "c"), "c").drop("c")
+    return S.hybrid(nodes, _vectors(spark, sf_dir).select("id", "v"), stored(probes))
 
 
 @query(r"""
@@ -140,16 +169,15 @@ SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe OR
 """)
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a probe's tokens that a node has, through an equi-join on tokens: pairs without a common one never meet."""
-    own = _nodes(spark, sf_dir).select("id", F.explode(F.array_distinct(C.tokens(F.col("text")))).alias("term"))
-    asked = _probes(spark, sf_dir).select("probe", F.array_distinct(C.tokens(F.col("text"))).alias("p")).select("probe", F.size("p").alias("k"), F.explode("p").alias("term"))
-    found = own.join(asked, "term").groupBy("probe", "id", "k").agg(F.count("*").alias("n"))
-    scored = found.select("probe", "id", F.round(F.col("n") / F.greatest("k", F.lit(1)), 6).alias("score"))
-    return S.ranked(scored, ["probe"], [F.desc("score"), F.col("id")], 10)
+    post, terms, _ = _index(spark, sf_dir, 1 << 30)
+    sizes = terms.groupBy("probe").agg(F.count("*").alias("k"))
+    found = terms.join(post, "term").groupBy("probe", "id").agg(F.count("*").alias("n")).join(sizes, "probe")
+    return S.ranked(found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 10)
 
 
 @query(r"""
 WITH m AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_-]+')) AS names, source FROM documents),
-s AS (SELECT id, source, list_max([CASE WHEN lower(x) = 'the' THEN 1.0 WHEN contains(lower(x), 'the') THEN 0.8 WHEN contains('the', lower(x)) THEN 0.6 ELSE 0.0 END FOR x IN names]) AS score FROM m)
+s AS (SELECT id, source, list_max([CASE WHEN lower(x) = 'the' THEN 1.0 WHEN contains(lower(x), 'the') THEN 0.8 WHEN length(x) > 1 AND contains('the', lower(x)) THEN 0.6 ELSE 0.0 END FOR x IN names]) AS score FROM m)
 SELECT source, round(coalesce(score, 0.0), 6) AS score, count(*) AS n FROM s GROUP BY 1, 2
 """)
 def exact_mention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
