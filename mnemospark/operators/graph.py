@@ -53,6 +53,56 @@ def expand(anchors: DataFrame, edges: DataFrame, relevance: DataFrame, budget: i
     return ranked(best, ["probe", "anchor"], [F.desc("score"), F.col("node")], budget)
 
 
+#: How an expansion towards an intent weighs likeness, the edge, and the node's confidence.
+INTENT_WEIGHT, EDGE_WEIGHT, NODE_WEIGHT = 0.75, 0.15, 0.10
+
+
+def expand_by_intent(anchors: DataFrame, edges: DataFrame, likeness: DataFrame, budget: int) -> DataFrame:
+    """As expand, but towards what the probe is after: 0.75 * likeness + 0.15 * trust * edge's confidence + 0.10 * node's.
+
+    likeness has probe, node, like (to the intent, 0 to 1) and confidence (the node's). Derived edges under
+    DERIVED_FLOOR don't count, and neither the anchor's score nor the edge's type do.
+    """
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    good = edges.where((F.col("trust") != "derived") | (unit(F.col("confidence")) >= DERIVED_FLOOR))
+    ends = F.array(F.struct(F.col("source").alias("anchor"), F.col("target").alias("node")), F.struct(F.col("target").alias("anchor"), F.col("source").alias("node")))
+    hops = good.select("type", (looked_up(F.col("trust"), TRUST, OTHER_TRUST) * unit(F.col("confidence"))).alias("quality"), F.inline(ends))
+    met = anchors.join(hops, "anchor").join(likeness.select("probe", "node", "like", F.col("confidence").alias("sure")), ["probe", "node"])
+    score = INTENT_WEIGHT * F.col("like") + EDGE_WEIGHT * F.col("quality") + NODE_WEIGHT * unit(F.col("sure"))
+    best = met.groupBy("probe", "anchor", "node").agg(F.max(F.struct(F.round(score, 6).alias("score"), "type")).alias("b")).select("probe", "anchor", "node", "b.score", "b.type")
+    return ranked(best, ["probe", "anchor"], [F.desc("score"), F.col("node")], budget)
+
+
+def rebuilt(old: DataFrame, nodes: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Structural edges (chain, source, target, type) after a change: those of chains in `dirty` (chain) are made anew from
+    nodes (chain, id, kind, at), all others stay. An event leads to the next of its chain, a state to the next state
+    (SEMANTIC_NEXT), which supersedes it; the first state is the chain's INITIAL_STATE and the last its CURRENT_STATE."""
+    own = nodes.join(dirty.select("chain").distinct(), "chain", "left_semi")
+    order = Window.partitionBy("chain").orderBy(F.coalesce(F.col("at").cast("string"), F.lit("9999")), "id")
+    events = own.where("kind = 'event'").select("chain", F.col("id").alias("source"), F.lead("id").over(order).alias("target"), F.lit("TEMPORAL_NEXT").alias("type"))
+    states = own.where("kind = 'semantic_state'").withColumn("next", F.lead("id").over(order)).withColumn("before", F.lag("id").over(order))
+    heads = own.where("kind = 'chain_head'").select("chain", F.col("id").alias("head"))
+    made = F.array(F.struct(F.col("id").alias("source"), F.col("next").alias("target"), F.lit("SEMANTIC_NEXT").alias("type")), F.struct(F.col("next").alias("source"), F.col("id").alias("target"), F.lit("SUPERSEDES").alias("type")))
+    steps = states.where("next IS NOT NULL").select("chain", F.inline(made))
+    ends = states.where("before IS NULL OR next IS NULL").join(heads, "chain")
+    marks = F.array_compact(F.array(F.when(F.col("before").isNull(), F.lit("INITIAL_STATE")), F.when(F.col("next").isNull(), F.lit("CURRENT_STATE"))))
+    to_head = ends.select("chain", F.col("head").alias("source"), F.col("id").alias("target"), F.explode(marks).alias("type"))
+    return old.join(dirty.select("chain").distinct(), "chain", "left_anti").select("chain", "source", "target", "type").unionByName(events.where("target IS NOT NULL")).unionByName(steps).unionByName(to_head)
+
+
+def explicit_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, target, type and confidence of relations stated between local references (window, from_ref, to_ref, type,
+    confidence) once nodes (window, ref, id) are known; relations to what no node has, and to itself, are left out."""
+    end = lambda name: nodes.select("window", F.col("ref").alias(f"{name}_ref"), F.col("id").alias(name))
+    both = relations.join(end("from"), ["window", "from_ref"]).join(end("to"), ["window", "to_ref"]).where(F.col("from") != F.col("to"))
+    return both.groupBy(F.col("from").alias("source"), F.col("to").alias("target"), F.upper("type").alias("type")).agg(F.max("confidence").alias("confidence"))
+
+
+def adjudicated(candidates: DataFrame) -> DataFrame:
+    """Candidate relations without a judge: all are kept as derived, at confidence 0.7; see slots for a model's verdicts."""
+    return candidates.withColumn("trust", F.lit("derived")).withColumn("confidence", F.lit(0.7))
+
+
 def relation(a: str, b: str, same: float = 0.5, untimed: float = 0.8, title: float = 0.8, gap: int = 604_800) -> Column:
     """The relation of two events by the first rule that holds; a and b prefix action, start (seconds), entities, title, topic, session, chain."""
     x = lambda c: F.col(f"{a}_{c}")

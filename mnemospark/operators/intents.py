@@ -125,9 +125,15 @@ def catalog(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def first_open(moves: DataFrame, tried: DataFrame) -> DataFrame:
-    """The rule that chooses when no model does: each probe's first move (as catalog gives them) not among tried (probe, source, action, direction)."""
+    """The rule that chooses where no model does: each probe's first move that is not among tried (probe, source, action, direction).
+
+    moves are what catalog gives, with local (whether the result belongs to what is asked, rather than to another part
+    of the question) and wants_source (whether a facet is missing). Local moves go first; within them, where a facet is
+    missing, the evidence itself goes before links; then the catalogue's order holds.
+    """
     left = moves.join(tried.select("probe", "source", "action", "direction"), ["probe", "source", "action", "direction"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.expr("CAST(substring(action_id, 2) AS long)")))
+    source = F.col("wants_source") & (F.col("action") == "SOURCE_EVIDENCE_LOOKUP")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(~F.col("local"), ~source, F.expr("CAST(substring(action_id, 2) AS long)")))
     return left.withColumn("n", rank).where("n = 1").select("probe", "action_id", "source", "action", "direction")
 
 

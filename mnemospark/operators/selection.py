@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHOSEN = "probe long, id long, score double, rank int"
 
@@ -77,3 +79,50 @@ def deduplicated(candidates: DataFrame, limit: float = 0.95) -> DataFrame:
         return pd.DataFrame({"probe": rows.probe[out], "id": rows.id[out], "score": rows.score[out], "rank": range(1, len(out) + 1)})
 
     return candidates.groupBy("probe").applyInPandas(pick, CHOSEN)
+
+
+def rescued(ranked: DataFrame, budget: int) -> DataFrame:
+    """The first `budget` of each probe's rows (probe, id, rank, protected), with protected ones from below in place of
+    unprotected ones: the best of those below takes the lowest such place, the next one the place above it, as long as there are any."""
+    top, missing = ranked.where(F.col("rank") <= budget), ranked.where((F.col("rank") > budget) & F.col("protected"))
+    by = lambda order: F.row_number().over(Window.partitionBy("probe").orderBy(order))
+    free = top.where("NOT protected").select("probe", F.col("rank").alias("place"), by(F.desc("rank")).alias("n"))
+    taken = missing.select("probe", F.col("id").alias("new"), by(F.col("rank")).alias("n")).join(free, ["probe", "n"]).select("probe", F.col("place").alias("rank"), "new")
+    return top.join(taken, ["probe", "rank"], "left").select("probe", F.coalesce("new", "id").alias("id"), "rank", F.col("new").isNotNull().alias("rescued"))
+
+
+def controller_evidence(candidates: DataFrame, needs: DataFrame, limit: int = 32, previous: int = 8) -> DataFrame:
+    """What a planner is shown of each probe's candidates (probe, id, score, targets, cited, protected), in order of choice.
+
+    Each of its required targets (needs: probe, targets in order) gets its best until two are shown; then come up to
+    `previous` rows cited before, the protected ones, and the best of the rest, `limit` in all.
+    """
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        chosen: list[int] = []
+        wants = [set(t) for t in rows.targets]
+        for target in rows.needs[0]:
+            own = [i for i in rows.index if target in wants[i]]
+            for i in own:
+                if i not in chosen and len(chosen) < limit:
+                    chosen.append(i)
+                if len(set(own).intersection(chosen)) >= 2:
+                    break
+        again = [i for i in rows.index if rows.cited[i] and i not in chosen][:previous]
+        for i in [*again, *(i for i in rows.index if rows.protected[i]), *rows.index]:
+            if i not in chosen and len(chosen) < limit:
+                chosen.append(i)
+        return pd.DataFrame({"probe": rows.probe[chosen], "id": rows.id[chosen], "score": rows.score[chosen], "rank": range(1, len(chosen) + 1)})
+
+    return candidates.join(needs.select("probe", F.col("targets").alias("needs")), "probe").groupBy("probe").applyInPandas(pick, CHOSEN)
+
+
+def reinforced(candidates: DataFrame, expansions: DataFrame, cited: DataFrame, step: float = 0.03, most: float = 0.06) -> DataFrame:
+    """candidates (probe, id, score, reinforcement) whose expansions led to something cited gain `step` for each, up to `most`.
+
+    expansions has probe, expansion, anchor, id (one row a result); cited has probe and id. An expansion counts once.
+    """
+    paid = expansions.join(cited.select("probe", "id").distinct(), ["probe", "id"], "left_semi").groupBy("probe", F.col("anchor").alias("id")).agg(F.countDistinct("expansion").alias("paid"))
+    gain = F.least(F.lit(most), F.col("reinforcement") + step * F.coalesce("paid", F.lit(0)))
+    return candidates.join(paid, ["probe", "id"], "left").withColumn("reinforcement", F.when(F.col("paid") > 0, gain).otherwise(F.col("reinforcement"))).drop("paid")

@@ -25,26 +25,6 @@ def retrieval_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retrieve(found, G.oriented(_edges(spark, sf_dir)), rel)
 
 
-@query("""
-WITH types AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events),
-x AS (SELECT l.user_id, l.event_id AS anchor, r.event_id AS id, abs(epoch_us(r.ts) - epoch_us(l.ts)) AS gap_us, r.value, CASE WHEN r.ts <= l.ts THEN 'TEMPORAL_BEFORE_LOOKUP' ELSE 'TEMPORAL_AFTER_LOOKUP' END AS action
- FROM events l JOIN events r USING (user_id), types WHERE l.event_type = b AND r.event_type = a),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, anchor, action ORDER BY gap_us, id) AS n FROM x) WHERE n <= 2),
-s AS (SELECT user_id, anchor, id, action, round(0.40 * greatest(0, least(1, value / 100)) + 0.25 + 0.20 / (1 + gap_us / 1e6 / 86400.0 / 30.0) + 0.10 * 0.9 + 0.05 * 0.8, 6) AS score FROM k)
-SELECT user_id, anchor, id, action, score FROM s
-""")
-def virtual_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two neighbours before and two after each anchor, with their navigation scores."""
-    ev = table(spark, sf_dir, "events")
-    kinds = ev.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
-    anchors = ev.where(F.col("event_type") == kinds["b"]).select("user_id", F.col("event_id").alias("anchor"), F.col("ts").alias("at"))
-    rows = ev.where(F.col("event_type") == kinds["a"]).select("user_id", F.col("event_id").alias("id"), "ts")
-    near = [T.neighbours(anchors, rows, ["user_id"], 2, s).withColumn("action", F.lit(f"TEMPORAL_{s.upper()}_LOOKUP")) for s in ("before", "after")]
-    met = near[0].unionByName(near[1]).join(ev.select(F.col("event_id").alias("id"), "value"), "id")
-    score = R.navigation_score(F.col("value") / 100, F.lit(1.0), C.proximity(F.col("gap_us") / 1e6), F.lit(0.9), F.col("action"))
-    return met.select("user_id", "anchor", "id", "action", F.round(score, 6).alias("score"))
-
-
 @query("""
 WITH n AS (SELECT event_id, user_id, value, CASE CAST(json_extract(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'resolved_relative' WHEN 2 THEN 'unresolved' END AS status FROM events)
 SELECT user_id, count(*) AS nodes, count_if(coalesce(status, 'absolute') IN ('absolute', 'resolved_relative')) AS reliable FROM n GROUP BY 1
