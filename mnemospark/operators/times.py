@@ -6,9 +6,11 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.columns import once
+
 #: Names of months and days, and numbers in words.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -204,6 +206,12 @@ def normalized(said: Column, anchor: Column, references: Column | None = None) -
     return F.coalesce(*ways)
 
 
+def with_times(df: DataFrame, said: Column, anchor: Column, references: Column | None = None, name: str = "t") -> DataFrame:
+    """df with normalized as a column that is computed once a row: its expression is long, and what reads several of its
+    fields would otherwise hold it several times over."""
+    return once(df, name, normalized(said, anchor, references))
+
+
 def shown(starts: Column, ends: Column, precision: Column) -> Column:
     """How an interval is shown: as exact as its precision; midnight of a moment is its day."""
     midnight = starts.rlike(r"T00:00:00(?:Z|[+-]\d{2}:?\d{2})?$")

@@ -94,7 +94,7 @@ def time_normalize_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MMMM yyyy", "yyyy", "yyyy-MM")
     said = F.element_at(F.array(*(F.date_format("ts", w) for w in ways)), (F.col("event_id") % 6 + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"))
-    read = T.absolute(F.col("said"))
+    df, read = C.once(df, "t", T.absolute(F.col("said"))), F.col("t")
     return df.select("event_id", "said", read["precision"].alias("precision"), read["starts"].alias("starts"))
 
 
@@ -107,7 +107,7 @@ def time_normalize_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = ("today", "yesterday", "3 days ago", "2 weeks ago", "last month", "next year", "a few days ago", "5 months later")
     said = F.element_at(F.array(*map(F.lit, ways)), (F.col("event_id") % 8 + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"), F.to_date("ts").alias("anchor"))
-    read = T.normalized(F.col("said"), F.col("anchor"))
+    df, read = T.with_times(df, F.col("said"), F.col("anchor")), F.col("t")
     return df.select("event_id", "said", read["status"].alias("status"), read["starts"].alias("starts"))
 
 

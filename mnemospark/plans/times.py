@@ -54,7 +54,7 @@ def time_relative_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every relative form, read against each event's moment."""
     said = F.element_at(F.array(*(F.lit(x[0]) for x in _SAID)), (F.col("event_id") % len(_SAID) + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"), "ts")
-    return df.withColumn("t", T.normalized(F.col("said"), F.col("ts"))).select("event_id", "said", "t.*")
+    return T.with_times(df, F.col("said"), F.col("ts")).select("event_id", "said", "t.*")
 
 
 _FORMS = (
@@ -82,7 +82,7 @@ def time_absolute_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts("yyyy-MM-dd"), ts("yyyy-M"), F.concat(F.lit("in "), ts("yyyy")), F.concat(F.lit("on "), ts("MMM d"), F.lit("th, "), ts("yyyy")), ts("d MMMM yyyy"), ts("MMMM yyyy"),
     )
     df = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 10 + 1).cast("int")).alias("said"))
-    return df.withColumn("t", T.normalized(F.col("said"), F.lit(None).cast("timestamp"))).select("event_id", "said", "t.*")
+    return T.with_times(df, F.col("said"), F.lit(None).cast("timestamp")).select("event_id", "said", "t.*")
 
 
 @query("""
@@ -94,7 +94,7 @@ def time_against_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(*map(F.lit, ("2 days before the event", "three days after the New Year", "a day before the event and the New Year", "in 1 day"))), (F.col("event_id") % 4 + 1).cast("int"))
     df = table(spark, sf_dir, "events").select("event_id", said.alias("said"), F.col("ts").cast("timestamp").alias("ts"))
     known = F.create_map(F.lit("The Event"), F.col("ts"), F.lit("new year"), F.expr("TIMESTAMP '2020-01-01 12:00:00'"))
-    return df.withColumn("t", T.normalized(F.col("said"), F.col("ts"), known)).select("event_id", "t.starts", "t.method")
+    return T.with_times(df, F.col("said"), F.col("ts"), known).select("event_id", "t.starts", "t.method")
 
 
 @query("""
