@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions.columns import hash_unit
+from mnemospark.functions.lazy import pd
 
 #: Attributes, the moves each state allows, and months that an attribute rests after a change.
 MOVES = {

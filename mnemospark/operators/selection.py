@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.functions.lazy import pd
+
 CHOSEN = "probe long, id long, score double, rank int"
 
 

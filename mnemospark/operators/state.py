@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.lazy import pd
+
 OPERATIONS = ("add", "reinforce", "replace", "retract")
 
 

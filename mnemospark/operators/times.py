@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import once
+from mnemospark.functions.lazy import pd
 
 #: Names of months and days, and numbers in words.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")

@@ -1,12 +1,15 @@
-"""Dialogues cut into windows of bounded tokens, in order, one pass over each dialogue's turns."""
+"""Dialogues cut into windows of bounded tokens, in order, one pass over each dialogue's turns; running sums over any group."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from mnemospark.functions.lazy import pd
+from mnemospark.functions.shared import stored
 
 PLANNED = "conv_id long, turn long, part int, window_no int, tokens int"
 
@@ -36,3 +39,20 @@ def plan_windows(turns: DataFrame, target: int = 120, hard: int = 200) -> DataFr
             yield pd.DataFrame(out, columns=["conv_id", "turn", "part", "window_no", "tokens"])
 
     return rows.mapInPandas(run, PLANNED)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of `value` over a row and all before it in its group (`by`, all rows if empty), in order.
+
+    Rows are dealt by range of group and order, sums within a range are added to those of the ranges before. So a group of
+    any size, or no group at all, needs no task to hold more than its range. Rows must differ in `order` within a group.
+    """
+    dealt = stored(df.withColumn("_value", value).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), before.alias("_before"))
+    met = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    own = F.sum("_value").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_own", own).join(starts, met).select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))

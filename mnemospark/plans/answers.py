@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 from mnemospark.operators import answers as A
+from mnemospark.operators import windows as W
 
 from .registry import query, table
 from .search import _COSINE, _CENTRES, _centres, _vectors
@@ -17,14 +18,14 @@ _PLAIN = r"trim(regexp_replace(regexp_replace(lower(translate({}, '_-', '  ')),
 
 
 @query(rf"""
-WITH p AS (SELECT d.doc_id, b.item_id, d.text AS answer, b.text AS reference, {_PLAIN.format("d.text")} AS said, {_PLAIN.format("b.text")} AS want FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+WITH p AS (SELECT d.doc_id, b.item_id, d.text AS answer, b.text AS reference, {_PLAIN.format("d.text")} AS said, {_PLAIN.format("b.text")} AS want FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
 w AS (SELECT doc_id, item_id, len([v FOR v IN list_transform(string_split_regex(reference, '\|\||\n|;') || [reference], lambda x: {_PLAIN.format('x')}) IF v <> '' AND contains(said, v)]) > 0 AS whole, list_distinct([x FOR x IN string_split(want, ' ') IF length(x) > 1 AND NOT list_contains({_STOP}, x)]) AS a, list_distinct([x FOR x IN string_split(said, ' ') IF length(x) > 1 AND NOT list_contains({_STOP}, x)]) AS b FROM p)
 SELECT doc_id, item_id, CASE WHEN whole THEN 1.0 WHEN len(a) > 0 AND 2 * len(list_intersect(a, b)) >= len(a) THEN 0.5 ELSE 0.0 END AS credit FROM w
 """)
 def partial_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as an answer to one item: full, half or no credit."""
     d, b = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer")), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
-    met = d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    met = d.join(b, F.col("doc_id") % b.count() == F.col("item_id"))
     return met.select("doc_id", "item_id", A.partial_credit(F.col("answer"), F.col("reference")).alias("credit"))
 
 
@@ -34,7 +35,7 @@ w AS (SELECT doc_id, item_id, len([v FOR v IN list_transform(string_split_regex(
 SELECT doc_id, item_id, CAST(CASE WHEN whole THEN 1.0 WHEN len(a) > 0 AND 2 * len(list_intersect(a, b)) >= len(a) THEN 0.5 ELSE 0.0 END AS DOUBLE) AS credit FROM w
 """)
 def answer_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as an answer to every item; partial_credit and its SQL take one item of the first 40 each."""
+    """Each document as an answer to every item; partial_credit takes one item each."""
     return A.credits(*_answers(spark, sf_dir))
 
 
@@ -187,28 +188,16 @@ WITH d AS (SELECT doc_id, source, n_chars FROM documents), r AS (SELECT *, sum(n
 """)
 def long_context_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents put one after the other into contexts of 20,000 characters, by where they end."""
-    run = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.floor((run - 1) / 20000).cast("long").alias("bucket"))
-
-
-@query("""
-WITH h AS (SELECT user_id AS chain, event_id, value, ts FROM events), heads AS (SELECT chain, max_by(event_id, (ts, event_id)) AS head FROM h GROUP BY 1), rel AS (SELECT event_id AS source, chain, (chain * 7 + 1) % 150 AS other FROM h WHERE value > 90)
-SELECT source, head AS target, round(0.8 * 0.9, 6) AS confidence FROM rel JOIN heads ON other = heads.chain WHERE other <> rel.chain
-""")
-def affects_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortcuts from an event to the head of another chain that it touches, at eight tenths of the confidence."""
-    ev = table(spark, sf_dir, "events")
-    heads = ev.groupBy(F.col("user_id").alias("other")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("target"))
-    rel = ev.where("value > 90").select(F.col("event_id").alias("source"), F.col("user_id").alias("chain"), ((F.col("user_id") * 7 + 1) % 150).alias("other"))
-    return rel.join(heads, "other").where("other <> chain").select("source", "target", F.round(F.lit(0.8 * 0.9), 6).alias("confidence"))
+    run = W.running(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), "run")
+    return run.select("doc_id", "source", F.floor((F.col("run") - 1) / 20000).cast("long").alias("bucket"))
 
 
 @query("""
 WITH h AS (SELECT user_id AS chain, event_id, value, ts FROM events), heads AS (SELECT chain, max_by(event_id, (ts, event_id)) AS head FROM h GROUP BY 1), rel AS (SELECT event_id AS source, chain, (chain * 7 + 1) % (SELECT count(DISTINCT user_id) FROM events) AS other FROM h WHERE value > 90)
 SELECT source, head AS target, CAST(round(0.8 * 0.9, 6) AS DOUBLE) AS confidence FROM rel JOIN heads ON other = heads.chain WHERE other <> rel.chain
 """)
-def affects_any_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """affects_topic with heads of all chains as targets; its SQL has those of 150."""
+def affects_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortcuts from an event to the head of another chain that it touches, at eight tenths of the confidence."""
     ev = table(spark, sf_dir, "events")
     heads = ev.groupBy(F.col("user_id").alias("other")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("target"))
     chains = heads.agg(F.count("other").alias("chains"))  # one row

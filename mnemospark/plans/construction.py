@@ -52,43 +52,16 @@ def expand_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 500 AS b FROM orders WHERE o_orderpriority = '1-URGENT'), pairs AS (SELECT a * 2 AS a, b * 2 + 1 AS b FROM p),
+WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 500 AS b FROM orders), pairs AS (SELECT a * 2 AS a, b * 2 + 1 AS b FROM p),
 both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON reach.r = both_ways.a)
 SELECT id, min(r) AS canonical FROM reach GROUP BY id
 """)
 def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities merged through chains of pairs."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return G.merged(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") % 500 * 2 + 1).alias("b")).distinct())
-
-
-@query("""
-WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 500 AS b FROM orders), pairs AS (SELECT a * 2 AS a, b * 2 + 1 AS b FROM p),
-both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON reach.r = both_ways.a)
-SELECT id, min(r) AS canonical FROM reach GROUP BY id
-""")
-def merge_all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """merge_entities over all orders; its SQL has only those of the first priority."""
     o = table(spark, sf_dir, "orders")
     return G.merged(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") % 500 * 2 + 1).alias("b")).distinct())
 
 
-@query("""
-WITH d AS (SELECT event_id AS id, user_id AS chain, event_type AS action, epoch(ts) AS start, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id % 10 AS topic, CAST(ts AS DATE) AS session FROM events),
-p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.action = b.action AND abs(a.start - b.start) <= 86400 THEN 'SAME_EVENT' WHEN a.action = b.action THEN 'SAME_EVENT'
-  WHEN a.topic = b.topic AND a.session <> b.session AND abs(a.start - b.start) <= 604800 THEN 'FOLLOW_UP_OF' WHEN a.chain <> b.chain THEN 'CONTEXT_FOR' END AS type
- FROM d a JOIN d b ON a.k = b.k AND a.session = b.session AND a.id < b.id)
-SELECT type, count(*) AS pairs, min(a) AS first, max(b) AS last FROM p WHERE type IS NOT NULL GROUP BY 1
-""")
-def cross_edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations of events of one day that share an entity (props.k): pairs meet on entity and day only."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k")
-    own = lambda x: e.select(F.col("event_id").alias(x), k.alias("k"), F.to_date("ts").alias("day"), *(v.alias(f"{x}_{n}") for n, v in {"action": F.col("event_type"), "start": F.unix_seconds(F.col("ts").cast("timestamp")), "entities": F.array(k), "title": F.array(F.col("event_type")), "topic": (F.col("user_id") % 10).cast("string"), "session": F.to_date("ts"), "chain": F.col("user_id")}.items()))
-    met = own("a").join(own("b"), ["k", "day"]).where("a < b").withColumn("type", G.relation("a", "b")).where("type IS NOT NULL")
-    return met.groupBy("type").agg(F.count("*").alias("pairs"), F.min("a").alias("first"), F.max("b").alias("last"))
-
-
 @query("""
 WITH d AS (SELECT event_id AS id, user_id AS chain, event_type AS action, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id % 10 AS topic, CAST(ts AS DATE) AS session FROM events),
 p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.k = b.k AND a.action = b.action THEN 'SAME_EVENT'
@@ -96,8 +69,8 @@ p AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.k = b.k AND a.action = b.action T
  FROM d a JOIN d b ON a.id < b.id AND (a.k = b.k OR a.topic = b.topic))
 SELECT type, count(*) AS pairs, min(a) AS first, max(b) AS last FROM p WHERE type IS NOT NULL GROUP BY 1
 """)
-def cross_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations of all events, on any two days: cross_edge_candidates, whose SQL meets on one day, without that limit."""
+def cross_edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of all events, on any two days."""
     e = table(spark, sf_dir, "events")
     day = F.to_date("ts")
     start = F.unix_seconds(F.col("ts").cast("timestamp"))

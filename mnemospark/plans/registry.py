@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records", "times", "intents", "navigation", "judging")
+PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records", "times", "intents", "navigation", "judging", "memory", "generator")
 #: DuckDB counts what holds in 128 bits and takes literals as decimals; these columns are cast to the types that Spark gives.
 _AS_LONG = {
     "rate_report": ("failures",), "dataset_summary": ("en", "de", "fr", "es", "short"), "write_gate": ("informative",), "failure_decomposition": ("failed", "retrieval", "utilisation"),
     "backfill_sessions": ("backfilled",), "pricing": ("unpriced",), "current_state": ("revisions",), "reliable_time": ("reliable",), "hard_time_filter": ("between_days", "before_days", "after_days"),
     "interval_variants": ("short_gaps", "long_gaps"), "dialogue_tokens": ("valid", "short"),
 }
-_AS_DOUBLE = {"exact_mention_score": ("score",), "partial_credit": ("credit",), "ranking_scores": ("score", "hints"), "affects_topic": ("confidence",), "judge_coercion": ("accuracy",)}
+_AS_DOUBLE = {"partial_credit": ("credit",), "ranking_scores": ("score", "hints"), "affects_topic": ("confidence",), "judge_coercion": ("accuracy",)}
 
 
 def _typed(name: str, sql: str) -> str:

@@ -175,18 +175,6 @@ def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 10)
 
 
-@query(r"""
-WITH m AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_-]+')) AS names, source FROM documents),
-s AS (SELECT id, source, list_max([CASE WHEN lower(x) = 'the' THEN 1.0 WHEN contains(lower(x), 'the') THEN 0.8 WHEN length(x) > 1 AND contains('the', lower(x)) THEN 0.6 ELSE 0.0 END FOR x IN names]) AS score FROM m)
-SELECT source, round(coalesce(score, 0.0), 6) AS score, count(*) AS n FROM s GROUP BY 1, 2
-""")
-def exact_mention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the names in each document mention one term, counted by source."""
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)))
-    df = table(spark, sf_dir, "documents").select("source", C.exact_mention(F.lit("the"), F.transform(names, F.lower)).alias("score"))
-    return df.groupBy("source", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
-
-
 @query(r"""
 WITH m AS (SELECT DISTINCT id, lower(n) AS mention FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)', 1)) AS n FROM documents)),
 t AS (SELECT DISTINCT item_id AS probe, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+')) AS term FROM benchmark),
@@ -194,7 +182,7 @@ x AS (SELECT term, mention, CASE WHEN term = mention THEN 1.0 WHEN length(term)
 SELECT probe, id, CAST(max(score) AS DOUBLE) AS score FROM x JOIN t USING (term) JOIN m USING (mention) WHERE score > 0 GROUP BY 1, 2
 """)
 def exact_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the names in each document mention each probe's terms, all of them; exact_mention_score looks up one term."""
+    """How the names in each document mention each probe's terms, all of them."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)), F.lower))
     return S.exact_mentions(S.probe_terms(_probes(spark, sf_dir), 1 << 30), _nodes(spark, sf_dir).select("id", F.explode(names).alias("mention")))
 

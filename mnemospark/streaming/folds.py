@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mnemospark.functions.lazy import pd
 from mnemospark.operators.state import FOLDED, Chain, Fact
 
 

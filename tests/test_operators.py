@@ -1,12 +1,19 @@
 """Operators that need more than SQL to test: greedy choices, folds, windows, simulated people, dates."""
 
+import datetime
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
 from mnemospark.operators import answers as A
 from mnemospark.operators import evaluation as E
+from mnemospark.operators import generator as GEN
 from mnemospark.operators import graph as G
+from mnemospark.operators import intents as I
+from mnemospark.operators import memory as M
 from mnemospark.operators import personas as P
 from mnemospark.operators import runtime as R
 from mnemospark.operators import search as S
@@ -14,6 +21,7 @@ from mnemospark.operators import selection as SEL
 from mnemospark.operators import state as ST
 from mnemospark.operators import temporal as T
 from mnemospark.operators import texts as X
+from mnemospark.operators import times as TIMES
 from mnemospark.operators import windows as W
 
 
@@ -119,9 +127,9 @@ def test_texts(spark):
 
 def test_bm25_prefers_rare_terms(spark):
     nodes = spark.createDataFrame([(1, "apple pear pear"), (2, "apple"), (3, "apple plum"), (4, None)], "id long, text string")
-    post = S.postings(nodes)
-    probes = spark.createDataFrame([(1, "apple pear")], "probe long, text string")
-    best = S.bm25(post, S.probe_terms(probes), S.corpus_stats(post)).orderBy(F.desc("bm25")).first()
+    terms = S.probe_terms(spark.createDataFrame([(1, "apple pear")], "probe long, text string"))
+    indexed = S.index(nodes, terms)
+    best = S.bm25(S.postings(indexed), S.weighed(S.postings(indexed), terms, S.corpus_stats(indexed))).orderBy(F.desc("bm25")).first()
     assert best.id == 1 and best.n_terms == 2
 
 
@@ -207,7 +215,7 @@ def test_all_orders_merge(spark, data):
     for r in spark.read.parquet(f"{data}/orders.parquet").select("o_custkey", "o_orderkey").collect():
         a, b = top(r.o_custkey * 2), top(r.o_orderkey % 500 * 2 + 1)
         over[max(a, b)] = min(a, b)
-    assert {r.id: r.canonical for r in registry.queries()["merge_all_entities"](spark, data).collect()} == {x: top(x) for x in list(over)}
+    assert {r.id: r.canonical for r in registry.queries()["merge_entities"](spark, data).collect()} == {x: top(x) for x in list(over)}
 
 
 def test_exact_mentions_equal_brute_force(spark):
@@ -220,3 +228,124 @@ def test_exact_mentions_equal_brute_force(spark):
             want[p, i] = max(want.get((p, i), 0.0), score(t, m))
     got = S.exact_mentions(spark.createDataFrame(terms, "probe long, term string"), spark.createDataFrame(names, "id long, mention string"))
     assert {(r.probe, r.id): r.score for r in got.collect()} == {k: x for k, x in want.items() if x}
+
+
+def test_lives(spark):
+    people = spark.createDataFrame([(i, 1960 + i * 2) for i in range(30)], "persona long, born int").withColumn("drive", GEN.drivers(F.lit("ENFJ"), F.array(F.lit("calm")), F.lit("family")))
+    sessions = P.calendar(spark, people.select("persona")).join(people, "persona")
+    got = rows(GEN.lives(sessions), "persona", "session", "attribute")
+    assert got == rows(GEN.lives(sessions.repartition(5)), "persona", "session", "attribute")
+    dates = {(r.persona, r.session): r.date.year for r in sessions.collect()}
+    state, last, born = {}, {}, {r.persona: r.born for r in people.collect()}
+    for p, s, a, field, before, after in got:
+        assert before != after and state.get((p, field), before) == before and s - last.get((p, a), -99) > GEN.REST[a]
+        if a == "Children_Status":
+            assert state[p, "Marital_Status"] == "Married" and int(after) == int(before) + 1 <= GEN.MOST_CHILDREN and dates[p, s] - born[p] >= GEN.LEAST_AGE
+        if a == "Marital_Status":
+            assert after in GEN.MARITAL[before]
+        if a == "Residence":
+            assert after.split(", ")[0] in GEN.CITIES[after.split(", ")[1]]
+        state[p, field], last[p, a] = after, s
+    assert {a for _, _, a, *_ in got} == {*GEN.OFTEN, *GEN.SELDOM} and GEN.lives(sessions.limit(0)).count() == 0
+
+
+def test_conditional_distractors_lie_between(spark):
+    groups = spark.createDataFrame([(p, c, 2 + c % 3, 3 + p * 4) for p in range(6) for c in range(5)], "persona long, conflict long, rules int, sessions int")
+    points = GEN.conditional_points(groups)
+    talk = spark.createDataFrame([(p, s) for p in range(6) for s in range(0, 30, 3)], "persona long, session int")
+    by = {}
+    for r in points.collect():
+        by.setdefault((r.persona, r.conflict), []).append((r.role, r.session))
+    for own in by.values():
+        at = [s for _, s in sorted(own)]
+        assert at == sorted(set(at)) and 0 <= at[0] <= 9
+    for r in GEN.between(points, talk).collect():
+        at = [s for _, s in by[r.persona, r.conflict]]
+        inner = range(min(at) + 1, max(at))
+        assert r.session in inner and (r.session % 3 == 0 or not any(s % 3 == 0 for s in inner))
+
+
+def test_long_contexts(spark):
+    items = spark.createDataFrame([(i, 10 + i * 7 % 90) for i in range(40)] + [(99, 0)], "item long, tokens long")
+    needs = spark.createDataFrame([(1, 300), (2, 0), (3, 10**9)], "persona long, tokens long")
+    drawn = rows(GEN.supplements(items, needs), "persona", "place")
+    one, three = ([r for r in drawn if r[0] == p] for p in (1, 3))
+    assert sum(t for *_, t, _ in one) >= 300 > sum(t for *_, t, _ in one[:-1]) and len(three) == 40 and [r[3] for r in one] == list(range(len(one))) and not [r for r in drawn if r[0] == 2]
+    grouped = rows(GEN.new_sessions(GEN.supplements(items, needs), 120), "persona", "place")
+    want, group, size = [], 0, 0
+    for r in three:
+        if size and size + r[2] > 120:
+            group, size = group + 1, 0
+        size += r[2]
+        want.append(group)
+    assert [r[4] for r in grouped if r[0] == 3] == want
+    old = spark.createDataFrame([(1, s) for s in range(4)], "persona long, session int")
+    new = spark.createDataFrame([(1, 0), (1, 1), (1, 1)], "persona long, group long")
+    out = rows(GEN.renumbered(old, new), "number")
+    assert [r[1] for r in out] == list(range(6)) and [r[2] for r in out if r[2] is not None] == [0, 1, 2, 3] and {r[3] for r in out if r[3] is not None} == {0, 1}
+
+
+def test_controller_evidence(spark):
+    c = [(1, i, 1.0 - i / 100, ["a"] if i in (5, 6, 7) else ["b"] if i == 9 else [], i in (3, 4, 8), i == 10) for i in range(12)]
+    df = spark.createDataFrame(c, "probe long, id long, score double, targets array<string>, cited boolean, protected boolean")
+    needs = spark.createDataFrame([(1, ["a", "b", "z"])], "probe long, targets array<string>")
+    got = [r.id for r in SEL.controller_evidence(df, needs, limit=8, previous=2).orderBy("rank").collect()]
+    assert got == [5, 6, 9, 3, 4, 10, 0, 1]
+
+
+def test_first_open_move(spark):
+    moves = [(1, "a1", "r1", "CAUSES", "out", False, True), (1, "a2", "r2", "CAUSES", "out", True, True), (1, "a10", "r2", "SOURCE_EVIDENCE_LOOKUP", "lookup", True, True), (2, "a1", "r1", "CAUSES", "out", True, False), (2, "a2", "r3", "SOURCE_EVIDENCE_LOOKUP", "lookup", True, False)]
+    df = spark.createDataFrame(moves, "probe long, action_id string, source string, action string, direction string, local boolean, wants_source boolean")
+    pick = lambda tried: {r.probe: r.action_id for r in I.first_open(df, df.where(tried)).collect()}
+    assert pick("false") == {1: "a10", 2: "a1"} and pick("action_id IN ('a10', 'a1')") == {1: "a2", 2: "a2"} and pick("true") == {}
+
+
+def test_running_sums_over_any_group(spark):
+    df = spark.createDataFrame([(None if i % 3 else "k", i, i % 5) for i in range(500)], "k string, i long, v long")
+    got = {r.i: r.s for r in W.running(df.repartition(7), ["k"], ["i"], F.col("v"), "s").collect()}
+    assert got == {i: sum(j % 5 for j in range(i + 1) if (j % 3 == 0) == (i % 3 == 0)) for i in range(500)}
+    assert [r.n for r in W.running(df, [], ["i"], F.lit(1), "n").orderBy("i").collect()] == list(range(1, 501))
+
+
+def test_overlaps_of_any_length(spark):
+    rng = random.Random(4)
+    def spans(n):
+        out = []
+        for i in range(n):
+            a = datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.randrange(20_000))
+            out.append((i, i % 2, a, a + datetime.timedelta(hours=rng.choice([0, 1, 30, 500, 20_000, 90_000]))))
+        return out
+    left, right = spans(60), [*spans(60), (99, 0, datetime.datetime(2024, 5, 1), datetime.datetime(9999, 1, 1))]
+    l, r = spark.createDataFrame(left, "l long, k int, ls timestamp_ntz, le timestamp_ntz"), spark.createDataFrame(right, "r long, k int, rs timestamp_ntz, re timestamp_ntz")
+    got = sorted((x.l, x.r) for x in T.overlapping(l, r, ["k"]).collect())
+    assert got == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    assert T.overlapping(l.limit(0), r, ["k"]).count() == 0
+
+
+def test_bm25_is_exact_past_wide_terms(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(["the", "of"] * rng.randrange(3) + rng.choices([f"w{j}" for j in range(60)], k=rng.randrange(1, 12)))) for i in range(400)]
+    nodes = spark.createDataFrame([*texts, (999, None), (998, "")], "id long, text string")
+    probes = spark.createDataFrame([(1, "the w3 w4"), (2, "the of"), (3, "w5"), (4, "nothing here"), (5, "of w7 the w8 w9")], "probe long, text string")
+    terms = S.probe_terms(probes)
+    indexed = S.index(nodes, terms)
+    weights = S.weighed(S.postings(indexed), terms, S.corpus_stats(indexed))
+    want = rows(S.ranked(S.bm25(S.postings(indexed), weights).select("probe", "id", "n_terms", F.round("bm25", 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 7), "probe", "rank")
+    assert rows(S.bm25_top(S.postings(indexed), weights, 7), "probe", "rank") == want and {r[0] for r in want} == {1, 2, 3, 5}
+
+
+def test_selected_places():
+    assert M.selected("0,4,18-20, 4") == [0, 4, 18, 19, 20]
+    for bad in ("", "3-1", "a", "1-"):
+        with pytest.raises(ValueError, match="no place"):
+            M.selected(bad)
+
+
+def test_times_read_nothing_from_nothing(spark):
+    said = [None, "", "2024-02-30", "February 30, 2023", "13:00 pm on 1 May 2020", "last weekend", "in a couple months", "on Friday.", "the day after tomorrow", "2024-01-05 through 2024-01-03"]
+    df = spark.createDataFrame([(i, s, datetime.datetime(2024, 2, 29, 13)) for i, s in enumerate(said)], "i int, s string, at timestamp_ntz")
+    got = {r.i: (r.t.starts, r.t.ends, r.t.method) for r in TIMES.with_times(df, F.col("s"), F.col("at")).collect()}
+    assert got[0][2] == got[1][2] == "missing_expression" and {got[i][2] for i in (2, 3, 4, 9)} == {"ambiguous_or_unsupported"}
+    assert got[5] == ("2024-02-24", "2024-02-25", "relative_last_weekend") and got[7] == ("2024-03-01", "2024-03-01", "relative_weekday_defaulted") and got[8][0] == "2024-03-02" and got[6][2] == "ambiguous_quantifier"
+    none = TIMES.with_times(df.withColumn("at", F.lit(None).cast("timestamp")), F.col("s"), F.col("at")).where("i = 5").first().t
+    assert none.method == "missing_anchor" and none.starts is None
