@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import SPACE, sized_join, stored, table
+from mnemospark.llm.common import SPACE, many_executions, sized_join, stored, table
 from mnemospark.llm.line_dedup import line_dedup
 from mnemospark.llm.minhash import near_duplicates
 from mnemospark.llm.packing import pack
@@ -70,6 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with many_executions(spark):
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)

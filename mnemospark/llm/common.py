@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.shared import shared_dir
+from mnemospark.functions.shared import shared_dir, stored
 
 #: The white space that separates words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -24,24 +22,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, removed when the driver exits."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    except Exception:  # the session may have ended first; the folder is then the cluster's to clean
-        return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,17 +56,22 @@ def release() -> None:
         trim(0)
 
 
+#: For operators that run many executions: their shuffle files go when an execution ends, not when the driver happens to
+#: collect garbage, and the descriptions of their plans, which the driver keeps, are short.
+_MANY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.ui.explainMode": "simple", "spark.sql.maxPlanStringLength": "20000"}
+
+
 @contextmanager
-def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, an execution's shuffle files go when it ends, not when the driver happens to collect garbage: for
-    operators that run many of them and keep what they need as tables."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def many_executions(spark: SparkSession) -> Iterator[None]:
+    """Settings for operators that run many executions and keep what they need as tables; they hold while it lasts."""
+    before = {key: spark.conf.get(key, None) for key in _MANY}
+    for key, value in _MANY.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def words_of(text: Column) -> Column:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, components, cut, release, shuffles_cleaned, sized_join, stored
+from .common import carried, components, cut, many_executions, release, sized_join, stored
 
 ROWS = 4  # minima in a band
 BITS = 2  # low bits kept of each minimum
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     the smallest digest of its words is compared, and all of them get its component; each keeps its own n_shingles.
     Ties go to the smallest id. An empty table gives no rows, and other columns are ignored.
     """
-    with shuffles_cleaned(docs.sparkSession):
+    with many_executions(docs.sparkSession):
         sketch, of_class, mixed = _classed(carried(docs, ["doc_id", "text"], keep=[])[0], size, percent, rounds, few)
     rows = sized_join(sketch.select("doc_id", "n_shingles", "content"), mixed, "doc_id", "left").withColumn("content", F.when(F.col("content").isNotNull(), F.coalesce("shown", "content")))
     out = rows.join(of_class, "content", "left")
