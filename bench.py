@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one line of JSON. BENCH_SF_DIR and BENCH_CPUS choose the data and the cores."""
+"""Times the headline queries and prints one line of JSON; some also as plain Python on one thread (twins.py). BENCH_SF_DIR and BENCH_CPUS choose the data and the cores."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ HEADLINE = (
 def main() -> None:
     from mnemospark.plans import registry
     from mnemospark.session import session
+    from twins import TWINS
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "4")
     spark = session(f"local[{cpus}]", int(cpus) * 2, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
@@ -27,8 +28,14 @@ def main() -> None:
         began = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline queries, wall clock", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
+    alone = {}
+    for name in took:
+        if name in TWINS:
+            began = time.perf_counter()
+            TWINS[name](sf_dir)
+            alone[name] = round(time.perf_counter() - began, 3)
+    print(json.dumps({"metric": "headline queries, wall clock", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")), "single_thread": alone}))
 
 
 if __name__ == "__main__":

@@ -68,18 +68,33 @@ def covering(candidates: DataFrame, budget: int) -> DataFrame:
 
 
 def deduplicated(candidates: DataFrame, limit: float = 0.95) -> DataFrame:
-    """Of each probe's candidates (probe, id, score, v), from the best down, those no chosen one is more like than `limit`."""
+    """Of each probe's candidates (probe, id, score, v; also starts, ends and sources, if there), from the best down, those
+    that no chosen one is more like than `limit` at times that don't exclude each other.
+
+    Columns: probe, id, score, rank and merged, the sources of the row and of those left out for it, sorted.
+    """
+    df = candidates
+    for name, kind in (("starts", "string"), ("ends", "string"), ("sources", "array<string>")):
+        df = df.withColumn(name, F.col(name).cast(kind)) if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         v = _unit(np.stack([np.asarray(x, dtype=float) for x in rows["v"]]))
-        out: list[int] = []
+        begin = [x if isinstance(x, str) else None for x in rows.starts]
+        end = [x if isinstance(x, str) else b for x, b in zip(rows.ends, begin, strict=True)]
+        apart = lambda i, j: None not in (begin[i], begin[j]) and (end[i] < begin[j] or end[j] < begin[i])
+        of: dict[int, set] = {}
         for i in range(len(rows)):
-            if not out or (v[out] @ v[i]).max() <= limit:
-                out.append(i)
-        return pd.DataFrame({"probe": rows.probe[out], "id": rows.id[out], "score": rows.score[out], "rank": range(1, len(out) + 1)})
-
-    return candidates.groupBy("probe").applyInPandas(pick, CHOSEN)
+            own = set(rows.sources[i]) if rows.sources[i] is not None else set()
+            like = next((j for j in of if v[j] @ v[i] > limit and not apart(i, j)), None)
+            if like is None:
+                of[i] = own
+            else:
+                of[like] |= own
+        out = list(of)
+        return pd.DataFrame({"probe": rows.probe[out], "id": rows.id[out], "score": rows.score[out], "rank": range(1, len(out) + 1), "merged": [sorted(of[i]) for i in out]})
+
+    return df.groupBy("probe").applyInPandas(pick, CHOSEN + ", merged array<string>")
 
 
 def rescued(ranked: DataFrame, budget: int) -> DataFrame:

@@ -101,7 +101,7 @@ near AS (SELECT a.probe, a.id FROM top a JOIN top b ON a.probe = b.probe AND b.r
 SELECT probe, id, score, CAST(row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS INT) AS rank FROM top WHERE (probe, id) NOT IN (SELECT (probe, id) FROM near)
 """)
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SEL.deduplicated(_candidates(spark, sf_dir).select("probe", "id", "score", "v"))
+    return SEL.deduplicated(_candidates(spark, sf_dir).select("probe", "id", "score", "v")).drop("merged")
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records", "times", "intents", "navigation", "judging", "memory", "generator")
+PLANS = ("search", "joins", "windows", "aggregates", "texts", "evaluation", "construction", "stateful", "retrieval", "answers", "records", "times", "intents", "navigation", "judging", "memory", "generator", "entities", "runs")
 #: DuckDB counts what holds in 128 bits and takes literals as decimals; these columns are cast to the types that Spark gives.
 _AS_LONG = {
     "rate_report": ("failures",), "dataset_summary": ("en", "de", "fr", "es", "short"), "write_gate": ("informative",), "failure_decomposition": ("failed", "retrieval", "utilisation"),
