@@ -144,7 +144,7 @@ SELECT probe, id, kind, CAST(score AS DOUBLE) AS score, seeded, row_number() OVE
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five channels with hard times, hints, seeded heads and quota: documents are nodes, items ask with their first terms and names."""
     lower = lambda c: F.array_distinct(F.transform(c, F.lower))
-    names = lambda c: lower(F.regexp_extract_all(c, F.lit(r"(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)"), F.lit(1)))
+    names = lambda c: lower(F.regexp_extract_all(c, F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
     kind = F.when(F.col("doc_id") % 3 == 0, "event").when(F.col("doc_id") % 3 == 1, "semantic_state").otherwise("chain_head")
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", kind.alias("kind"), F.lower("source").alias("topic"), names(F.col("text")).alias("entities"), day.alias("starts"), day.alias("ends"))
@@ -158,7 +158,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 10 >= 5).alias("hard"), low.alias("low"), F.last_day(low).alias("first_ends"), F.date_sub(F.add_months(low, 3), 1).alias("high"), F.lit(16).alias("budget"),
     )
     probes = asked.join(_centres(spark, sf_dir).withColumnRenamed("probe", "c"), "c").drop("c")
-    return S.hybrid(nodes, _vectors(spark, sf_dir).select("id", "v"), stored(probes))
+    return S.hybrid(nodes, _vectors(spark, sf_dir).select("id", "v"), probes)
 
 
 @query(r"""
