@@ -167,5 +167,6 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, parts: int
         has = lengths > 0
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=there == 0), "n_words": pa.array(lengths), "lm_score": pa.array(sums / np.maximum(lengths, 1), pa.float64(), mask=~has)})
 
-    tables = docs.mapInArrow(asked, "key string, part int, grams binary, counts binary").groupBy("part").applyInArrow(summed, "key string, part int, found binary, docs binary")
-    return docs.mapInArrow(shipped, "key string, part int, found binary, docs binary").unionByName(tables).groupBy("key").applyInArrow(scored, "doc_id long, n_words long, lm_score double")
+    # as many partitions as tables, and as many again for the blocks: what a task reads stays the same at any size
+    tables = docs.mapInArrow(asked, "key string, part int, grams binary, counts binary").repartition(parts, "part").groupBy("part").applyInArrow(summed, "key string, part int, found binary, docs binary")
+    return docs.mapInArrow(shipped, "key string, part int, found binary, docs binary").unionByName(tables).repartition(parts, "key").groupBy("key").applyInArrow(scored, "doc_id long, n_words long, lm_score double")
