@@ -215,9 +215,11 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
     """
     docs, _ = carried(docs, ["doc_id", "text"], keep=[])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not parts:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    few = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(few, -(-size // PART_BYTES))
+    # as many partitions as blocks: what a task reads stays the same at any size
+    blocks = max(few, -(-size // BLOCK_BYTES))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(parts)
@@ -297,7 +299,7 @@ def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json", parts: in
     shape = "key string, part int, ids binary, docs binary"
     questions = docs.mapInArrow(asked, "key string, part int, words binary")
     answers = questions.repartition(parts, "part").mapInArrow(answered, shape)
-    return docs.mapInArrow(placed, shape).unionByName(answers).groupBy("key").applyInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(placed, shape).unionByName(answers).repartition(blocks, "key").groupBy("key").applyInArrow(joined, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 _PIECES: dict[str, list[str]] = {}
