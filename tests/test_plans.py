@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["before_k", "overlap_join", "entity_division", "temporal_next", "stale_checkpoints", "token_f1", "entity_jaccard", "expand_scored", "nearest_same_type"])
+@pytest.mark.parametrize("name", ["before_k", "overlap_join", "entity_division", "temporal_next", "stale_checkpoints", "token_f1", "entity_jaccard", "expand_scored", "nearest_same_type", "bm25_or", "lexical_relevance", "cross_scope_candidates", "expand_by_intent", "merged_candidates", "rescued_topk", "normalised_relations"])
 def test_no_products(spark, data, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(QUERIES[name](spark, data)))
 
@@ -30,3 +30,25 @@ def test_filters_reach_the_scan(spark, data):
 
 def test_ranks_cut_groups_early(spark, data):
     assert "WindowGroupLimit" in plan(QUERIES["quota_topk"](spark, data)) or "WindowGroupLimit" in plan(QUERIES["entity_match_topk"](spark, data))
+
+
+def test_the_index_holds_only_what_is_asked_for(spark, data):
+    from pyspark.sql import functions as F
+
+    from mnemospark.operators import search as S
+
+    nodes = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    indexed = S.index(nodes, spark.createDataFrame([(1, "the"), (1, "of")], "probe long, term string"))
+    assert {r.term for r in indexed.select("term").distinct().collect()} <= {"the", "of", None}
+    assert indexed.count() <= 3 * nodes.count() and indexed.groupBy("id").agg(F.sum("tf").alias("n"), F.max("dl").alias("dl")).where("n <> dl").count() == 0
+
+
+def test_long_intervals_do_not_fan_out(spark):
+    from pyspark.sql import functions as F
+
+    from mnemospark.operators import temporal as T
+
+    one = spark.sql("SELECT 1 AS k, TIMESTAMP '0100-01-01' AS ls, TIMESTAMP '9999-01-01' AS le")
+    other = spark.range(200).select(F.lit(1).alias("k"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("rs")).withColumn("re", F.col("rs"))
+    joined = T.overlapping(one, other, ["k"])
+    assert joined.count() == 200 and "CartesianProduct" not in plan(joined)
