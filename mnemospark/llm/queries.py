@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .lm_score import lm_scores
 from .minhash import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .token_count import token_counts
@@ -63,6 +64,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest,
         op9_chat,
         op10_minhash,
+        op12_periodic_runs,
     )
 }
 
