@@ -12,6 +12,7 @@ from .bpe import encode_documents
 from .chat import perspectives
 from .common import table
 from .divergence import source_divergence
+from .html_extract import extract_main_text
 from .line_dedup import line_dedup
 from .lm_score import lm_scores
 from .minhash import near_duplicates
@@ -73,6 +74,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_minhash,
         op11_source_divergence,
         op12_periodic_runs,
+        op13_html_extract,
     )
 }
 
