@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.shared import stored
 from mnemospark.operators import entities as EN
+from mnemospark.operators import registry as REG
 from mnemospark.operators import search as S
 
 from .registry import query, table
@@ -133,3 +134,43 @@ def near_duplicates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.when(F.col("id") % 5 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")))
     c = top.select("probe", "id", "score", "v", F.array(F.col("id") % 4).alias("sources"), F.array(F.col("id") % 3).alias("entities"), at.alias("starts"), F.date_add(at, 9).alias("ends"))
     return EN.near_duplicate_penalties(c, like=0.15).withColumn("penalty", F.round("penalty", 6))
+
+
+def _named_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is a mention in one of four namespaces; one in nine has the name of a label, in three spellings."""
+    i = F.col("id")
+    alias = F.when(i % 9 == 0, F.concat(F.lit("  C"), F.col("label"), F.lit(" "))).when(i % 9 == 1, F.concat(F.lit("C"), F.col("label"))).otherwise(F.concat(F.lit("v"), i))
+    kind = F.when(F.col("label") % 3 == 0, "gpe").when(F.col("label") % 3 == 1, "entity").otherwise("object")
+    return _vectors(spark, sf_dir).select((F.concat(F.lit("n"), i % 4)).alias("namespace"), i.alias("place"), alias.alias("alias"), kind.alias("type"), "v")
+
+
+def _known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second label is an entity that all namespaces know from the start."""
+    p = F.col("probe")
+    kind = F.when(p % 3 == 0, "gpe").when(p % 3 == 1, "entity").otherwise("object")
+    spaces = F.explode(F.array(*(F.lit(f"n{n}") for n in range(4))))
+    return stored(_centres(spark, sf_dir).where("probe % 2 = 0").select(spaces.alias("namespace"), F.concat(F.lit("e"), p).alias("id"), kind.alias("type"), p.alias("place"), F.array(F.concat(F.lit("c"), p)).alias("aliases"), F.col("pv").alias("v")))
+
+
+@query()
+def grown_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom every mention means where the registry grows in order of the mentions; likeness counts from 0.3 on, as nothing here is more alike."""
+    out, _ = REG.grown(REG.collected(_named_mentions(spark, sf_dir)), _known_entities(spark, sf_dir), high=0.3, low=0.25, conservative=False)
+    return out
+
+
+@query()
+def registry_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge is asked before anything is taken for the same, new entities included."""
+    _, asked = REG.grown(REG.collected(_named_mentions(spark, sf_dir)), _known_entities(spark, sf_dir), high=0.3, low=0.25)
+    return asked
+
+
+@query("""
+WITH m AS (SELECT 'n' || (vec_id % 4) AS namespace, vec_id, trim(CASE WHEN vec_id % 9 = 0 THEN '  C' || label || ' ' WHEN vec_id % 9 = 1 THEN 'C' || label ELSE 'v' || vec_id END) AS alias, ['gpe', 'entity', 'object'][1 + label % 3] AS type, label FROM embeddings)
+SELECT namespace, arg_min(alias, vec_id) AS alias, arg_min(type, vec_id) AS type, 'e' || any_value(label) AS id, 'exact' AS how FROM m WHERE lower(alias) = 'c' || label AND label % 2 = 0 GROUP BY namespace, lower(alias)
+""")
+def registry_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions whose name an entity has that was known from the start."""
+    out, _ = REG.grown(REG.collected(_named_mentions(spark, sf_dir)), _known_entities(spark, sf_dir), high=2.0, low=2.0, conservative=False)
+    return out.where("how = 'exact'")
