@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
+from mnemospark.functions.shared import stored
 from mnemospark.operators import graph as G
+from mnemospark.operators import planner as P
 from mnemospark.operators import runtime as R
 from mnemospark.operators import temporal as T
 from mnemospark.operators.search import ranked
@@ -25,6 +27,52 @@ def retrieval_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retrieve(found, G.oriented(_edges(spark, sf_dir)), rel)
 
 
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every user is a question in three parts. Its events are nodes: they tell their type, and have it, their hour and the
+    last digit of k as terms. An event leads to the user's next one, to the next one of its k by whoever it is, and, as its source, to the one before."""
+    ev = stored(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    kind, score = F.col("event_type"), F.round(F.col("value") / 100, 6)
+    terms = F.array(kind, F.concat(F.lit("k"), F.col("k") % 10), F.concat(F.lit("h"), F.hour("ts")))
+    nodes = ev.select(F.col("user_id").alias("question"), F.col("event_id").alias("id"), F.explode(terms).alias("term"))
+    facets = ev.select(F.col("event_id").alias("id"), kind.alias("facet")).unionByName(ev.select(F.col("event_id").alias("id"), F.concat(F.lit("k"), F.col("k") % 10).alias("facet")))
+    own, same = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("k").orderBy("ts", "event_id")
+    step = lambda name, way, n, move, w: ev.select(F.col("event_id").alias("source"), F.lit(name).alias("action"), F.lit(way).alias("direction"), F.lit(n).alias("priority"), move("event_id").over(w).alias("id"), move(score).over(w).alias("score")).where("id IS NOT NULL")
+    moves = step("TEMPORAL_NEXT", "forward", 1, F.lead, own).unionByName(step("SAME_K", "forward", 2, F.lead, same)).unionByName(step("SOURCE_EVIDENCE_LOOKUP", "backward", 3, F.lag, own))
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    digit = F.concat(F.lit("k"), F.col("user_id") % 10)
+    part = lambda name, needs, must, should, entities=words(): F.struct(F.lit(name).alias("target"), needs.alias("facets"), F.lit(name).alias("query"), must.alias("must"), should.alias("should"), entities.alias("entities"))
+    parts = F.array(
+        part("root", F.array(F.lit("purchase"), digit), words("purchase"), F.array(digit)),
+        part("hour", words("signup", "error"), words("signup", "h3"), words("error")),
+        part("view", words("k5"), words("view"), words(), words("h25")),
+    )
+    users = ev.select("user_id").distinct().select(F.col("user_id").alias("question"), F.lit(True).alias("required"), F.inline(F.transform(parts, lambda p: p)))
+    return P.run(users, P.by_terms(nodes), moves, facets)
+
+
+@query()
+def planner_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question has found when its rounds end, cited evidence first, and why and when they ended."""
+    evidence, outcome, _ = _planned(spark, sf_dir)
+    return evidence.join(outcome, "question")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / 1000000 AS s, lang AS target, [lang || n_chars % 2, source, 'n' || (n_chars % 7)] AS t FROM documents), f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY target ORDER BY s DESC, doc_id) <= 16),
+gap AS (SELECT a.target, a.doc_id AS a, b.doc_id AS b, 1 - len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) AS g FROM f a JOIN f b USING (target)),
+pick AS (SELECT target, 1 AS place, arg_min(doc_id, (-s, doc_id)) AS doc_id, [arg_min(doc_id, (-s, doc_id))] AS chosen FROM f GROUP BY target UNION ALL
+  SELECT target, place, doc_id, list_append(chosen, doc_id) FROM (SELECT p.target, p.place + 1 AS place, p.chosen, f.doc_id, row_number() OVER (PARTITION BY p.target ORDER BY (SELECT min(g) FROM gap WHERE b = f.doc_id AND list_contains(p.chosen, a)) DESC, f.s DESC, f.doc_id) AS k
+    FROM pick p JOIN f ON f.target = p.target AND NOT list_contains(p.chosen, f.doc_id) WHERE p.place < 4) WHERE k = 1)
+SELECT 0 AS question, target, doc_id AS probe, place FROM pick
+""")
+def diverse_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four documents of each language that differ most in their terms, of the sixteen longest, as probes."""
+    n = F.col("n_chars")
+    terms = F.array(F.concat("lang", n % 2), F.col("source"), F.concat(F.lit("n"), n % 7))
+    rows = table(spark, sf_dir, "documents").select(F.lit(0).alias("question"), F.col("lang").alias("target"), F.col("doc_id").alias("probe"), terms.alias("terms"), (n / 1_000_000).alias("score"))
+    return P.spread(rows, 4, most=16)
+
+
 @query("""
 WITH n AS (SELECT event_id, user_id, value, CASE CAST(json_extract(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'resolved_relative' WHEN 2 THEN 'unresolved' END AS status FROM events)
 SELECT user_id, count(*) AS nodes, count_if(coalesce(status, 'absolute') IN ('absolute', 'resolved_relative')) AS reliable FROM n GROUP BY 1
