@@ -10,6 +10,7 @@ from mnemospark.functions import columns as C
 
 from .answers import similarity_column
 from .graph import merged
+from .pairs import spelt_alike
 from .search import ranked
 
 #: Relations that an extraction may state between events.
@@ -125,7 +126,8 @@ def repaired_ids(said: DataFrame, valid: DataFrame, like: float = 0.92, margin:
     left = at.join(same, ["scope", "value"], "left_anti")
     normal = left.withColumn("k", key("value")).join(own.withColumn("k", key("id")), ["scope", "k"]).groupBy("scope", "value").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
     left = left.join(normal, ["scope", "value"], "left_anti")
-    scored = left.join(own, "scope").withColumn("ratio", similarity_column(F.col("value"), F.col("id")))
+    # what is less alike than like - margin neither is meant nor stands in the way
+    scored = spelt_alike(left.withColumnRenamed("value", "a"), own.withColumnRenamed("id", "b"), ["scope"], like - margin).withColumnsRenamed({"a": "value", "b": "id"})
     two = ranked(scored, ["scope", "value"], [F.desc("ratio"), F.desc("id")], 2).groupBy("scope", "value").agg(F.max(F.struct("ratio", "id")).alias("best"), F.when(F.count("*") > 1, F.min("ratio")).alias("next"))
     close = two.where((F.col("best.ratio") >= like) & (F.col("next").isNull() | (F.col("best.ratio") - F.col("next") >= margin))).select("scope", "value", F.col("best.id").alias("id"))
     none = left.join(close, ["scope", "value"], "left_anti").withColumn("id", F.lit(None).cast("string"))

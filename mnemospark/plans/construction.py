@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.operators import graph as G
+from mnemospark.operators import pairs as PR
 from mnemospark.operators import personas as P
 from mnemospark.operators import search as S
 from mnemospark.operators import selection as SEL
@@ -147,3 +148,39 @@ def trigger_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = m.agg(F.bool_or(F.col("event_type") == "purchase").alias("s"), F.bool_or(F.col("value") > 90).alias("c"), (F.countDistinct("event_type") > 2).alias("d"))
     kinds = F.array_compact(F.array(F.when(F.col("c"), "conditional"), F.when(F.col("d"), "dynamic"), F.when(F.col("s"), "static")))
     return flags.select("user_id", "session", F.array_join(kinds, ",").alias("triggers"))
+
+
+#: Orders as events: their parts (of 500) are entities, their priority the action, and what they are numbered the session.
+_ORDER_EVENTS = """
+tok AS (SELECT l_orderkey AS id, list_sort(list_distinct(list('p' || (l_partkey % 500)))) AS e FROM lineitem GROUP BY 1),
+ev AS (SELECT o_orderkey AS id, o_custkey % {scopes} AS scope, 'c' || (o_custkey % 7) AS chain, lower(o_orderpriority) AS action, o_orderstatus || (o_custkey % 9) AS topic, e, 'kind' || (o_custkey % 3) || ' state' || o_orderstatus AS title, o_orderdate AS at, 's' || (o_orderkey % 1000) AS session, 'p' || (o_orderkey % 3) AS speaker FROM orders JOIN tok ON id = o_orderkey),
+part AS (SELECT scope, list(DISTINCT speaker) AS people FROM ev GROUP BY 1), each AS (SELECT id, scope, unnest(e) AS m FROM ev),
+met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM each a JOIN each b ON a.m = b.m AND a.id < b.id AND {meet} UNION SELECT a.id, b.id FROM ev a JOIN ev b ON a.topic = b.topic AND a.id < b.id AND {meet} AND abs(epoch(a.at) - epoch(b.at)) <= 604800),
+p AS (SELECT a.id AS a, b.id AS b, a.at AS sa, b.at AS sb, len(list_intersect(a.e, b.e)) / len(list_distinct(a.e || b.e)) AS j, a.action = b.action AS same, abs(epoch(a.at) - epoch(b.at)) AS gap, a.title AS ta, b.title AS tb, a.topic = b.topic AS topic, a.session <> b.session AS apart, a.chain <> b.chain AS chains
+  FROM met JOIN ev a ON a.id = met.a JOIN ev b ON b.id = met.b JOIN part pa ON pa.scope = a.scope JOIN part pb ON pb.scope = b.scope WHERE {seen}),
+k AS (SELECT *, CASE WHEN same AND gap <= 86400 AND j >= 0.6 THEN 'action, time and entities' WHEN same AND gap > 86400 AND j >= 0.75 THEN 'action and entities'
+  WHEN NOT same AND j >= 0.75 AND ta = tb THEN 'title and entities' WHEN topic AND apart AND gap <= 604800 THEN 'topic and time' WHEN chains AND j > 0 THEN 'entity' END AS signal FROM p)
+SELECT CASE WHEN signal = 'topic and time' AND sb > sa THEN b ELSE a END AS source, CASE WHEN signal = 'topic and time' AND sb > sa THEN a ELSE b END AS target, CASE signal WHEN 'topic and time' THEN 'FOLLOW_UP_OF' WHEN 'entity' THEN 'CONTEXT_FOR' ELSE 'SAME_EVENT' END AS type, signal FROM k WHERE signal IS NOT NULL
+"""
+
+
+def _order_events(spark: SparkSession, sf_dir: str, scopes: int) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey") % 500)).alias("entities"))
+    c = F.col("o_custkey")
+    title = F.concat(F.lit("kind"), c % 3, F.lit(" state"), F.col("o_orderstatus"))
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (c % scopes).alias("scope"), F.concat(F.lit("c"), c % 7).alias("chain"), F.col("o_orderpriority").alias("action"), F.concat("o_orderstatus", c % 9).alias("topic"), title.alias("title"), F.col("o_orderdate").cast("timestamp").alias("starts"), F.array(F.concat(F.lit("s"), F.col("o_orderkey") % 1000)).alias("sessions"), F.array(F.concat(F.lit("p"), F.col("o_orderkey") % 3)).alias("speakers"))
+    return at.withColumn("ends", F.col("starts")).join(parts, "id")
+
+
+@query("WITH " + _ORDER_EVENTS.format(scopes=20, meet="a.scope = b.scope", seen="TRUE"))
+def event_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a scope's events that may be related, with type and signal."""
+    return PR.event_pairs(_order_events(spark, sf_dir, 20))
+
+
+@query("WITH " + _ORDER_EVENTS.format(scopes=40, meet="a.scope <> b.scope", seen="list_contains(pb.people, a.speaker) AND list_contains(pa.people, b.speaker)") + " AND signal <> 'entity'")
+def cross_scope_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of events of two scopes that see each other: the same event, or one that follows the other."""
+    e = _order_events(spark, sf_dir, 40)
+    people = e.groupBy("scope").agg(F.array_distinct(F.flatten(F.collect_set("speakers"))).alias("participants"))
+    return PR.event_pairs(e, people).where("signal <> 'entity'")
