@@ -119,8 +119,10 @@ def stable_unique(values: Column) -> Column:
 
 
 def later_wins(refs: DataFrame) -> DataFrame:
-    """Evidence (node, evidence, at, ...) merged by id: the row with the latest `at` stays as a whole."""
-    best = F.row_number().over(Window.partitionBy("node", "evidence").orderBy(F.desc("at")))
+    """Evidence (node, evidence, at, ...) merged by id: the row with the latest `at` stays as a whole; of several the one whose
+    other columns, in order of their names, are the largest."""
+    rest = [F.desc(c) for c in sorted(set(refs.columns) - {"node", "evidence", "at"})]
+    best = F.row_number().over(Window.partitionBy("node", "evidence").orderBy(F.desc("at"), *rest))
     return refs.withColumn("_n", best).where("_n = 1").drop("_n")
 
 

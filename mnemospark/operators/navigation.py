@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
+from mnemospark.functions.shared import stored
 
 from .runtime import navigation_score
 from .search import ranked
 from .temporal import neighbours, overlapping
+from .windows import running
 
 HEAD = "chain_head"
 
@@ -18,8 +20,7 @@ def listed(nodes: DataFrame, scopes: DataFrame, kinds: list[str] | None = None)
     """Nodes of the scopes (scope), of some kinds or all, with place: by chain, starts, valid_from and id."""
     own = nodes.join(scopes.select("scope").distinct(), "scope", "left_semi")
     own = own.where(F.col("kind").isin(*kinds)) if kinds else own
-    order = [F.asc_nulls_first("chain"), F.asc_nulls_first("starts"), F.asc_nulls_first("valid_from"), F.col("id")]
-    return ranked(own, ["scope"], order, (1 << 62), "place")
+    return running(own, ["scope"], ["chain", "starts", "valid_from", "id"], F.lit(1).cast("long"), "place")
 
 
 def fetched(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def facts_of(facts: DataFrame, states: DataFrame) -> DataFrame:
     some = facts.join(states.where("state IS NOT NULL").select("scope", "state").distinct(), ["scope", "state"], "left_semi")
     whole = states.where("state IS NULL").select("scope").distinct()
     every = facts.join(whole, "scope", "left_semi").unionByName(some.join(whole, "scope", "left_anti"))
-    return ranked(every, ["scope"], [F.asc_nulls_first("valid_from"), F.col("id")], (1 << 62), "place")
+    return running(every, ["scope"], ["valid_from", "id"], F.lit(1).cast("long"), "place")
 
 
 def retrieves(kind: Column, semantic: bool = True) -> Column:
@@ -87,10 +88,13 @@ def lookups(anchors: DataFrame, nodes: DataFrame, max_days: int = 3650) -> DataF
     entity_ids, entities (names), confidence, words (distinct, lower case), evidence (speakers of its evidence) and
     members (of its scope). anchors: anchor (a node's id), action, budget and question; an anchor's actions are rows.
     A lookup reads its first rows in its own order, drops the anchor, heads and what isn't visible, scores, and cuts.
+    Nodes are read several times, so give them as a stored table; the anchors' own lists are stored here, which runs jobs
+    before this returns.
     """
     own = nodes.where(F.col("kind") != HEAD)
     last = F.coalesce("ends", "starts")
     asked = anchors.join(nodes.withColumnRenamed("id", "anchor"), "anchor").withColumn("limit", fetch_limit(F.col("action"), F.col("budget")))
+    asked = stored(asked)  # a row an anchor and action; all lookups begin from it
     of = lambda *actions: asked.where(F.col("action").isin(*actions))
     by_scope = [F.asc_nulls_first("scope"), F.asc_nulls_first("starts"), F.col("id")]
 
@@ -105,6 +109,7 @@ def lookups(anchors: DataFrame, nodes: DataFrame, max_days: int = 3650) -> DataF
     times = of("TIME_OVERLAP_LOOKUP", "TEMPORAL_BEFORE_LOOKUP", "TEMPORAL_AFTER_LOOKUP", "NEAREST_TIME_LOOKUP").where("kind = 'event' AND starts IS NOT NULL")
     spans = dated.select("space", "id", "scope", "starts", F.col("starts").alias("rs"), last.alias("re"))
     covering = overlapping(times.where("(action = 'TIME_OVERLAP_LOOKUP' AND ends IS NOT NULL) OR action = 'NEAREST_TIME_LOOKUP'").select("space", "anchor", "action", "limit", F.col("starts").alias("ls"), F.when(F.col("action") == "NEAREST_TIME_LOOKUP", F.col("starts")).otherwise(F.col("ends")).alias("le")), spans, ["space"])
+    covering = stored(covering)
     overlaps = ranked(covering.where("action = 'TIME_OVERLAP_LOOKUP'"), ["anchor", "action"], by_scope, F.col("limit"), "n").select("anchor", "action", "id")
     now = ranked(covering.where("action = 'NEAREST_TIME_LOOKUP'"), ["anchor"], [F.col("starts"), F.col("id")], F.col("limit"), "n").select("anchor", "action", "id", "limit", "starts", F.lit(0).cast("long").alias("far"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
@@ -123,7 +128,7 @@ def lookups(anchors: DataFrame, nodes: DataFrame, max_days: int = 3650) -> DataF
         return near.select("who.anchor", "who.action", "id", "limit", gap.alias("far")).where(F.col("far") <= F.lit(max_days * 86_400_000_000))
 
     before, after = beside(("TEMPORAL_BEFORE_LOOKUP", "NEAREST_TIME_LOOKUP"), "before"), beside(("TEMPORAL_AFTER_LOOKUP", "NEAREST_TIME_LOOKUP"), "after")
-    sides = before.unionByName(after)
+    sides = stored(before.unionByName(after))
     nearest = sides.where("action = 'NEAREST_TIME_LOOKUP'").join(dated.select("id", "starts"), "id").select("anchor", "action", "id", "limit", "starts", "far").unionByName(now)
     nearest = ranked(nearest, ["anchor"], [F.col("far"), F.col("starts"), F.col("id")], F.col("limit"), "n").select("anchor", "action", "id")
     cross = of("CROSS_ENTITY_LOOKUP").withColumn("want", asked_entities(F.col("entities"), F.col("entity_ids"), F.col("question"))).where(F.size("want") >= 2)

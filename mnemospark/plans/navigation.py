@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.functions.shared import stored
 from mnemospark.operators import graph as G
 from mnemospark.operators import intents as I
 from mnemospark.operators import navigation as N
@@ -50,7 +51,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, action ORDER BY
 """)
 def virtual_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lookups by entities and in time from each user's latest event: what is read, seen, scored and kept."""
-    nodes = _nodes(spark, sf_dir)
+    nodes = stored(_nodes(spark, sf_dir))
     top = nodes.where("kind = 'event'").groupBy("space").agg(F.max(F.struct("starts", "id", "scope")).alias("t"))
     actions = [a for a in R.LOOKUP_PRIOR]
     anchors = top.select(F.col("t.id").alias("anchor"), F.explode(F.array(*map(F.lit, actions))).alias("action"), F.lit(3).alias("budget"), F.concat(F.lit("what of "), F.col("t.scope"), F.lit(" now")).alias("question"))

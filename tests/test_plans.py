@@ -52,3 +52,7 @@ def test_long_intervals_do_not_fan_out(spark):
     other = spark.range(200).select(F.lit(1).alias("k"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("rs")).withColumn("re", F.col("rs"))
     joined = T.overlapping(one, other, ["k"])
     assert joined.count() == 200 and "CartesianProduct" not in plan(joined)
+
+
+def test_lookups_read_nodes_a_few_times(spark, data):
+    assert plan(QUERIES["virtual_lookup"](spark, data)).count("FileScan") < 15
