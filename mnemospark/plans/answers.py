@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 from mnemospark.operators import answers as A
+from mnemospark.operators import executors as X
+from mnemospark.operators import profiles as PF
 from mnemospark.operators import windows as W
 
 from .registry import query, table
@@ -214,3 +216,53 @@ def replay_idempotence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = F.floor("value").cast("long")
     p = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", rounded.cast("string")), 256)
     return table(spark, sf_dir, "events").groupBy(p.alias("print")).agg(F.min("event_id").alias("first"), F.count("*").alias("replays"))
+
+
+@query(r"""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m, ['count', 'list', 'slots', 'infer'][1 + o_orderkey % 4] AS op, o_orderkey % 5 > 0 AS complete, o_orderkey % 11 = 0 AS two, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+i AS (SELECT l_orderkey AS k, list({'n': l_linenumber, 'id': ' Part  ' || upper(l_returnflag) || (l_partkey % 3), 'v': 'p' || (l_partkey % 3) || l_returnflag, 'said': l_linestatus = 'O' OR l_linenumber < 5, 'on': l_discount < 0.08} ORDER BY l_linenumber, l_returnflag, l_partkey % 3, l_linestatus = 'O' OR l_linenumber < 5 DESC, l_discount < 0.08) AS items FROM lineitem GROUP BY 1),
+x AS (SELECT *, len([t FOR t IN items IF t.on AND NOT t.said]) > 0 AS bad, [t FOR t IN items IF t.on] AS picked, [t.v FOR t IN items] AS vs FROM o JOIN i USING (k)),
+y AS (SELECT *, [t.v FOR t, j IN picked IF list_position([q.id FOR q IN picked], t.id) = j] AS firsts, [v FOR v, j IN vs IF list_position(vs, v) = j] AS values FROM x),
+z AS (SELECT *, CASE WHEN m < 2 THEN CASE WHEN bad THEN 'item without support' END WHEN m = 2 THEN CASE WHEN len([t FOR t IN items IF NOT t.said]) > 0 THEN 'slot without support' END ELSE CASE WHEN k % 3 = 2 THEN 'no candidate' WHEN NOT items[1].said THEN 'candidate without support' WHEN k % 9 = 0 THEN 'candidate contradicted' END END AS warning FROM y),
+n AS (SELECT *, CASE WHEN complete AND warning IS NULL THEN CASE WHEN m < 2 THEN CASE WHEN len(firsts) > 0 AND NOT two THEN CASE m WHEN 0 THEN CAST(len(firsts) AS VARCHAR) ELSE array_to_string(firsts, ', ') END END
+  WHEN m = 2 THEN CASE WHEN len([v FOR v IN values IF NOT contains(lower(p), lower(v))]) > 0 THEN array_to_string(values, '; ') END ELSE 'Likely ' || items[1].v END END AS new FROM z)
+SELECT k AS id, coalesce(new, p) AS answer, CASE WHEN new IS NOT NULL THEN p END AS model_answer, warning FROM n
+""")
+def executed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' answers worked out from their lines: how many kinds of parts, which, or the first one; lines that aren't said support nothing."""
+    n = F.col("l_linenumber")
+    value = F.concat(F.lit("p"), F.col("l_partkey") % 3, F.col("l_returnflag"))
+    said = (F.col("l_linestatus") == "O") | (n < 5)
+    row = F.struct(n.alias("n"), F.concat(F.lit(" Part  "), F.upper("l_returnflag"), F.col("l_partkey") % 3).alias("id"), value.alias("v"), F.when(said, F.concat(F.lit("LINE "), n, F.lit(" has "), value)).otherwise("never said").alias("quote"), (F.col("l_discount") < 0.08).alias("on"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("l"), F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("line   "), n, F.lit(" has "), value)))).alias("context"))
+    k = F.col("o_orderkey")
+    op = F.element_at(F.array(*map(F.lit, ("count", "list", "slots", "infer"))), (1 + k % 4).cast("int"))
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), op.alias("op"), F.col("o_orderpriority").alias("answer"), F.element_at(F.array(*map(F.lit, ("1", "1", "4", "3"))), (1 + k % 4).cast("int")).alias("category"), F.when(k % 11 == 0, "How many parts and when did they come?").otherwise("How many parts came").alias("question")).join(lines, "id")
+    first = F.struct(F.get("l", F.lit(0))["v"].alias("value"), F.array(F.get("l", F.lit(0))["quote"]).alias("quotes"), F.when(F.col("id") % 9 == 0, "no").alias("contradiction"))
+    work = F.struct(
+        F.col("op").alias("operation"), (F.col("id") % 5 > 0).alias("complete"), F.transform("l", lambda x: F.struct(x["on"].alias("include"), x["id"].alias("id"), x["v"].alias("value"), x["quote"].alias("quote"))).alias("items"),
+        F.transform("l", lambda x: F.struct(F.lit("part").alias("attribute"), x["v"].alias("value"), x["quote"].alias("quote"))).alias("slots"), F.array(first).alias("candidates"), F.when(F.col("id") % 3 == 2, 1).otherwise(0).alias("chosen"),
+    )
+    return X.executed(o.withColumn("work", work.cast(X.WORK)).drop("l", "op")).select("id", "answer", "model_answer", "warning")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS persona, c_name, c_nationkey AS n, c_mktsegment AS seg, c_custkey % 4 AS sib FROM customer),
+s AS (SELECT persona, i, CASE WHEN i % 2 = 1 THEN 'Brother' END AS kind FROM c, unnest(range(1, sib + 1)) AS u(i))
+SELECT persona, 'Name' AS path, c_name AS value FROM c UNION ALL SELECT persona, 'Birthplace', 'n' || n FROM c WHERE n % 3 > 0 UNION ALL SELECT persona, 'Education_Background.Major', seg FROM c
+UNION ALL SELECT persona, 'Family_Information.Mother.Name', 'm' || persona FROM c WHERE n % 2 = 0 UNION ALL SELECT persona, 'Family_Information.Mother.Birth_Date', '1960-01-01' FROM c WHERE n % 2 = 0
+UNION ALL SELECT persona, 'Family_Information.Sibling_' || i || '.Type', kind FROM s WHERE kind IS NOT NULL UNION ALL SELECT persona, 'Family_Information.Sibling_' || i || '.Name', 's' || i FROM s
+UNION ALL SELECT persona, 'Family_Information.Has_Mother', CASE WHEN n % 2 = 0 THEN 'Yes' ELSE 'No' END FROM c UNION ALL SELECT persona, 'Family_Information.Has_Father', 'No' FROM c
+UNION ALL SELECT persona, 'Family_Information.Has_Siblings', CASE WHEN sib > 0 THEN 'Yes' ELSE 'No' END FROM c UNION ALL SELECT persona, 'Family_Information.Sibling_Count', CAST(sib AS VARCHAR) FROM c
+""")
+def static_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each customer's nested profile can be contradicted; relatives are a map of any size."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    s = lambda x: F.lit(x).cast("string")
+    person = lambda kind, name, born: F.struct(kind.alias("Type"), name.alias("Name"), born.alias("Birth_Date"), F.struct(F.lit("kept out").alias("Note")).alias("More"))
+    mother = F.when(n % 2 == 0, F.array(F.struct(F.lit("Mother").alias("k"), person(s(None), F.concat(F.lit("m"), c), s("1960-01-01")).alias("v"))))
+    siblings = F.transform(F.slice(F.array(*map(F.lit, range(1, 4))), F.lit(1), (c % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("Sibling_"), i.cast("string")).alias("k"), person(F.when(i % 2 == 1, "Brother"), F.concat(F.lit("s"), i.cast("string")), s(" ")).alias("v")))
+    family = F.map_from_entries(F.concat(F.coalesce(mother, F.array().cast("array<struct<k:string,v:struct<Type:string,Name:string,Birth_Date:string,More:struct<Note:string>>>>")), siblings))
+    school = F.struct(s(None).alias("Highest_Degree"), F.col("c_mktsegment").alias("Major"), s("").alias("University"))
+    profile = F.struct(F.col("c_name").alias("Name"), s(None).alias("Gender"), F.when(n % 3 > 0, F.concat(F.lit("n"), n)).alias("Birthplace"), school.alias("Education_Background"), family.alias("Family_Information"), F.array(F.lit("not a fact")).alias("Hobbies"))
+    return PF.static_facts(table(spark, sf_dir, "customer").select(c.alias("persona"), profile.alias("profile")))
