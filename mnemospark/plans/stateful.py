@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.shared import shared_dir
 from mnemospark.operators import state as ST
-from mnemospark.streaming import folds
+from mnemospark.streaming import folds, processor
 
 from .registry import query, table
 
@@ -67,6 +67,28 @@ def stream_epoch_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.run_to_table(spark, folds.fold_stream(stream), "append", at).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"SELECT * FROM ({_FOLD}) WHERE seq < (SELECT max(event_id) FROM events)")
+def stream_facts_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stateful processor, which a chain's rows reach in any order and that applies them by their time.
+
+    The last row waits until one comes that is later still."""
+    events = table(spark, sf_dir, "events")
+    ops = ST.reduced(_claims(events)).join(events.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
+    at = _stream_dir(spark)
+    ops.repartition(F.xxhash64("seq")).write.parquet(f"{at}/ops")
+    before = {key: spark.conf.get(key, None) for key in processor.STORE}
+    for key, value in processor.STORE.items():
+        spark.conf.set(key, value)
+    try:
+        stream = spark.readStream.schema(ops.schema).parquet(f"{at}/ops")
+        out = folds.run_to_table(spark, processor.fold_in_time(stream, "0 seconds"), "append", at)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    last = events.agg(F.max("event_id").alias("m"))
+    return out.join(F.broadcast(last), F.col("seq") < F.col("m")).select("chain", "seq", "decision", "epoch", "closed_value", F.round("confidence", 6).alias("confidence"))
+
+
 @query("""
 WITH last AS (SELECT max(ts) AS m FROM events), w AS (SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT event_type, start, n FROM w, last WHERE start + INTERVAL 1 HOUR <= m
