@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions.columns import hash_unit
 from mnemospark.functions.lazy import pd
+from mnemospark.functions.shared import stored
 
 from .windows import running
 
@@ -243,19 +244,58 @@ def conditional_questions(points: DataFrame) -> DataFrame:
     return told.select("persona", "session", F.format_string("Q_%03d", place).alias("question_id"), question.alias("question"), answer.alias("answer"), F.lit("conditional_conflict").alias("conflict_type"), F.lit("hard").alias("difficulty"))
 
 
-def supplements(items: DataFrame, needs: DataFrame) -> DataFrame:
+def draws(pool: DataFrame, total: int, n: int, wanted: DataFrame) -> DataFrame:
+    """persona, item, tokens and j: for each of the draws first to last of a persona (wanted: persona, first, last) an item,
+    likelier the more tokens it has; pool has item, tokens and upto (tokens of all items before and it).
+
+    A draw is a place among all tokens, by hash. Items stand in as many buckets of places as they reach into, about two
+    in all for each item, so a draw meets the few items of its bucket alone.
+    """
+    width = max(1, total // n)
+    held = pool.select("item", "tokens", "upto", F.explode(F.sequence(F.floor((F.col("upto") - F.col("tokens")) / width), F.floor((F.col("upto") - 1) / width))).alias("bucket"))
+    at = wanted.select("persona", F.explode(F.sequence("first", "last")).alias("j"))
+    at = at.withColumn("x", F.least(F.floor(hash_unit(F.col("persona"), F.col("j"), F.lit("draw")) * total), F.lit(total - 1)).cast("long"))
+    met = at.withColumn("bucket", F.floor(F.col("x") / width)).join(held, "bucket")
+    return met.where((F.col("x") < F.col("upto")) & (F.col("x") >= F.col("upto") - F.col("tokens"))).select("persona", "item", "tokens", "j")
+
+
+def supplements(items: DataFrame, needs: DataFrame, rounds: int = 5) -> DataFrame:
     """persona, item, tokens and place: for each persona (needs: persona, tokens) items (item, tokens) drawn without
     repeats, longer ones likelier, until they have the tokens it needs; the last one passes the need.
 
-    Keys -ln(u) / weight, u by hash, put all items in the order of one weighted draw; items must be a bounded pool, which
-    is broadcast if it is counted small.
+    Draws with repeats, of which the first of each item counts, are draws without. A persona gets about as many as items
+    of the mean length would do, and twice as many in each further round; so rows grow with what is needed, not with
+    personas times items. Who needs all items, or still lacks tokens after the last round as it needs nearly all, gets the rest in the
+    order of keys -ln(u) / weight, which goes on with the same draw. Items and personas differ; ties go to the smaller item.
     """
-    pool = items.where("tokens > 0")
-    each = needs.where("tokens > 0").select("persona", F.col("tokens").alias("need"))
-    few = pool.count() <= 100_000
-    drawn = each.crossJoin(F.broadcast(pool) if few else pool).withColumn("key", -F.ln(F.greatest(hash_unit(F.col("persona"), F.col("item"), F.lit("draw")), F.lit(1e-12))) / F.col("tokens"))
-    run = running(drawn, ["persona"], ["key", "item"], F.col("tokens"), "sum").where(F.col("sum") - F.col("tokens") < F.col("need"))
-    return run.select("persona", "item", "tokens", (F.row_number().over(Window.partitionBy("persona").orderBy("key", "item")) - 1).alias("place"))
+    pool = stored(running(items.where("tokens > 0").select("item", F.col("tokens").cast("long").alias("tokens")), [], ["item"], F.col("tokens"), "upto"))
+    total, n = pool.agg(F.sum("tokens"), F.count("*")).first()
+    each = needs.where("tokens > 0").select("persona", F.col("tokens").cast("long").alias("need"))
+    if not n:
+        return each.join(pool.select("item", "tokens"), F.lit(False)).select("persona", "item", "tokens", F.lit(0).alias("place"))
+    left = stored(each.where(F.col("need") < total).withColumns({"first": F.lit(0).cast("long"), "last": F.ceil(F.col("need") * n / total).cast("long") + 3}))
+    done, seen = [], None
+    for _ in range(rounds):
+        new = draws(pool, total, n, left)
+        every = (new if seen is None else seen.join(left.select("persona"), "persona", "left_semi").unionByName(new)).groupBy("persona", "item", "tokens").agg(F.min("j").alias("j"))
+        seen = running(every, ["persona"], ["j"], F.col("tokens"), "sum")
+        seen = stored(seen.join(left.select("persona", "need"), "persona").where(F.col("sum") - F.col("tokens") < F.col("need")))
+        enough = seen.groupBy("persona").agg(F.max("sum").alias("has"), F.max("need").alias("n")).where("has >= n").select("persona")
+        done.append(seen.join(enough, "persona", "left_semi").select("persona", "item", "tokens", "j"))
+        left = stored(left.join(enough, "persona", "left_anti").select("persona", "need", (F.col("last") + 1).alias("first"), (2 * F.col("last") + 1).alias("last")))
+        seen = seen.select("persona", "item", "tokens", "j")
+        if not left.limit(1).count():
+            break
+    rest = left.select("persona", "need").unionByName(each.where(F.col("need") >= total))
+    if rest.limit(1).count():
+        had = seen.join(left.select("persona"), "persona", "left_semi")
+        # all items for each of these: it is what they get, but for the few that go beyond the need
+        more = rest.crossJoin(F.broadcast(pool) if n <= 100_000 else pool).join(had.select("persona", "item"), ["persona", "item"], "left_anti")
+        key = -F.ln(F.greatest(hash_unit(F.col("persona"), F.col("item"), F.lit("rest")), F.lit(1e-12))) / F.col("tokens")
+        more = more.select("persona", "need", "item", "tokens", F.lit(1 << 62).alias("j"), key.alias("key")).unionByName(had.join(rest, "persona").select("persona", "need", "item", "tokens", "j", F.lit(0.0).alias("key")))
+        done.append(running(more, ["persona"], ["j", "key", "item"], F.col("tokens"), "sum").where(F.col("sum") - F.col("tokens") < F.col("need")).select("persona", "item", "tokens", F.struct("j", "key", "item").alias("o")))
+    order = [df if "o" in df.columns else df.select("persona", "item", "tokens", F.struct("j", F.lit(0.0).alias("key"), "item").alias("o")) for df in done]
+    return reduce(DataFrame.unionByName, order).select("persona", "item", "tokens", (F.row_number().over(Window.partitionBy("persona").orderBy("o")) - 1).alias("place"))
 
 
 def new_sessions(drawn: DataFrame, target: int) -> DataFrame:

@@ -349,3 +349,23 @@ def test_times_read_nothing_from_nothing(spark):
     assert got[5] == ("2024-02-24", "2024-02-25", "relative_last_weekend") and got[7] == ("2024-03-01", "2024-03-01", "relative_weekday_defaulted") and got[8][0] == "2024-03-02" and got[6][2] == "ambiguous_quantifier"
     none = TIMES.with_times(df.withColumn("at", F.lit(None).cast("timestamp")), F.col("s"), F.col("at")).where("i = 5").first().t
     assert none.method == "missing_anchor" and none.starts is None
+
+
+def test_draws_grow_with_the_need(spark):
+    """Longer items come as often as their length says, and rows are those that are needed, not personas times items."""
+    items = spark.range(2000).selectExpr("id AS item", "CASE WHEN id % 2 = 0 THEN 30L ELSE 10L END AS tokens")
+    needs = spark.range(400).selectExpr("id AS persona", "CASE id WHEN 0 THEN 39000L ELSE 100L END AS tokens")
+    drawn = GEN.supplements(items, needs).collect()
+    one = [r for r in drawn if r.persona > 0]
+    long = sum(r.tokens == 30 for r in one)
+    assert 0.71 < long / len(one) < 0.79 and len(one) < 400 * 8  # 30 to 10 is three in four
+    by = {}
+    for r in sorted(drawn, key=lambda r: (r.persona, r.place)):
+        by.setdefault(r.persona, []).append(r)
+    assert len(by) == 400 and all(len({r.item for r in own}) == len(own) and [r.place for r in own] == list(range(len(own))) for own in by.values())
+    for p, own in by.items():
+        need = 39_000 if p == 0 else 100
+        assert sum(r.tokens for r in own) >= need > sum(r.tokens for r in own[:-1])
+    first = GEN.draws(spark.createDataFrame([(7, 4, 4), (8, 6, 10)], "item long, tokens long, upto long"), 10, 2, spark.createDataFrame([(1, 0, 999)], "persona long, first long, last long")).collect()
+    assert len(first) == 1000 and 550 < sum(r.item == 8 for r in first) < 650
+    assert GEN.supplements(items.limit(0), needs).collect() == []
