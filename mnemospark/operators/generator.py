@@ -5,10 +5,12 @@ Chance comes from hashes of ids alone (functions.columns.hash_unit), so rows are
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,8 +36,10 @@ TEMPERS = (
     (None, None, ("sensitive", "stress"), {"Health_Status": 1.1}),
 )
 GROUP_SHARE, ONE_CHANGE = {"often": 0.60, "seldom": 0.40}, 0.65
+#: How a seldom attribute gains weight: for each change it must make beyond one, by its name, for the married, and for each session without.
+CHANGE_BONUS, NAME_BONUS, MARRIED_BONUS, WAIT_BONUS, MOST_WAIT_BONUS = 0.20, {"Marital_Status": 1.35, "Children_Status": 1.80}, 1.50, 0.08, 0.8
 LEAST_CHANGES = {"Residence": 3, "Career_Status": 3, "Marital_Status": 3, "Children_Status": 2}
-#: This engine's own values: what attributes may be, and how many sessions one rests after a change.
+#: This engine's own values, where no file tells others (`read_space`): what attributes may be, and how many sessions one rests after a change.
 STATES = {
     "Work_Status": ("Calm", "Busy", "Overloaded"), "Social_Status": ("Quiet", "Active", "Withdrawn"), "Physical_Health": ("Good", "Tired", "Injured"), "Mental_Health": ("Stable", "Anxious", "Low"),
     "Career_Status": ("Employed|Agency|Analyst", "Employed|School|Teacher", "Entrepreneur|Startup|Founder", "Unemployed||"),
@@ -44,6 +48,48 @@ MARITAL = {"Single": ("Dating",), "Dating": ("Married", "Single"), "Married": ("
 CITIES = {"Australia": ("Darwin", "Perth", "Hobart"), "Norway": ("Bergen", "Oslo"), "Ghana": ("Accra", "Kumasi", "Tamale")}
 REST = {"Health_Status": 1, "Social_Status": 1, "Work_Status": 1, "Residence": 3, "Marital_Status": 4, "Children_Status": 9, "Career_Status": 4}
 MOST_CHILDREN, LEAST_AGE = 4, 20
+
+
+@dataclass
+class Space:
+    """What attributes may be and become: states of each, marital moves, cities by country, sessions an attribute rests, how many
+    children there may be and from what age on, and how a life begins."""
+
+    states: dict[str, list[str]] = field(default_factory=lambda: {a: list(s) for a, s in STATES.items()})
+    marital: dict[str, list[str]] = field(default_factory=lambda: {a: list(s) for a, s in MARITAL.items()})
+    cities: dict[str, list[str]] = field(default_factory=lambda: {a: list(s) for a, s in CITIES.items()})
+    rest: dict[str, int] = field(default_factory=lambda: dict(REST))
+    most_children: int = MOST_CHILDREN
+    least_age: int = LEAST_AGE
+    begins: dict[str, str] = field(default_factory=dict)
+
+    def broken(self) -> list[str]:
+        """What can't be lived in: moves to states that there aren't, attributes without two states, no way out of a state, no second city."""
+        out = [f"{a} has fewer than two states" for a, s in self.states.items() if len(set(s)) < 2]
+        out += [f"{a} has no states" for a in ("Work_Status", "Social_Status", "Physical_Health", "Mental_Health", "Career_Status") if a not in self.states]
+        out += [f"no move from {a}" for a, to in self.marital.items() if not to]
+        out += [f"{a} leads to {t}, which leads nowhere" for a, to in self.marital.items() for t in to if t not in self.marital]
+        out += [f"{a} begins with {v}, which it can't be" for a, v in self.begins.items() if a in self.states and v not in self.states[a] or a == "Marital_Status" and v not in self.marital]
+        if sum(len(set(c)) for c in self.cities.values()) < 2:
+            out.append("fewer than two cities")
+        return out
+
+    def first(self) -> dict[str, str | int]:
+        country = next(iter(self.cities))
+        own = {a: s[0] for a, s in self.states.items()} | {"Residence": f"{self.cities[country][0]}, {country}", "Marital_Status": next(iter(self.marital)), "Children_Status": 0}
+        return own | self.begins
+
+
+def read_space(spark: SparkSession, path: str) -> Space:
+    """The state space of a JSON file with some of Space's fields; others are this engine's own. Files are small: one is read
+    whole, through Spark's readers, and an error tells all that is wrong with it."""
+    text = spark.read.text(path, wholetext=True).first()
+    space = Space(**json.loads(text["value"] if text else "{}"))
+    if wrong := space.broken():
+        raise ValueError("; ".join(wrong))
+    return space
+
+
 REVEALED = ("Residence", "Marital_Status", "Children_Status", "Career_Status", "Work_Status", "Health_Status", "Social_Relationships")
 
 
@@ -96,14 +142,14 @@ def _chosen(u: float, weights: dict[str, float]) -> str:
 class Life:
     """A person's seven attributes from session to session."""
 
-    def __init__(self, born: int):
-        self.born, self.last = born, {}
-        self.state = {"Work_Status": "Calm", "Social_Status": "Quiet", "Physical_Health": "Good", "Mental_Health": "Stable", "Career_Status": STATES["Career_Status"][0], "Residence": "Darwin, Australia", "Marital_Status": "Single", "Children_Status": 0}
+    def __init__(self, born: int, space: Space | None = None):
+        self.born, self.last, self.space = born, {}, space or Space()
+        self.state = self.space.first()
 
     def free(self, session: int, year: int) -> list[str]:
         """What may change now: what doesn't rest, and children only to the married, old enough, with fewer than four."""
-        may = [a for a in (*OFTEN, *SELDOM) if session - self.last.get(a, -99) > REST[a]]
-        children = self.state["Marital_Status"] == "Married" and self.state["Children_Status"] < MOST_CHILDREN and year - self.born >= LEAST_AGE
+        may = [a for a in (*OFTEN, *SELDOM) if session - self.last.get(a, -99) > self.space.rest[a]]
+        children = self.state["Marital_Status"] == "Married" and self.state["Children_Status"] < self.space.most_children and year - self.born >= self.space.least_age
         return [a for a in may if a != "Children_Status" or children]
 
     def weights(self, group: tuple[str, ...], session: int, drive: dict[str, float]) -> dict[str, float]:
@@ -111,10 +157,9 @@ class Life:
         out = {a: drive[a] for a in group}
         for a in group:
             if a in SELDOM:
-                bonus = 1.0 + (LEAST_CHANGES[a] - 1) * 0.20
-                bonus *= {"Marital_Status": 1.35, "Children_Status": 1.80}.get(a, 1.0)
-                bonus *= 1.50 if a == "Children_Status" and self.state["Marital_Status"] == "Married" else 1.0
-                out[a] *= (1.0 + min((session - self.last.get(a, -3)) * 0.08, 0.8)) * bonus
+                bonus = (1.0 + (LEAST_CHANGES[a] - 1) * CHANGE_BONUS) * NAME_BONUS.get(a, 1.0)
+                bonus *= MARRIED_BONUS if a == "Children_Status" and self.state["Marital_Status"] == "Married" else 1.0
+                out[a] *= (1.0 + min((session - self.last.get(a, -3)) * WAIT_BONUS, MOST_WAIT_BONUS)) * bonus
         return out
 
     def changed(self, attribute: str, u: float, session: int) -> tuple[str, str, str]:
@@ -128,15 +173,16 @@ class Life:
         if attribute == "Children_Status":
             after = before + 1
         elif attribute == "Marital_Status":
-            after = pick(MARITAL[before])
+            after = pick(self.space.marital[before])
         elif attribute == "Residence":
             city, country = before.split(", ")
-            own = [f"{c}, {country}" for c in CITIES[country] if c != city]
-            others = [f"{c}, {k}" for k in CITIES if k != country for c in CITIES[k]]
+            cities = self.space.cities
+            own = [f"{c}, {country}" for c in cities.get(country, ()) if c != city]
+            others = [f"{c}, {k}" for k in cities if k != country for c in cities[k]]
             near, u = u < 0.5, u * 2 % 1
-            after = pick(own if near else others)
+            after = pick((own or others) if near else (others or own))
         else:
-            after = pick([s for s in STATES[field] if s != before])
+            after = pick([s for s in self.space.states[field] if s != before])
         self.state[field], self.last[attribute] = after, session
         return field, str(before), str(after)
 
@@ -144,27 +190,27 @@ class Life:
 LIVES = "persona long, session int, attribute string, field string, before string, after string"
 
 
-def lives(sessions: DataFrame) -> DataFrame:
+def lives(sessions: DataFrame, space: Space | None = None) -> DataFrame:
     """persona, session, attribute, field, before and after of every change in people's lives.
 
     sessions: persona, session (from 0), date, born (a year) and drive (a struct of drivers). A session changes one
     attribute (65 %) or two: first those that change often (60 %) or seldom, by what drives the person, then one of them.
+    What attributes may be and become is told by `space`, a small table that goes to all tasks.
     A person's sessions stream by in order, so a life of any length needs the same memory.
     """
+    shared = sessions.sparkSession.sparkContext.broadcast(space or Space())
     for i in range(2):
         sessions = sessions.withColumn(f"g{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"group{i}"))).withColumn(f"a{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"attribute{i}"))).withColumn(f"v{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"value{i}")))
     sessions = sessions.withColumn("two", hash_unit(F.col("persona"), F.col("session"), F.lit("two"))).withColumn("year", F.year("date"))
     dealt = sessions.select("persona", "session", "year", "born", F.to_json("drive").alias("drive"), "two", *(f"{x}{i}" for i in range(2) for x in "gav")).repartition("persona").sortWithinPartitions("persona", "session")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        at, life = None, Life(0)
+        at, life = None, Life(0, shared.value)
         for b in batches:
             out = []
             for r in b.to_dict("records"):
                 if r["persona"] != at:
-                    at, life, drive = r["persona"], Life(r["born"]), json.loads(r["drive"])
+                    at, life, drive = r["persona"], Life(r["born"], shared.value), json.loads(r["drive"])
                 left = life.free(r["session"], r["year"])
                 for i in range(1 if r["two"] < ONE_CHANGE else 2):
                     groups = {"often": tuple(a for a in left if a in OFTEN), "seldom": tuple(a for a in left if a in SELDOM)}
@@ -179,6 +225,35 @@ def lives(sessions: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, LIVES)
 
 
+#: When plans are made, and for what.
+PLANNED_AT, PLANNED_FOR = "2026-01-15", "planning_only"
+
+
+def timeline(sessions: DataFrame, changes: DataFrame, begins: dict[str, str]) -> DataFrame:
+    """persona, session, date, kind, before, after and updated: every session with the whole state before and after it (maps),
+    and the fields that changed, by name; at the end of each persona a session in which nothing changes but plans are made.
+
+    sessions: persona, session, date. changes: persona, session, field, after, several of one field in a session only if they
+    are told apart by `place`; the last counts. begins: how each field begins. A session without changes is chitchat. A persona's sessions are
+    its own few; windows over them hold one row each.
+    """
+    place = [F.col("place")] if "place" in changes.columns else [F.lit(0)]
+    last = changes.where(F.col("field").isin(*begins)).groupBy("persona", "session", "field").agg(F.max_by("after", F.struct(*place, "after")).alias("after"))
+    told = last.groupBy("persona", "session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.col("after").cast("string"))))).alias("new"))
+    at = sessions.select("persona", "session", F.col("date").cast("date").alias("date")).join(told, ["persona", "session"], "left")
+    order = Window.partitionBy("persona").orderBy("session")
+    for i, (name, value) in enumerate(begins.items()):
+        new = F.try_element_at("new", F.lit(name))
+        at = at.withColumn(f"_a{i}", F.coalesce(F.last(new, ignorenulls=True).over(order), F.lit(str(value))))
+        at = at.withColumn(f"_b{i}", F.coalesce(F.lag(f"_a{i}").over(order), F.lit(str(value))))
+    state = lambda x: F.create_map(*(c for i, n in enumerate(begins) for c in (F.lit(n), F.col(f"_{x}{i}"))))
+    changed = F.array_compact(F.array(*(F.when(F.col(f"_a{i}") != F.col(f"_b{i}"), F.lit(n)) for i, n in enumerate(begins))))
+    rows = at.select("persona", "session", "date", F.when(F.size(changed) > 0, "update").otherwise("chitchat").alias("kind"), state("b").alias("before"), state("a").alias("after"), changed.alias("updated"))
+    ends = rows.groupBy("persona").agg(F.max_by("after", "session").alias("after"), (F.max("session") + 1).alias("session"))
+    plans = ends.select("persona", "session", F.lit(PLANNED_AT).cast("date").alias("date"), F.lit("future_plan").alias("kind"), F.col("after").alias("before"), "after", F.array().cast("array<string>").alias("updated"))
+    return rows.unionByName(plans)
+
+
 def conditional_points(groups: DataFrame, gap: int = 5, first: int = 9, most_rules: int = 4) -> DataFrame:
     """persona, conflict, role and session: where a preference's rules are told, at least `gap` sessions apart if there is room.
 

@@ -24,7 +24,7 @@ _ORDINAL = "(?:st|nd|rd|th)?"
 #: How times are written in a text, and how exact each form is (0 most).
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _WEEKDAY = "(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)"
-_NUMBER = "(?:a\\s+couple|couple|few|several|a|an|one|two|three|four|five|six|seven|eight|nine|ten|\\d+)"
+_NUMBER = f"(?:{_AMOUNT})"
 WRITTEN = (
     (r"\b\d{4}-\d{1,2}-\d{1,2}(?:[T ][0-2]?\d:[0-5]\d(?::[0-5]\d)?)?\b", 0),
     (rf"\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?\b", 0),
@@ -119,7 +119,7 @@ def absolute(said: Column) -> Column:
     return F.coalesce(
         whole(spread, F.when(last >= first, _found(first, last, "range", "absolute", "iso_range"))),
         whole(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:?\d{2})?$", _found(*point(iso_moment(said)), "datetime", "absolute", "iso_datetime")),
-        whole(clock, _found(*point(moment(said)), "datetime", "absolute", "clock_and_date")),
+        whole(clock, _found(*point(moment(said)), "datetime", "absolute", "locomo_datetime")),
         whole(r"^\d{4}-\d{1,2}-\d{1,2}$", _found(*point(iso_moment(said)), "date", "absolute", "iso_date")),
         whole(year_month, _found(*own, "month", "absolute", "iso_month")),
         whole(year, _found(in_year, in_year + F.make_ym_interval(F.lit(1)) - F.make_dt_interval(F.lit(1)), "year", "absolute", "year")),

@@ -119,3 +119,20 @@ def long_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty-five seeds that haven't been used."""
     return G.sampled(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed")), table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("seed")), 25)
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS persona, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS session, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS work, CASE WHEN o_orderkey % 5 = 0 THEN 'city' || (o_orderkey % 4) END AS home FROM orders),
+a AS (SELECT *, coalesce(last_value(work IGNORE NULLS) OVER w, 'Calm') AS wa, coalesce(last_value(home IGNORE NULLS) OVER w, 'Darwin') AS ha FROM s WINDOW w AS (PARTITION BY persona ORDER BY session)),
+b AS (SELECT *, coalesce(lag(wa) OVER w, 'Calm') AS wb, coalesce(lag(ha) OVER w, 'Darwin') AS hb FROM a WINDOW w AS (PARTITION BY persona ORDER BY session))
+SELECT persona, session, date, CASE WHEN wa <> wb OR ha <> hb THEN 'update' ELSE 'chitchat' END AS kind, wb AS work_before, wa AS work, ha AS home, concat_ws(',', CASE WHEN wa <> wb THEN 'Work_Status' END, CASE WHEN ha <> hb THEN 'Residence' END) AS updated FROM b
+UNION ALL SELECT persona, max(session) + 1, DATE '2026-01-15', 'future_plan', arg_max(wa, session), arg_max(wa, session), arg_max(ha, session), '' FROM b GROUP BY persona
+""")
+def life_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a session in its customer's life, some change work or home; each life ends with plans."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("session", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1).withColumnRenamed("o_custkey", "persona")
+    both = F.array(F.struct(F.lit("Work_Status").alias("field"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("after")), F.struct(F.lit("Residence").alias("field"), F.when(k % 5 == 0, F.concat(F.lit("city"), k % 4)).alias("after")))
+    changes = o.select("persona", "session", F.inline(both)).where("after IS NOT NULL")
+    out = G.timeline(o.select("persona", "session", F.col("o_orderdate").alias("date")), changes, {"Work_Status": "Calm", "Residence": "Darwin"})
+    return out.select("persona", F.col("session").cast("long").alias("session"), "date", "kind", F.col("before")["Work_Status"].alias("work_before"), F.col("after")["Work_Status"].alias("work"), F.col("after")["Residence"].alias("home"), F.array_join("updated", ",").alias("updated"))

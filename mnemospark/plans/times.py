@@ -61,7 +61,7 @@ _FORMS = (
     ("concat(strftime(ts, '%Y-%m-%d'), ' to ', strftime(ts + INTERVAL 9 DAY, '%Y-%m-%d'))", "strftime(ts, '%Y-%m-%d')", "strftime(ts + INTERVAL 9 DAY, '%Y-%m-%d')", "range", "iso_range"),
     ("strftime(ts, '%Y-%m-%dT%H:%M:%S')", "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "datetime", "iso_datetime"),
     ("strftime(ts, '%Y-%m-%d %H:%M+02:00')", "strftime(date_trunc('minute', ts) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S')", "strftime(date_trunc('minute', ts) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S')", "datetime", "iso_datetime"),
-    ("concat(strftime(ts, '%-I:%M'), lower(strftime(ts, ' %p')), ' on ', strftime(ts, '%-d %B, %Y'))", "strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S')", "strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S')", "datetime", "clock_and_date"),
+    ("concat(strftime(ts, '%-I:%M'), lower(strftime(ts, ' %p')), ' on ', strftime(ts, '%-d %B, %Y'))", "strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S')", "strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S')", "datetime", "locomo_datetime"),
     ("strftime(ts, '%Y-%m-%d')", "strftime(ts, '%Y-%m-%d')", "strftime(ts, '%Y-%m-%d')", "date", "iso_date"),
     ("strftime(ts, '%Y-%-m')", "strftime(date_trunc('month', ts), '%Y-%m-%d')", "strftime(last_day(ts), '%Y-%m-%d')", "month", "iso_month"),
     ("strftime(ts, 'in %Y')", "strftime(ts, '%Y-01-01')", "strftime(ts, '%Y-12-31')", "year", "year"),

@@ -1,6 +1,7 @@
 """Operators that need more than SQL to test: greedy choices, folds, windows, simulated people, dates."""
 
 import datetime
+import json
 import random
 
 import numpy as np
@@ -369,3 +370,35 @@ def test_draws_grow_with_the_need(spark):
     first = GEN.draws(spark.createDataFrame([(7, 4, 4), (8, 6, 10)], "item long, tokens long, upto long"), 10, 2, spark.createDataFrame([(1, 0, 999)], "persona long, first long, last long")).collect()
     assert len(first) == 1000 and 550 < sum(r.item == 8 for r in first) < 650
     assert GEN.supplements(items.limit(0), needs).collect() == []
+
+
+def test_lives_follow_the_space_of_a_file(spark, tmp_path):
+    """Moves, children, rests and cities are those that the file tells; the timeline joins up and ends with plans."""
+    told = {"marital": {"Alone": ["Married"], "Married": ["Alone"]}, "cities": {"Iceland": ["Akureyri"], "Chile": ["Arica", "Iquique"]}, "rest": dict(GEN.REST, Children_Status=2, Residence=6), "most_children": 2, "least_age": 30, "begins": {"Marital_Status": "Married"}}
+    (tmp_path / "space.json").write_text(json.dumps(told))
+    space = GEN.read_space(spark, str(tmp_path / "space.json"))
+    drive = F.struct(*(F.lit(float(w)).alias(a) for a, w in GEN.READINESS.items()))
+    sessions = spark.range(6).select(F.col("id").alias("persona"), F.explode(F.sequence(F.lit(0), F.lit(46))).alias("session"), F.lit(1992).alias("born")).withColumn("date", F.add_months(F.lit("2020-01-31").cast("date"), F.col("session"))).withColumn("drive", drive)
+    changes = GEN.lives(sessions, space)
+    got = sorted((r.persona, r.session, r.attribute, r.field, r.before, r.after) for r in changes.collect())
+    last, kids = {}, {}
+    for p, s, a, f, before, after in sorted(got, key=lambda r: r[:2]):
+        assert s - last.get((p, a), -99) > space.rest[a]
+        last[p, a] = s
+        if f == "Marital_Status":
+            assert after in told["marital"][before]
+        if f == "Residence":
+            assert after in ("Akureyri, Iceland", "Arica, Chile", "Iquique, Chile") and after != before
+        if f == "Children_Status":
+            assert int(after) == int(before) + 1 <= 2 and 2020 + s // 12 - 1992 >= 30
+            kids[p] = int(after)
+    assert kids and {r[3] for r in got} >= {"Marital_Status", "Residence", "Children_Status"}
+    line = GEN.timeline(sessions.select("persona", "session", "date"), changes, space.first()).orderBy("persona", "session").collect()
+    assert len(line) == 6 * 48 and {r.kind for r in line} == {"update", "future_plan"}
+    for one, two in zip(line, line[1:], strict=False):
+        assert one.persona != two.persona or one.after == two.before
+        assert (one.kind == "update") == (one.before != one.after) == bool(one.updated)
+    assert all(r.after["Children_Status"] == str(kids.get(r.persona, 0)) and str(r.date) == "2026-01-15" for r in line if r.kind == "future_plan")
+    (tmp_path / "bad.json").write_text(json.dumps({"marital": {"Alone": ["Gone"]}, "cities": {"Chile": ["Arica"]}}))
+    with pytest.raises(ValueError, match="leads nowhere; .*fewer than two cities"):
+        GEN.read_space(spark, str(tmp_path / "bad.json"))
