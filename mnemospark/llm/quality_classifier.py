@@ -66,17 +66,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int =
 
     Four fifths of them go into the normal equations: each of PARTS partitions sends its sums, and Spark adds them cell
     by cell. The rest calibrate: their raw scores, in bins of equal counts, are made non-decreasing. gamma is the
-    Gaussian kernel's parameter. With fewer than 20 labelled rows, or with one label only, nothing can be learned: every
-    score is the share of label 1 among them (0.5 without any).
+    Gaussian kernel's parameter. Where so few rows are labelled that one of these parts has no row or one label only,
+    all rows stand in for it. With one label only nothing can be told apart: every score is the share of
+    label 1 then (0.5 without any label).
     """
     at = with_stats(labelled(carried(docs, ["doc_id", "text"], keep=[])[0], labels, fit_rows)).select("doc_id", "_y", "_s.*", vector().alias("_x"))
     rows = cut(at.withColumn("_fit", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(5)) > 0))
-    seen = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("y"), *(F.avg(f).alias(f) for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).first()
+    seen = rows.agg(F.avg("_y").alias("y"), *(F.avg(F.when(F.col("_fit") == own, F.col("_y"))).alias(n) for n, own in (("y_fit", True), ("y_rest", False))), *(F.avg(f).alias(f) for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).first()
     rng = np.random.default_rng(seed)
     numbers = lambda names, other: np.array([float(f"{seen[c]:.9g}") if seen[c] else other for c in names], dtype=np.float64)
     blank = Model(numbers(FEATURES, 0.0), numbers([f"s_{f}" for f in FEATURES], 1.0), rng.normal(0, np.sqrt(2 * gamma), (len(FEATURES), width)), rng.uniform(0, 2 * np.pi, width), np.zeros(width + 1), np.zeros(1), np.array([0.5 if seen["y"] is None else seen["y"]]))
-    if seen["n"] < 20 or seen["y"] in (0.0, 1.0):
+    if seen["y"] in (None, 0.0, 1.0):
         return blank
+    own = rows if seen["y_fit"] in (None, 0.0, 1.0) else rows.where("_fit")
+    rest = rows if seen["y_rest"] in (None, 0.0, 1.0) else rows.where("NOT _fit")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width + 1, width + 2))
@@ -87,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int =
         yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, part, dtype=np.int32)), pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["part", "cell", "v"])
 
     # what a partition holds, its order and the order of the partitions are fixed, so the last bits are too
-    dealt = rows.where("_fit").repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "_y", *(F.col("_x")[i] for i in range(len(FEATURES))))
+    dealt = own.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "_y", *(F.col("_x")[i] for i in range(len(FEATURES))))
     summed = dealt.mapInArrow(sums, "part int, cell long, v double").groupBy("cell").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("part", "v"))), F.lit(0.0), lambda a, x: a + x["v"]).alias("v"))
     total = np.zeros((width + 1) * (width + 2))
     for c in summed.collect():  # (width + 1) * (width + 2) rows
@@ -100,10 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, width: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(b))), b.column("_y").cast(pa.int32())], names=["raw", "y"])
 
-    scored = cut(rows.where("NOT _fit").mapInArrow(raws, "raw double, y int"))
+    scored = cut(rest.mapInArrow(raws, "raw double, y int"))
     edges = scored.agg(F.percentile_approx("raw", [i / bins for i in range(1, bins)], 10_000).alias("q")).first()["q"]
-    if not edges:
-        return blank
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda c: F.col("raw") > c))
     held = scored.groupBy(place.alias("b")).agg(F.round(F.avg("raw"), 9).alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("x").collect()  # at most bins rows
     return Model(model.centre, model.scale, model.way, model.shift, weight, np.array([h["x"] for h in held]), isotonic(np.array([h["y"] for h in held]), np.array([h["n"] for h in held])))

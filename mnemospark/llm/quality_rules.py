@@ -74,7 +74,7 @@ def _grown(rows: DataFrame, cuts: dict[str, list[float]], most_tests: int) -> Ru
             break
         f, _, t = next(iter(counts))
         p, n = (counts[f, "<=", t][y] + counts[f, ">", t][y] for y in (0, 1))
-        if p < 5 or n == 0:
+        if p == 0 or n == 0:
             break
         gain = lambda t: counts[t][0] * (math.log2(counts[t][0] / sum(counts[t])) - math.log2(p / (p + n))) if counts[t][0] else 0.0  # noqa: B023, E731
         best = max(counts, key=gain)
