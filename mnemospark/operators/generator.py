@@ -299,6 +299,80 @@ def dynamic_questions(changes: DataFrame) -> DataFrame:
     return flat.select("persona", "session", F.format_string("Q_%03d", place).alias("question_id"), "question", "answer", F.lit("dynamic_conflict").alias("conflict_type"), "difficulty")
 
 
+STATED_AT = "persona long, conflict long, role string, session int, rung int"
+
+
+def static_points(conflicts: DataFrame, sessions: DataFrame, gap: int = 5, first: tuple[int, int] = (0, 9)) -> DataFrame:
+    """persona, conflict, role (Point_A, Point_B, Distractor), session and rung: where each conflict of a static fact is told.
+
+    conflicts: persona, conflict, distractor (whether there is one). sessions: persona, session (from 0, without holes), kind.
+    A persona's conflicts go in order of a hash. Point_A takes turns among the sessions `first` from and to, shuffled; the last session
+    holds nothing. Point_B lies after it, on the first rung that has room: 0 a chitchat at least `gap` later that holds nothing yet; 1 any
+    such session; 2 any later one that holds nothing; 3 any later one. Distractors lie between both, where nothing is yet (0), else
+    anywhere there (1). Who finds no place is left out. Draws are by hash.
+
+    A persona's sessions and conflicts stream by in order; a task holds one persona's sessions, the ones taken and no more.
+    """
+    unit = lambda *parts: hash_unit(F.col("persona"), *parts)
+    told = conflicts.select("persona", F.lit(1).alias("what"), F.col("conflict").cast("long").alias("n"), F.lit(None).cast("string").alias("kind"), F.coalesce("distractor", F.lit(False)).alias("distractor"), unit(F.col("conflict"), F.lit("order")).alias("key"), unit(F.col("conflict"), F.lit("B")).alias("b"), unit(F.col("conflict"), F.lit("D")).alias("d"))
+    held = sessions.select("persona", F.lit(0).alias("what"), F.col("session").cast("long").alias("n"), "kind", F.lit(False).alias("distractor"), unit(F.col("session"), F.lit("A")).alias("key"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"))
+    dealt = held.unionByName(told).repartition("persona").sortWithinPartitions("persona", "what", "key", "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, place = None, None
+        for batch in batches:
+            out = []
+            for persona, what, n, kind, distractor, b, d in zip(*(batch[c] for c in ("persona", "what", "n", "kind", "distractor", "b", "d")), strict=True):
+                if persona != at:
+                    at, place = persona, _Places(gap, first)
+                if what == 0:
+                    place.add(int(n), kind)
+                else:
+                    out += [(persona, n, *p) for p in place.told(bool(distractor), b, d)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATED_AT.split(", ")])
+
+    return dealt.mapInPandas(run, STATED_AT)
+
+
+class _Places:
+    """The sessions of one persona, as they come in the order of their draw, and which hold something."""
+
+    def __init__(self, gap: int, first: tuple[int, int]):
+        self.gap, self.first, self.kinds, self.order, self.taken, self.turn = gap, first, {}, [], set(), 0
+
+    def add(self, session: int, kind: str | None) -> None:
+        self.kinds[session] = kind
+        self.order.append(session)
+
+    def told(self, distractor: bool, b: float, d: float) -> list[tuple[str, int, int]]:
+        last = len(self.kinds) - 1
+        starts = [s for s in self.order if self.first[0] <= s <= self.first[1] and s != last]
+        if not starts:
+            return []
+        a = starts[self.turn % len(starts)]
+        self.turn += 1
+        self.taken.add(a)
+        later, free = range(a + 1, last), lambda some: [s for s in some if s not in self.taken]
+        far = [s for s in later if s - a >= self.gap]
+        at = self._drawn(([s for s in free(far) if self.kinds[s] == "chitchat"], free(far), free(later), list(later)), b)
+        out = [("Point_A", a, 0)]
+        if at is None:
+            return out
+        out.append(("Point_B", *at))
+        between = range(a + 1, at[0])
+        if distractor and (where := self._drawn((free(between), list(between)), d)):
+            out.append(("Distractor", *where))
+        return out
+
+    def _drawn(self, rungs: tuple[list[int], ...], u: float) -> tuple[int, int] | None:
+        for rung, some in enumerate(rungs):
+            if some:
+                at = some[int(u * len(some)) % len(some)]
+                self.taken.add(at)
+                return at, rung
+        return None
+
+
 def static_questions(points: DataFrame) -> DataFrame:
     """A question for each second statement (persona, session, conflict, field, value, first: the value stated before, or null)."""
     name = field_name(F.col("field"))

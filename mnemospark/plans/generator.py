@@ -136,3 +136,34 @@ def life_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = o.select("persona", "session", F.inline(both)).where("after IS NOT NULL")
     out = G.timeline(o.select("persona", "session", F.col("o_orderdate").alias("date")), changes, {"Work_Status": "Calm", "Residence": "Darwin"})
     return out.select("persona", F.col("session").cast("long").alias("session"), "date", "kind", F.col("before")["Work_Status"].alias("work_before"), F.col("after")["Work_Status"].alias("work"), F.col("after")["Residence"].alias("home"), F.array_join("updated", ",").alias("updated"))
+
+
+def _static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are conflicts about their customer, whose sessions are 47 months and one of plans; every second month is chitchat."""
+    o = table(spark, sf_dir, "orders")
+    conflicts = o.select(F.col("o_custkey").alias("persona"), F.col("o_orderkey").alias("conflict"), (F.col("o_orderkey") % 2 == 0).alias("distractor"))
+    sessions = conflicts.select("persona").distinct().select("persona", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("session"))
+    return G.static_points(conflicts, sessions.withColumn("kind", F.when(F.col("session") % 2 == 0, "chitchat").otherwise("update")))
+
+
+@query()
+def static_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every conflict is told first, again, and what distracts from it."""
+    return _static(spark, sf_dir)
+
+
+@query("""
+SELECT o_custkey AS persona, count(*) AS points_a, count(*) AS points_b, CAST(0 AS BIGINT) AS too_near, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS last_used, CAST(0 AS BIGINT) AS twice FROM orders GROUP BY 1
+""")
+def static_point_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each persona's points: Point_B too near where its rung promises a gap, distractors outside, the last session used, or a session taken twice where the rung promises that it is free."""
+    p = _static(spark, sf_dir)
+    at = p.groupBy("persona", "conflict").pivot("role", ["Point_A", "Point_B", "Distractor"]).agg(F.first("session").alias("s"), F.first("rung").alias("r"))
+    a, b, d = (F.col(f"{x}_s") for x in ("Point_A", "Point_B", "Distractor"))
+    faults = at.groupBy("persona").agg(
+        F.count(a).alias("points_a"), F.count(b).alias("points_b"), F.count_if((F.col("Point_B_r") < 2) & (b - a < 5)).alias("too_near"), F.count_if((d <= a) | (d >= b) | (b <= a)).alias("outside"),
+        F.count_if(F.greatest(a, b) >= 47).alias("last_used"),
+    )
+    # a free place may hold a Point_A that comes later, as those take turns whatever is there
+    free = p.where("role = 'Point_B' AND rung < 3 OR role = 'Distractor' AND rung = 0").groupBy("persona", "session").agg(F.count("*").alias("n")).groupBy("persona").agg(F.count_if(F.col("n") > 1).alias("twice"))
+    return faults.join(free, "persona", "left").na.fill(0, ["twice"])

@@ -1,6 +1,7 @@
 """Operators that need more than SQL to test: greedy choices, folds, windows, simulated people, dates."""
 
 import datetime
+import hashlib
 import json
 import random
 
@@ -402,3 +403,39 @@ def test_lives_follow_the_space_of_a_file(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"marital": {"Alone": ["Gone"]}, "cities": {"Chile": ["Arica"]}}))
     with pytest.raises(ValueError, match="leads nowhere; .*fewer than two cities"):
         GEN.read_space(spark, str(tmp_path / "bad.json"))
+
+
+def test_static_points_by_hand(spark):
+    """Every rung of the ladder is met; places are those of a loop that follows it."""
+    r, unit = random.Random(4), lambda *p: int(hashlib.sha256("|".join(map(str, p)).encode()).hexdigest()[:13], 16) / 2**52
+    kinds = {p: [r.choice(["chitchat", "update"]) if p % 2 else "update" for _ in range(n)] for p, n in enumerate((48, 14, 9, 3, 2, 1, 12, 20))}
+    conflicts = [(p, 100 * p + c, c % 3 > 0) for p in kinds for c in range(9)]
+    want = {}
+    for p, own in kinds.items():
+        n, taken = len(own), set()
+        starts = sorted((s for s in range(n - 1) if s <= 9), key=lambda s: unit(p, s, "A"))
+        for turn, (_, c, distractor) in enumerate(sorted((x for x in conflicts if x[0] == p), key=lambda x: unit(p, x[1], "order"))):
+            if not starts:
+                continue
+            a = starts[turn % len(starts)]
+            taken.add(a)
+            want[p, c, "Point_A"] = (a, 0)
+            later = list(range(a + 1, n - 1))
+            rungs = [[s for s in later if s - a >= 5 and own[s] == "chitchat" and s not in taken], [s for s in later if s - a >= 5 and s not in taken], [s for s in later if s not in taken], later]
+            rung = next((k for k, some in enumerate(rungs) if some), None)
+            if rung is None:
+                continue
+            b = rungs[rung][int(unit(p, c, "B") * len(rungs[rung]))]
+            taken.add(b)
+            want[p, c, "Point_B"] = (b, rung)
+            rungs = [[s for s in range(a + 1, b) if s not in taken], list(range(a + 1, b))]
+            rung = next((k for k, some in enumerate(rungs) if some), None)
+            if distractor and rung is not None:
+                d = rungs[rung][int(unit(p, c, "D") * len(rungs[rung]))]
+                taken.add(d)
+                want[p, c, "Distractor"] = (d, rung)
+    df = spark.createDataFrame(conflicts, "persona long, conflict long, distractor boolean")
+    sessions = spark.createDataFrame([(p, s, k) for p, own in kinds.items() for s, k in enumerate(own)], "persona long, session int, kind string")
+    got = {(x.persona, x.conflict, x.role): (x.session, x.rung) for x in GEN.static_points(df, sessions).collect()}
+    assert got == want and {k for (_, _, role), (_, k) in want.items() if role == "Point_B"} == {0, 1, 2, 3}
+    assert GEN.static_points(df.limit(0), sessions).collect() == []
