@@ -299,10 +299,12 @@ def dynamic_questions(changes: DataFrame) -> DataFrame:
     return flat.select("persona", "session", F.format_string("Q_%03d", place).alias("question_id"), "question", "answer", F.lit("dynamic_conflict").alias("conflict_type"), "difficulty")
 
 
+#: How far a static fact is told again, and among which sessions first.
+STATIC_GAP, STATIC_FIRST = 10, (0, 9)
 STATED_AT = "persona long, conflict long, role string, session int, rung int"
 
 
-def static_points(conflicts: DataFrame, sessions: DataFrame, gap: int = 5, first: tuple[int, int] = (0, 9)) -> DataFrame:
+def static_points(conflicts: DataFrame, sessions: DataFrame, gap: int = STATIC_GAP, first: tuple[int, int] = STATIC_FIRST) -> DataFrame:
     """persona, conflict, role (Point_A, Point_B, Distractor), session and rung: where each conflict of a static fact is told.
 
     conflicts: persona, conflict, distractor (whether there is one). sessions: persona, session (from 0, without holes), kind.

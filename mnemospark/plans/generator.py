@@ -161,7 +161,7 @@ def static_point_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = p.groupBy("persona", "conflict").pivot("role", ["Point_A", "Point_B", "Distractor"]).agg(F.first("session").alias("s"), F.first("rung").alias("r"))
     a, b, d = (F.col(f"{x}_s") for x in ("Point_A", "Point_B", "Distractor"))
     faults = at.groupBy("persona").agg(
-        F.count(a).alias("points_a"), F.count(b).alias("points_b"), F.count_if((F.col("Point_B_r") < 2) & (b - a < 5)).alias("too_near"), F.count_if((d <= a) | (d >= b) | (b <= a)).alias("outside"),
+        F.count(a).alias("points_a"), F.count(b).alias("points_b"), F.count_if((F.col("Point_B_r") < 2) & (b - a < G.STATIC_GAP)).alias("too_near"), F.count_if((d <= a) | (d >= b) | (b <= a)).alias("outside"),
         F.count_if(F.greatest(a, b) >= 47).alias("last_used"),
     )
     # a free place may hold a Point_A that comes later, as those take turns whatever is there

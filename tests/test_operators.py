@@ -436,6 +436,6 @@ def test_static_points_by_hand(spark):
                 want[p, c, "Distractor"] = (d, rung)
     df = spark.createDataFrame(conflicts, "persona long, conflict long, distractor boolean")
     sessions = spark.createDataFrame([(p, s, k) for p, own in kinds.items() for s, k in enumerate(own)], "persona long, session int, kind string")
-    got = {(x.persona, x.conflict, x.role): (x.session, x.rung) for x in GEN.static_points(df, sessions).collect()}
+    got = {(x.persona, x.conflict, x.role): (x.session, x.rung) for x in GEN.static_points(df, sessions, gap=5).collect()}
     assert got == want and {k for (_, _, role), (_, k) in want.items() if role == "Point_B"} == {0, 1, 2, 3}
     assert GEN.static_points(df.limit(0), sessions).collect() == []

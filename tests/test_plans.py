@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["before_k", "overlap_join", "entity_division", "temporal_next", "stale_checkpoints", "token_f1", "entity_jaccard", "expand_scored", "nearest_same_type", "bm25_or", "lexical_relevance", "cross_scope_candidates", "expand_by_intent", "merged_candidates", "rescued_topk", "normalised_relations", "event_relations", "cross_scope_relations", "repaired_evidence"])
+@pytest.mark.parametrize("name", ["before_k", "overlap_join", "entity_division", "temporal_next", "stale_checkpoints", "token_f1", "entity_jaccard", "expand_scored", "nearest_same_type", "bm25_or", "lexical_relevance", "cross_scope_candidates", "expand_by_intent", "merged_candidates", "rescued_topk", "normalised_relations", "event_relations", "cross_scope_relations", "repaired_evidence", "exact_mentions"])
 def test_no_products(spark, data, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(QUERIES[name](spark, data)))
 
