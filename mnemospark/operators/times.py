@@ -85,12 +85,11 @@ def moment(text: Column) -> Column:
 
 
 def _found(start: Column, end: Column, precision: Column | str, status: str, method: Column | str) -> Column:
-    """What was read, null where the start is."""
+    """What was read, null where the start is. Start and end are bound to a variable: they are long and read several times."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     shown = lambda t: F.when(lit(precision) == "datetime", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd"))
-    return F.when(
-        start.isNotNull(), F.struct(shown(start).alias("starts"), shown(end).alias("ends"), lit(precision).alias("precision"), F.lit(status).alias("status"), lit(method).alias("method"))
-    )
+    told = lambda x: F.when(x["s"].isNotNull(), F.struct(shown(x["s"]).alias("starts"), shown(x["e"]).alias("ends"), lit(precision).alias("precision"), F.lit(status).alias("status"), lit(method).alias("method")))
+    return F.get(F.transform(F.array(F.struct(start.alias("s"), end.alias("e"))), told), F.lit(0))
 
 
 def _unread(test: Column, method: str) -> Column:
@@ -104,7 +103,11 @@ def _month(first: Column) -> tuple[Column, Column]:
 
 def absolute(said: Column) -> Column:
     """Struct of starts, ends, precision, status and method of a time that needs no anchor; null if it is none."""
-    said = F.trim(said)
+    return F.coalesce(*_absolute(F.trim(said)))
+
+
+def _absolute(said: Column) -> list[Column]:
+    """A column for each form of such a time, null for other forms."""
     part = lambda pattern, i: F.regexp_extract(said, pattern, i)
     whole = lambda pattern, value: F.when(said.rlike(pattern), value)
     spread, clock = r"(?i)^(\d{4}-\d{1,2}-\d{1,2})\s+(?:to|through|until|-)\s+(\d{4}-\d{1,2}-\d{1,2})$", rf"(?i)^\d{{1,2}}:\d{{2}}\s*[ap]m\s+on\s+\d{{1,2}}{_ORDINAL}\s+[a-z]+,?\s+\d{{4}}$"
@@ -116,7 +119,7 @@ def absolute(said: Column) -> Column:
     in_month = _month(_day(part(named, 2), month(named, 1), F.lit(1)))
     in_year = _day(part(year, 1), F.lit(1), F.lit(1)).cast("timestamp_ntz")
     point = lambda t: (t, t)
-    return F.coalesce(
+    return [
         whole(spread, F.when(last >= first, _found(first, last, "range", "absolute", "iso_range"))),
         whole(r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:?\d{2})?$", _found(*point(iso_moment(said)), "datetime", "absolute", "iso_datetime")),
         whole(clock, _found(*point(moment(said)), "datetime", "absolute", "locomo_datetime")),
@@ -126,7 +129,7 @@ def absolute(said: Column) -> Column:
         whole(mdy, _found(*point(_day(part(mdy, 3), month(mdy, 1), part(mdy, 2)).cast("timestamp_ntz")), "date", "absolute", "named_date")),
         whole(dmy, _found(*point(_day(part(dmy, 3), month(dmy, 2), part(dmy, 1)).cast("timestamp_ntz")), "date", "absolute", "named_date_dmy")),
         whole(named, _found(*in_month, "month", "absolute", "named_month")),
-    )
+    ]
 
 
 def _shifted(anchor: Column, amount: Column, unit: Column, method: Column | str) -> Column:
@@ -153,6 +156,10 @@ def _to_weekday(day: Column, target: Column, back: Column, on: Column) -> Column
 
 def relative(said: Column, anchor: Column) -> Column:
     """As absolute, for a time that is relative to the anchor (a timestamp): "last week", "3 days ago", "next Monday" ..."""
+    return F.coalesce(*_relative(said, anchor))
+
+
+def _relative(said: Column, anchor: Column) -> list[Column]:
     low = F.regexp_replace(F.regexp_replace(F.lower(said), r"\s+", " "), r"^[ .,;:]+|[ .,;:]+$", "")
     part = lambda pattern, i: F.regexp_extract(low, pattern, i)
     whole = lambda pattern, value: F.when(low.rlike(pattern), value)
@@ -166,7 +173,7 @@ def relative(said: Column, anchor: Column) -> Column:
     back = part(counted, 3).isin("ago", "before")
     way = part(weekday, 1)
     on_day = _to_weekday(anchor.cast("date"), _weekday(part(weekday, 2)), way.isin("last", "previous"), way.isin("next", "following")).cast("timestamp_ntz")
-    return F.coalesce(
+    return [
         whole(two, _shifted(anchor, F.when(part(two, 1) == "before yesterday", -2).otherwise(2), F.lit("day"), F.concat(F.lit("relative_day_"), F.replace(part(two, 1), F.lit(" "), F.lit("_"))))),
         whole("^(?:yesterday|today|tomorrow)$", _shifted(anchor, F.when(low == "yesterday", -1).when(low == "tomorrow", 1).otherwise(0), F.lit("day"), F.concat(F.lit("relative_"), low))),
         whole(near, _shifted(anchor, step(part(near, 1)), part(near, 2), F.concat_ws("_", F.lit("relative"), part(near, 1), part(near, 2)))),
@@ -175,7 +182,7 @@ def relative(said: Column, anchor: Column) -> Column:
         whole(counted, F.coalesce(_unread(F.regexp_replace(part(counted, 1), r"\s+", " ").isin(*VAGUE), "ambiguous_quantifier"), _shifted(anchor, amount(part(counted, 1)) * F.when(back, -1).otherwise(1), part(counted, 2), F.concat(F.lit("relative_"), F.regexp_replace(part(counted, 3), r"\s+", "_"))))),
         whole(simple, _shifted(anchor, F.when(part(simple, 2) == "before", -1).otherwise(1), part(simple, 1), "relative_before_after")),
         whole(weekday, F.when(way == "", _found(on_day, on_day, "date", "resolved_relative_defaulted", "relative_weekday_defaulted")).otherwise(_found(on_day, on_day, "date", "resolved_relative", "relative_weekday"))),
-    )
+    ]
 
 
 def beside_date(said: Column) -> Column:
@@ -195,21 +202,35 @@ def normalized(said: Column, anchor: Column, references: Column | None = None) -
     them is read against it, and one that names several is ambiguous.
     """
     said = F.trim(said)
-    ways = [_unread(said.isNull() | (said == ""), "missing_expression"), absolute(said)]
-    if references is not None:
-        low = F.lower(said)
-        named = F.filter(F.map_entries(references), lambda r: F.contains(low, F.lower(r["key"])) & r["value"].isNotNull())
-        named = F.when(low.rlike(r"\b(?:before|after)\b"), named)
-        ways.append(_unread(F.coalesce(F.size(named) > 1, F.lit(False)), "ambiguous_reference_anchor"))
-        anchor = F.coalesce(F.get(named, F.lit(0))["value"], anchor)
-    ways += [beside_date(said), _unread(anchor.isNull(), "missing_anchor"), relative(said, anchor), _unread(F.lit(True), "ambiguous_or_unsupported")]
-    return F.coalesce(*ways)
+    return F.coalesce(*_ways(said, _anchor(said, anchor, references), references))
+
+
+def _named(said: Column, references: Column) -> Column:
+    low = F.lower(said)
+    named = F.filter(F.map_entries(references), lambda r: F.contains(low, F.lower(r["key"])) & r["value"].isNotNull())
+    return F.when(low.rlike(r"\b(?:before|after)\b"), named)
+
+
+def _anchor(said: Column, anchor: Column, references: Column | None) -> Column:
+    return anchor if references is None else F.coalesce(F.get(_named(said, references), F.lit(0))["value"], anchor)
+
+
+def _ways(said: Column, anchor: Column, references: Column | None) -> list[Column]:
+    """A column for each way to read a time, in order of precedence; the last one always reads something."""
+    ambiguous = [] if references is None else [_unread(F.coalesce(F.size(_named(said, references)) > 1, F.lit(False)), "ambiguous_reference_anchor")]
+    first = [_unread(said.isNull() | (said == ""), "missing_expression"), *_absolute(said), *ambiguous, beside_date(said), _unread(anchor.isNull(), "missing_anchor")]
+    return [*first, *_relative(said, anchor), _unread(F.lit(True), "ambiguous_or_unsupported")]
 
 
 def with_times(df: DataFrame, said: Column, anchor: Column, references: Column | None = None, name: str = "t") -> DataFrame:
-    """df with normalized as a column that is computed once a row: its expression is long, and what reads several of its
-    fields would otherwise hold it several times over."""
-    return once(df, name, normalized(said, anchor, references))
+    """df with normalized as a column that is computed once a row. Each way to read a time is a step of its own, passed
+    over where an earlier one has read it: all in one expression are more code than Spark compiles."""
+    at = once(once(df, "_said", F.trim(said)), "_anchor", _anchor(F.trim(said), anchor, references))
+    steps = _ways(F.col("_said"), F.col("_anchor"), references)
+    at = once(at, name, steps[0])
+    for step in steps[1:]:
+        at = once(at, name, F.coalesce(F.col(name), step))
+    return at.drop("_said", "_anchor")
 
 
 def shown(starts: Column, ends: Column, precision: Column) -> Column:

@@ -56,3 +56,10 @@ def test_long_intervals_do_not_fan_out(spark):
 
 def test_lookups_read_nodes_a_few_times(spark, data):
     assert plan(QUERIES["virtual_lookup"](spark, data)).count("FileScan") < 15
+
+
+@pytest.mark.parametrize("name", ["time_relative_full", "time_absolute_full", "time_against_references"])
+def test_times_in_words_are_little_code(spark, data, name):
+    """Spark compiles methods of 64 KB at most; all forms in one expression were megabytes."""
+    stages = QUERIES[name](spark, data)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(len(stages.apply(k)._2()) for k in range(stages.size())) < 65_536
