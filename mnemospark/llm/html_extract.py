@@ -164,26 +164,44 @@ def _hidden(attributes: dict[str, str]) -> bool:
 
 
 def _around(page: Page) -> list[bool]:
-    """Which elements hold no text of the article, by what they are or are called."""
-    n = len(page.tags)
+    """Which elements hold no text of the article, by what they are or are called.
+
+    A name may also be that of a frame around all ("with-sidebar"). So an element is kept, whatever it is called, if all
+    articles and main parts lie in such ones and the largest lies in it; or if it has over half of the page's text, a
+    headline or an element that is called content, article or the like.
+    """
+    n, tags, parents = len(page.tags), page.tags, page.parents
     names = [_named(a) for a in page.attributes]
-    has = [False] * n  # an article that isn't called a comment or the like, or a main part
-    size = [0] * n
+    size, heads = [0] * n, [False] * n
     for at, text, _ in page.blocks:
         size[at] += len(text)
     for i in range(n - 1, 0, -1):
-        size[page.parents[i]] += size[i]
-        has[i] |= page.tags[i] in ("article", "main") and not names[i][0] & AROUND or names[i][1].get("role") == "main" or page.tags[i] in ("html", "body")
-        if has[i]:
-            has[page.parents[i]] = True
-    out, article = [False] * n, [False] * n
+        up, words = parents[i], names[i][0]
+        heads[i] |= tags[i] == "h1" or bool(words & INSIDE and not words & AROUND)
+        size[up] += size[i]
+        heads[up] |= heads[i]
+    out, article, named = [False] * n, [False] * n, [False] * n
+    framed = []
     for i in range(1, n):
-        above, tag, (words, attributes) = page.parents[i], page.tags[i], names[i]
+        above, tag, (words, attributes) = parents[i], tags[i], names[i]
         article[i] = article[above] or tag in ("article", "main")
-        heads = article[above] or words & INSIDE  # an article's own header
-        called = bool(words & (AROUND - {"header"} if heads else AROUND))
-        own = tag in DROPPED or _hidden(attributes) or tag == "header" and not article[above] or tag == "form" and 2 * size[i] <= size[0] or attributes.get("role") in ROLES or called
-        out[i] = out[above] or own and not (has[i] and tag not in DROPPED)
+        own_head = article[above] or words & INSIDE  # an article's own header
+        named[i] = bool(words & (AROUND - {"header"} if own_head else AROUND)) and tag not in ("html", "body")
+        out[i] = out[above] or tag in DROPPED or _hidden(attributes) or tag == "header" and not article[above] or tag == "form" and 2 * size[i] <= size[0] or attributes.get("role") in ROLES
+        if (tag in ("article", "main") or attributes.get("role") == "main") and not words & AROUND and size[i]:
+            framed.append(i)
+    kept = {0}
+    under = [False] * n
+    for i in range(1, n):
+        under[i] = under[parents[i]] or named[i] or out[i]
+    if framed and all(under[parents[i]] for i in framed):
+        largest = max(framed, key=lambda i: (size[i], -i))
+        while largest > 0:
+            kept.add(largest)
+            largest = parents[largest]
+    for i in range(1, n):
+        called = named[i] and i not in kept and not (2 * size[i] > size[0] and heads[i])
+        out[i] = out[i] or out[parents[i]] or called
     return out
 
 

@@ -36,6 +36,10 @@ PAGES = {
     "no article": ("<nav><a href=1>m</a></nav><footer>f</footer>", []),
     "a fragment": ("<p>Only a fragment", ["Only a fragment"]),
     "no markup": ("Only text", ["Only text"]),
+    "comments that are articles": (f"<main><article><h1>H</h1><p>{LONG}</article><section id=comments><h2>2 comments</h2><article><p>{LONG} {LONG}</article><article><p>Yes.</article></section></main>", ["H", LONG]),
+    "a frame called by its sidebar": (f"<div class=with-sidebar><div class=sidebar><p>{LONG}</p></div><div class=content><h1>H</h1><p>{LONG}<p>{LONG} {LONG}</div></div>", ["H", LONG, f"{LONG} {LONG}"]),
+    "a frame called by its sidebar around an article": (f"<div class=with-sidebar><article><h1>H</h1><p>{LONG}</article><div class=sidebar><p>{LONG} {LONG}</div></div>", ["H", LONG]),
+    "notices inside the article": (f"<article><h1>H</h1><div class=notice>Sign up, please, now.</div><p>{LONG}</p><div role=alert>{LONG}</div><p>end<div class='reader-comments'><p>{LONG} {LONG}</div></article>", ["H", LONG, "end"]),
     "comment without end": ("<p>a</p><!-- <p>b</p>", ["a"]),
 }
 
