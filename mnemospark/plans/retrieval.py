@@ -63,7 +63,7 @@ gap AS (SELECT a.target, a.doc_id AS a, b.doc_id AS b, 1 - len(list_intersect(a.
 pick AS (SELECT target, 1 AS place, arg_min(doc_id, (-s, doc_id)) AS doc_id, [arg_min(doc_id, (-s, doc_id))] AS chosen FROM f GROUP BY target UNION ALL
   SELECT target, place, doc_id, list_append(chosen, doc_id) FROM (SELECT p.target, p.place + 1 AS place, p.chosen, f.doc_id, row_number() OVER (PARTITION BY p.target ORDER BY (SELECT min(g) FROM gap WHERE b = f.doc_id AND list_contains(p.chosen, a)) DESC, f.s DESC, f.doc_id) AS k
     FROM pick p JOIN f ON f.target = p.target AND NOT list_contains(p.chosen, f.doc_id) WHERE p.place < 4) WHERE k = 1)
-SELECT 0 AS question, target, doc_id AS probe, place FROM pick
+SELECT 0 AS question, target, doc_id AS probe, CAST(place AS BIGINT) AS place FROM pick
 """)
 def diverse_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four documents of each language that differ most in their terms, of the sixteen longest, as probes."""
