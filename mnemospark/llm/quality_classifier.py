@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut, held_out
+from .common import carried, cut, held_out, many_executions
 from .stats import FEATURES, labelled, with_stats
 
 
@@ -117,7 +117,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, predict_at: float = 0.7,
     the whole text alone; a null text counts as empty and is scored too. Repeated rows get equal scores; a null
     doc_id counts as not held out; an empty table gives no rows.
     """
-    model = fit(docs, labels, **how)
+    with many_executions(docs.sparkSession):
+        model = fit(docs, labels, **how)
     df, back = carried(docs, ["doc_id", "text"], ["held_out", "score", "predicted"], keep)
     own = [c for c in df.columns if c != "text" or keep is None or "text" in keep]
 

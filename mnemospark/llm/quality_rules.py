@@ -9,7 +9,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut
+from .common import carried, cut, many_executions
 from .stats import FEATURES, labelled, with_stats
 
 #: A conjunction: (feature, "<=" or ">", threshold) and so on. A list of them is tried in order; the first that holds rejects.
@@ -108,7 +108,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, tr
     and text; others pass, and columns of the result's names, in any case, are replaced. A null text counts as empty and
     fails the base test. Repeated rows and ties are judged row by row; an empty table gives no rows.
     """
-    rules = learn(docs if train is None else train, labels, fit_rows)
+    with many_executions(docs.sparkSession):
+        rules = learn(docs if train is None else train, labels, fit_rows)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     df, back = carried(docs, ["text"], [*new, "base_failed", "kept", "rule"])
     df = with_stats(df)
