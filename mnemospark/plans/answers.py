@@ -165,11 +165,26 @@ WITH p AS (SELECT s_nationkey AS type, s_suppkey AS id, s_acctbal AS x FROM supp
 SELECT id, near, round(gap, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, near) AS r FROM d) WHERE r = 1
 """)
 def nearest_same_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other entity of the same type: its neighbours in order of value, so no pair within a type is made."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    side = lambda f: F.struct(F.abs(F.col("s_acctbal") - f("s_acctbal").over(w)).alias("gap"), f("s_suppkey").over(w).alias("near"))
-    near = F.array_min(F.filter(F.array(side(F.lag), side(F.lead)), lambda x: x["near"].isNotNull()))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), near.alias("n")).where("n IS NOT NULL").select("id", "n.near", F.round("n.gap", 6).alias("gap"))
+    """The nearest other entity of the same type, of equally near ones the smallest: each value of a type once, with its two
+    smallest ids, between its neighbours in order, so no pair within a type is made. An unknown value is far from all."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("type"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x")).where("type IS NOT NULL")
+
+    def two(by: list[str]) -> DataFrame:
+        first = own.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where("r <= 2")
+        return first.groupBy(*by).agg(F.min("id").alias("a"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("b"))
+
+    w = Window.partitionBy("type").orderBy("x")
+    side = lambda f: F.when(f("a").over(w).isNotNull(), F.struct(F.abs(F.col("x") - f("x").over(w)).alias("gap"), f("a").over(w).alias("near")))
+    values = two(["type", "x"])
+    beside = values.where("x IS NOT NULL").select("type", "x", "a", "b", F.array_min(F.array_compact(F.array(side(F.lag), side(F.lead)))).alias("n"))
+    unknown = values.where("x IS NULL").select("type", F.col("a").alias("u"))
+    every = two(["type"]).select("type", F.col("a").alias("ta"), F.col("b").alias("tb"))
+    at = own.join(beside, ["type", "x"], "left").join(unknown, "type", "left").join(every, "type")
+    other = lambda gap, near: F.struct(gap.cast("double").alias("gap"), near.alias("near"))
+    equal = other(F.lit(0.0), F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    far = other(F.lit(None), F.when(F.col("x").isNotNull(), F.col("u")).when(F.col("id") == F.col("ta"), F.col("tb")).otherwise(F.col("ta")))
+    n = F.when(F.col("b").isNotNull(), equal).otherwise(F.coalesce("n", far))
+    return at.select("id", n.alias("n")).where("n.near IS NOT NULL").select("id", "n.near", F.round("n.gap", 6).alias("gap"))
 
 
 @query("""

@@ -63,3 +63,14 @@ def test_times_in_words_are_little_code(spark, data, name):
     """Spark compiles methods of 64 KB at most; all forms in one expression were megabytes."""
     stages = QUERIES[name](spark, data)._jdf.queryExecution().debug().codegenToSeq()
     assert max(len(stages.apply(k)._2()) for k in range(stages.size())) < 65_536
+
+
+def test_equally_near_suppliers_go_by_id(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"S{i}", n, x) for i, (n, x) in enumerate([(1, 5.0), (1, 5.0), (1, 5.0), (1, 7.0), (1, 3.0), (1, 7.0), (2, 1.0), (2, None), (2, None), (3, 4.0), (4, None), (4, None), (None, 5.0), (5, 2.0), (5, 4.0), (5, 6.0)])]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["nearest_same_type"]).fetchall()
+    assert sorted(map(tuple, QUERIES["nearest_same_type"](spark, str(tmp_path)).collect())) == sorted(want)
