@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
+from mnemospark.functions.shared import stored
 
 from .answers import similarity_column
 from .graph import merged
@@ -121,18 +122,17 @@ def repaired_ids(said: DataFrame, valid: DataFrame, like: float = 0.92, margin:
     the next is `margin` less alike; else none. Values are compared with the ids of their own scope alone."""
     key = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]", "")
     at = said.select("scope", F.trim("value").alias("value")).distinct()
-    own = valid.select("scope", "id").distinct()
-    same = at.join(own, (at["scope"] == own["scope"]) & (at["value"] == own["id"]), "left_semi")
-    left = at.join(same, ["scope", "value"], "left_anti")
-    normal = left.withColumn("k", key("value")).join(own.withColumn("k", key("id")), ["scope", "k"]).groupBy("scope", "value").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-    left = left.join(normal, ["scope", "value"], "left_anti")
+    own = stored(valid.select("scope", "id").distinct().withColumn("k", key("id")))
+    keys = own.groupBy("scope", "k").agg(F.count("*").alias("n"), F.min("id").alias("normal")).where("n = 1").drop("n")
+    written = own.select("scope", F.col("id").alias("value"), F.lit(True).alias("same"))
+    told = stored(at.join(written, ["scope", "value"], "left").withColumn("k", key("value")).join(keys, ["scope", "k"], "left").select("scope", "value", F.when(F.col("same"), F.col("value")).otherwise(F.col("normal")).alias("id"), F.when(F.col("same"), "exact").when(F.col("normal").isNotNull(), "normalized").alias("how")))
+    left = told.where("how IS NULL").select("scope", "value")
     # what is less alike than like - margin neither is meant nor stands in the way
-    scored = spelt_alike(left.withColumnRenamed("value", "a"), own.withColumnRenamed("id", "b"), ["scope"], like - margin).withColumnsRenamed({"a": "value", "b": "id"})
+    scored = spelt_alike(left.withColumnRenamed("value", "a"), own.select("scope", F.col("id").alias("b")), ["scope"], like - margin).withColumnsRenamed({"a": "value", "b": "id"})
     two = ranked(scored, ["scope", "value"], [F.desc("ratio"), F.desc("id")], 2).groupBy("scope", "value").agg(F.max(F.struct("ratio", "id")).alias("best"), F.when(F.count("*") > 1, F.min("ratio")).alias("next"))
-    close = two.where((F.col("best.ratio") >= like) & (F.col("next").isNull() | (F.col("best.ratio") - F.col("next") >= margin))).select("scope", "value", F.col("best.id").alias("id"))
-    none = left.join(close, ["scope", "value"], "left_anti").withColumn("id", F.lit(None).cast("string"))
-    name = lambda df, how: df.select("scope", "value", "id", F.lit(how).alias("how"))
-    return name(same.withColumn("id", F.col("value")), "exact").unionByName(name(normal, "normalized")).unionByName(name(close, "close")).unionByName(name(none, "none"))
+    close = two.where((F.col("best.ratio") >= like) & (F.col("next").isNull() | (F.col("best.ratio") - F.col("next") >= margin))).select("scope", "value", F.col("best.id").alias("id"), F.lit("close").alias("how"))
+    rest = left.join(close, ["scope", "value"], "left").select("scope", "value", "id", F.coalesce("how", F.lit("none")).alias("how"))
+    return told.where("how IS NOT NULL").unionByName(rest)
 
 
 def _disjoint() -> Column:
