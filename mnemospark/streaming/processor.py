@@ -18,7 +18,8 @@ STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 
 
 class Facts(StatefulProcessor):
-    """One chain's facts, one state entry each, and the rows that wait: they are applied when the watermark passes their time.
+    """One chain's facts, one state entry each, and the list of rows that wait: they are applied when the watermark passes their
+    time, all that it has passed at once, so calls to the state store grow with chains and batches, not with rows.
 
     A row that comes after the watermark has passed its time is late: it changes nothing and is told as late. A chain
     that nothing was applied to for idle_ms of event time is forgotten; its facts' rows were told when they changed.
@@ -31,49 +32,62 @@ class Facts(StatefulProcessor):
         self.handle = handle
         self.facts = handle.getMapState("facts", "key string", "fact string")
         self.epoch = handle.getValueState("epoch", "epoch int, at long")
-        self.waiting = handle.getMapState("waiting", "at long, seq long", "op string")
+        self.waiting = handle.getListState("waiting", "at long, seq long, op string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, late = timerValues.getCurrentWatermarkInMs(), []
         for frame in rows:
+            wait = []
             for r in frame.itertuples():
                 at = int(r.ts.timestamp() * 1000)
                 if at < passed:
                     late.append((key[0], int(r.seq), "late", self._epoch()[0], None, None, r.ts, None))
-                    continue
-                op = json.dumps([r.op, r.key, r.value, None if pd.isna(r.confidence) else r.confidence])
-                self.waiting.updateValue((at, int(r.seq)), (op,))
-                self.handle.registerTimer(at)
+                else:
+                    wait.append((at, int(r.seq), json.dumps([r.op, r.key, r.value, None if pd.isna(r.confidence) else r.confidence])))
+            if wait:
+                self.waiting.appendList(wait)
+                self.handle.registerTimer(min(wait)[0])
         if late:
             yield pd.DataFrame(late, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k[0], k[1]) for k in self.waiting.keys() if k[0] <= now)
+        now, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = {(at, seq): op for at, seq, op in rows if at <= now or at < passed}
         epoch, last = self._epoch()
         if not due:
             if last is not None and now >= last + self.idle_ms:
-                for state in (self.facts, self.epoch, self.waiting):
+                for state in (self.facts, self.epoch):
                     state.clear()
             return
         chain, out = Chain(epoch=epoch), []
-        chain.facts = {k[0]: Fact(*json.loads(v[0])) for k, v in self.facts.iterator()}
-        before = dict.fromkeys(chain.facts)
-        for at, seq in due:
-            op, name, value, confidence = json.loads(self.waiting.getValue((at, seq))[0])
+        before = {k[0]: v[0] for k, v in self.facts.iterator()}
+        chain.facts = {k: Fact(*json.loads(v)) for k, v in before.items()}
+        stamp = lambda ms: None if ms is None else pd.Timestamp(ms, unit="ms")
+        for at, seq in sorted(due):
+            if last is not None and at > last + self.idle_ms:
+                chain = Chain()
+            last = at
+            op, name, value, confidence = json.loads(due[at, seq])
             known = chain.facts.get(name)
             since = known.valid_from if known else None
             told = chain.apply(op, name, value, confidence, at)
             closed = told["decision"] == "revise"
-            stamp = lambda ms: None if ms is None else pd.Timestamp(ms, unit="ms")
             out.append((key[0], seq, told["decision"], told["epoch"], told["closed_value"], told["confidence"], stamp(since if closed else at), stamp(at) if closed else None))
-            self.waiting.removeKey((at, seq))
+        rest = [tuple(r) for r in rows if (r[0], r[1]) not in due]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(rest)[0])
+        else:
+            self.waiting.clear()
         for name in before.keys() - chain.facts.keys():
             self.facts.removeKey((name,))
         for name, f in chain.facts.items():
-            self.facts.updateValue((name,), (json.dumps([f.value, f.confidence, f.valid_from, f.epoch]),))
-        self.epoch.update((chain.epoch, now))
-        self.handle.registerTimer(now + self.idle_ms)
+            kept = json.dumps([f.value, f.confidence, f.valid_from, f.epoch])
+            if before.get(name) != kept:
+                self.facts.updateValue((name,), (kept,))
+        self.epoch.update((chain.epoch, last))
+        self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:

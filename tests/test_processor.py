@@ -66,3 +66,75 @@ def test_nothing_comes(spark, tmp_path, store):
     spark.createDataFrame([], OPERATION).write.parquet(f"{tmp_path}/in")
     got = run_to_table(spark, P.fold_in_time(spark.readStream.schema(OPERATION).parquet(f"{tmp_path}/in")), "append", str(tmp_path / "run"))
     assert got.where(F.lit(True)).collect() == []
+
+
+def test_calls_to_the_store_grow_with_chains_not_rows():
+    import collections
+
+    import pandas as pd
+
+    calls = collections.Counter()
+
+    class State:
+        def __init__(self, kind):
+            self.kind, self.of = kind, {} if kind == "map" else []
+
+        def __getattribute__(self, name):
+            if not name.startswith("_") and name not in ("kind", "of"):
+                calls[name] += 1
+            return object.__getattribute__(self, name)
+
+        def exists(self):
+            return bool(self.of)
+
+        def get(self):
+            return iter(self.of) if self.kind == "list" else self.of
+
+        def appendList(self, rows):  # noqa: N802
+            self.of += rows
+
+        def put(self, rows):
+            self.of = list(rows)
+
+        def clear(self):
+            self.of = {} if self.kind == "map" else []
+
+        def iterator(self):
+            return iter(list(self.of.items()))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.of[k] = v
+
+        def getValue(self, k):  # noqa: N802
+            return self.of[k]
+
+        def removeKey(self, k):  # noqa: N802
+            del self.of[k]
+
+        def keys(self):
+            return list(self.of)
+
+        def update(self, v):
+            self.of = v
+
+    class Handle:
+        getMapState = lambda self, *a: State("map")  # noqa: E731, N815
+        getListState = lambda self, *a: State("list")  # noqa: E731, N815
+        getValueState = lambda self, *a: State("value")  # noqa: E731, N815
+
+        def registerTimer(self, at):  # noqa: N802
+            calls["timer"] += 1
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    f = P.Facts()
+    f.init(Handle())
+    n = 500
+    frame = pd.DataFrame([(1, i, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), "add", "a", "x", 0.5) for i in range(n)], columns=["chain", "seq", "ts", "op", "key", "value", "confidence"])
+    list(f.handleInputRows((1,), iter([frame]), At(0)))
+    first, end = int(frame.ts.iloc[0].timestamp() * 1000), int(frame.ts.iloc[-1].timestamp() * 1000)
+    timers = At(end + 1)
+    told = pd.concat(f.handleExpiredTimer((1,), timers, At(first)))
+    assert list(told.seq) == list(range(n)) and sum(calls.values()) < 20
