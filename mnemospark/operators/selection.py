@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemospark.functions.lazy import pd
+from mnemospark.functions.shared import dealt
 
 CHOSEN = "probe long, id long, score double, rank int"
 
@@ -111,27 +115,64 @@ def controller_evidence(candidates: DataFrame, needs: DataFrame, limit: int = 32
     """What a planner is shown of each probe's candidates (probe, id, score, targets, cited, protected), in order of choice.
 
     Each of its required targets (needs: probe, targets in order) gets its best until two are shown; then come up to
-    `previous` rows cited before, the protected ones, and the best of the rest, `limit` in all.
+    `previous` rows cited before, the protected ones, and the best of the rest, `limit` in all. A probe's rows stream by, best
+    first, and a task keeps about `limit` of each kind of one probe.
     """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        chosen: list[int] = []
-        wants = [set(t) for t in rows.targets]
-        for target in rows.needs[0]:
-            own = [i for i in rows.index if target in wants[i]]
-            for i in own:
-                if i not in chosen and len(chosen) < limit:
-                    chosen.append(i)
-                if len(set(own).intersection(chosen)) >= 2:
+    best = F.when(~F.isnan("score"), F.col("score"))
+    rows = candidates.join(needs.select("probe", F.col("targets").alias("needs")), "probe").select("probe", "id", "score", "targets", "cited", "protected", "needs")
+    order = dealt(rows, "probe").sortWithinPartitions("probe", best.desc_nulls_last(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shown, out = None, None, []
+        for b in batches:
+            for probe, i, score, *row in zip(*(b.column(c).to_pylist() for c in ("probe", "id", "score", "targets", "cited", "protected", "needs")), strict=True):
+                if shown is None or probe != at:
+                    out += shown.chosen() if shown else []
+                    at, shown = probe, _Shown(probe, row[3], limit, previous)
+                shown.add(i, score, *row[:3])
+            if len(out) >= 10_000:
+                yield _shown(out)
+                out = []
+        yield _shown(out + (shown.chosen() if shown else []))
+
+    return order.mapInArrow(run, CHOSEN)
+
+
+def _shown(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"probe": pa.int64(), "id": pa.int64(), "score": pa.float64(), "rank": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+
+class _Shown:
+    """One probe's rows as they come, best first: only those are kept that may still be chosen, whatever the others are."""
+
+    def __init__(self, probe: int, needs: list | None, limit: int, previous: int):
+        self.probe, self.limit, self.previous, self.n = probe, limit, previous, 0
+        self.best: dict = {t: [] for t in needs or []}
+        self.cited, self.protected, self.rest = [], [], []
+
+    def add(self, i: int, score: float, targets: list | None, cited: bool | None, protected: bool | None) -> None:
+        row = (self.n, i, score, frozenset(targets or ()))
+        self.n += 1
+        own = [self.best[t] for t in row[3] if t in self.best]
+        for some, most in ((self.rest, self.limit), *((x, 2) for x in own), *(((self.cited, self.previous + 2 * len(self.best)),) if cited else ()), *(((self.protected, self.limit),) if protected else ())):
+            if len(some) < most:
+                some.append(row)
+
+    def chosen(self) -> list[tuple]:
+        out: dict[int, tuple] = {}
+        for target, own in self.best.items():
+            for row in own:
+                if len(out) < self.limit:
+                    out.setdefault(row[0], row)
+                if sum(target in r[3] for r in out.values()) >= 2:
                     break
-        again = [i for i in rows.index if rows.cited[i] and i not in chosen][:previous]
-        for i in [*again, *(i for i in rows.index if rows.protected[i]), *rows.index]:
-            if i not in chosen and len(chosen) < limit:
-                chosen.append(i)
-        return pd.DataFrame({"probe": rows.probe[chosen], "id": rows.id[chosen], "score": rows.score[chosen], "rank": range(1, len(chosen) + 1)})
-
-    return candidates.join(needs.select("probe", F.col("targets").alias("needs")), "probe").groupBy("probe").applyInPandas(pick, CHOSEN)
+        again = [row for row in self.cited if row[0] not in out][: self.previous]
+        for row in (*again, *self.protected, *self.rest):
+            if len(out) < self.limit:
+                out.setdefault(row[0], row)
+        return [(self.probe, i, score, k) for k, (_, i, score, _) in enumerate(out.values(), 1)]
 
 
 def reinforced(candidates: DataFrame, expansions: DataFrame, cited: DataFrame, step: float = 0.03, most: float = 0.06) -> DataFrame:

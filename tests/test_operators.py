@@ -460,3 +460,47 @@ def test_cross_scope_counts_equal_the_pairs(spark):
     counts = M.cross_scope_counts(nodes, members, F.col("id") % 101)
     assert {x.type: (x.pairs, x.sources) for x in counts.collect()} == want and len(want) == 3
     assert M.cross_scope_counts(nodes.limit(0), members, F.col("id")).collect() == []
+
+
+def test_controller_evidence_of_many_probes_like_a_loop(spark):
+    """Against the choice by hand, row by row, for probes of one to forty rows with ties, in one pass without a group for each."""
+    many = [(p, i, float(i * 7 % 5), [x for x in "abcd" if (i + p) % (3 + ord(x) % 4) == 0], i % 3 == p % 3, i % 5 == 0) for p in range(40) for i in range(p + 1)]
+    needs = ["b", "a", "z", "d"]
+    want = []
+    for p in range(40):
+        own = sorted((r for r in many if r[0] == p), key=lambda r: (-r[2], r[1]))
+        chosen: list = []
+        for t in needs:
+            for r in (r for r in own if t in r[3]):
+                if r not in chosen and len(chosen) < 7:
+                    chosen.append(r)
+                if sum(t in c[3] for c in chosen) >= 2:
+                    break
+        for r in [*[r for r in own if r[4] and r not in chosen][:2], *[r for r in own if r[5]], *own]:
+            if r not in chosen and len(chosen) < 7:
+                chosen.append(r)
+        want += [(p, r[1], r[2], k) for k, r in enumerate(chosen, 1)]
+    df = spark.createDataFrame(many, "probe long, id long, score double, targets array<string>, cited boolean, protected boolean")
+    got = SEL.controller_evidence(df, df.select("probe").distinct().withColumn("targets", F.array(*map(F.lit, needs))), limit=7, previous=2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distractors_make_no_row_for_each_session_between(spark):
+    points = spark.createDataFrame([(p, c, "Point_A", c) for p in range(3) for c in range(4)] + [(p, c, "Point_B", c + 2 + 9 * p) for p in range(3) for c in range(4)], "persona long, conflict long, role string, session int")
+    talk = spark.createDataFrame([(0, 2), (1, 5), (1, 7), (5, 3)], "persona long, session int")
+    unit = lambda *parts: int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / (1 << 52)
+    said = {(r.persona, r.session) for r in talk.collect()}
+    want = {(p, c, min(((p, s) not in said, unit(p, c, s), s) for s in range(c + 1, c + 2 + 9 * p))[2]) for p in range(3) for c in range(4)}
+    got = GEN.between(points, talk)
+    assert set(map(tuple, got.collect())) == want and dict(got.dtypes)["session"] == "int"
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lives_sort_narrow_rows_in_all_partitions(spark):
+    people = spark.range(40).select(F.col("id").alias("persona"), F.lit(1980).alias("born"), GEN.drivers(F.lit("ENFJ"), F.array(F.lit("calm")), F.lit("family")).alias("drive"))
+    lived = GEN.lives(P.calendar(spark, people.select("persona")).join(people, "persona"))
+    plan = lived._jdf.queryExecution().executedPlan().toString()
+    sort = plan[plan.index("Sort [persona") :]
+    assert "REPARTITION_BY_NUM" in plan and "sha2" not in sort[: sort.index("Exchange")] and "to_json" not in plan
+    assert lived.where("persona = 7").count() > 40
