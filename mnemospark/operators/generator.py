@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions.columns import hash_unit
 from mnemospark.functions.lazy import pd
-from mnemospark.functions.shared import stored
+from mnemospark.functions.shared import dealt, stored
 
 from .windows import running
 
@@ -199,30 +199,34 @@ def lives(sessions: DataFrame, space: Space | None = None) -> DataFrame:
     A person's sessions stream by in order, so a life of any length needs the same memory.
     """
     shared = sessions.sparkSession.sparkContext.broadcast(space or Space())
-    for i in range(2):
-        sessions = sessions.withColumn(f"g{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"group{i}"))).withColumn(f"a{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"attribute{i}"))).withColumn(f"v{i}", hash_unit(F.col("persona"), F.col("session"), F.lit(f"value{i}")))
-    sessions = sessions.withColumn("two", hash_unit(F.col("persona"), F.col("session"), F.lit("two"))).withColumn("year", F.year("date"))
-    dealt = sessions.select("persona", "session", "year", "born", F.to_json("drive").alias("drive"), "two", *(f"{x}{i}" for i in range(2) for x in "gav")).repartition("persona").sortWithinPartitions("persona", "session")
+    drives = sessions.schema["drive"].dataType.names
+    # rows are dealt and sorted while they are narrow, over all partitions: small rows must not end in a few long tasks; draws come after that
+    narrow = sessions.select("persona", "session", F.year("date").alias("year"), "born", *(F.col("drive")[a].alias(f"d{i}") for i, a in enumerate(drives)))
+    order = dealt(narrow, "persona").sortWithinPartitions("persona", "session")
+    unit = lambda name: hash_unit(F.col("persona"), F.col("session"), F.lit(name))
+    names = {"g": "group", "a": "attribute", "v": "value"}
+    drawn = order.withColumn("two", unit("two")).withColumns({f"{x}0": unit(f"{n}0") for x, n in names.items()} | {f"{x}1": F.when(F.col("two") >= ONE_CHANGE, unit(f"{n}1")) for x, n in names.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, life = None, Life(0, shared.value)
         for b in batches:
             out = []
-            for r in b.to_dict("records"):
-                if r["persona"] != at:
-                    at, life, drive = r["persona"], Life(r["born"], shared.value), json.loads(r["drive"])
-                left = life.free(r["session"], r["year"])
-                for i in range(1 if r["two"] < ONE_CHANGE else 2):
-                    groups = {"often": tuple(a for a in left if a in OFTEN), "seldom": tuple(a for a in left if a in SELDOM)}
-                    share = {g: GROUP_SHARE[g] * sum(drive[a] for a in own) / len(own) for g, own in groups.items() if own}
+            columns = (b[c].to_list() for c in ("persona", "session", "year", "born", "two", "g0", "a0", "v0", "g1", "a1", "v1", *(f"d{i}" for i in range(len(drives)))))
+            for persona, session, year, born, two, g0, a0, v0, g1, a1, v1, *drive_of in zip(*columns, strict=True):
+                if persona != at:
+                    at, life, drive = persona, Life(born, shared.value), dict(zip(drives, drive_of, strict=True))
+                left = life.free(session, year)
+                for g, a, v in ((g0, a0, v0),) if two < ONE_CHANGE else ((g0, a0, v0), (g1, a1, v1)):
+                    groups = {"often": tuple(x for x in left if x in OFTEN), "seldom": tuple(x for x in left if x in SELDOM)}
+                    share = {n: GROUP_SHARE[n] * sum(drive[x] for x in own) / len(own) for n, own in groups.items() if own}
                     if not share:
                         break
-                    attribute = _chosen(r[f"a{i}"], life.weights(groups[_chosen(r[f"g{i}"], share)], r["session"], drive))
+                    attribute = _chosen(a, life.weights(groups[_chosen(g, share)], session, drive))
                     left.remove(attribute)
-                    out.append((at, r["session"], attribute, *life.changed(attribute, r[f"v{i}"], r["session"])))
+                    out.append((at, session, attribute, *life.changed(attribute, v, session)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LIVES.split(", ")])
 
-    return dealt.mapInPandas(run, LIVES)
+    return drawn.mapInPandas(run, LIVES)
 
 
 #: When plans are made, and for what.
