@@ -279,11 +279,13 @@ def conditional_points(groups: DataFrame, gap: int = 5, first: int = 9, most_rul
 def between(points: DataFrame, chitchat: DataFrame) -> DataFrame:
     """persona, conflict and session of a distractor between a conflict's first and last point: in a session of small talk
     (chitchat: persona, session) if there is one, else in any; by hash."""
-    ends = points.groupBy("persona", "conflict").agg(F.min("session").alias("first"), F.max("session").alias("last")).where("last > first + 1")
-    inner = ends.select("persona", "conflict", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("session"))
-    talk = inner.join(chitchat.select("persona", "session", F.lit(0).alias("rank")), ["persona", "session"], "left")
-    best = F.min(F.struct(F.coalesce("rank", F.lit(1)), hash_unit(F.col("persona"), F.col("conflict"), F.col("session")), "session"))
-    return talk.groupBy("persona", "conflict").agg(best["session"].alias("session"))
+    ends = points.groupBy("persona", "conflict").agg(F.min("session").cast("long").alias("first"), F.max("session").cast("long").alias("last")).where("last > first + 1")
+    talk = chitchat.groupBy("persona").agg(F.collect_set(F.col("session").cast("long")).alias("talk"))  # a persona's sessions are its own few
+    drawn = lambda some: F.array_min(F.transform(some, lambda s: F.struct(hash_unit(F.col("persona"), F.col("conflict"), s).alias("u"), s.alias("session"))))["session"]
+    spoken = F.filter("talk", lambda s: (s > F.col("first")) & (s < F.col("last")))
+    # the sessions between are looked at where the conflict's row is: none of them is a row that is shuffled
+    session = F.coalesce(drawn(spoken), drawn(F.sequence(F.col("first") + 1, F.col("last") - 1)))
+    return ends.join(talk, "persona", "left").select("persona", "conflict", session.cast(points.schema["session"].dataType).alias("session"))
 
 
 def field_name(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.functions.shared import dealt
 from mnemospark.operators import generator as G
 from mnemospark.operators import personas as P
 
@@ -67,7 +68,7 @@ def conditional_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conditional_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders"), "o_custkey")
     n = (F.count("*").over(Window.partitionBy("o_custkey")) * 3).cast("int")
     return o.select(F.col("o_custkey").alias("persona"), F.col("o_orderkey").alias("conflict"), (2 + F.col("o_orderkey") % 3).cast("int").alias("rules"), n.alias("sessions"))
 
@@ -76,7 +77,7 @@ def _conditional_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conditional_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distractors between the points of conditional conflicts, in small talk where there is some."""
     points = G.conditional_points(_conditional_groups(spark, sf_dir))
-    talk = points.select("persona", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4))).alias("session")).distinct()
+    talk = points.select("persona").distinct().select("persona", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4))).alias("session"))
     return G.between(points, talk)
 
 
