@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import columns as C
 from mnemospark.functions.shared import stored
 from mnemospark.operators import search as S
+from mnemospark.operators import texts as X
 from mnemospark.operators import vectors as V
 
 from .registry import query, table
@@ -117,9 +118,9 @@ SELECT * FROM (SELECT probe, id, round(n_terms / k, 6) AS score, row_number() OV
 """)
 def entity_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a probe's entities (its terms) that a node names."""
-    post, terms, _ = _index(spark, sf_dir)
-    found = terms.join(post, "term").groupBy("probe", "id").agg(F.count("*").alias("n")).join(terms.groupBy("probe").agg(F.count("*").alias("k")), "probe")
-    return S.ranked(found, ["probe"], [F.desc("n"), F.col("id")], 20).select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
+    terms = S.probe_terms(_probes(spark, sf_dir))
+    found = X.most_common(_nodes(spark, sf_dir), terms, 20).join(F.broadcast(terms.groupBy("probe").agg(F.count("*").alias("k"))), "probe")
+    return found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
 
 
 _ALL = r"list_transform(regexp_extract_all(text, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Z][A-Za-z0-9_-]+)', 1), lambda x: lower(x))"
