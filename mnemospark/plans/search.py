@@ -181,11 +181,10 @@ s AS (SELECT probe, id, round(len(list_intersect(p, d)) / greatest(1, len(p)), 6
 SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """)
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a probe's tokens that a node has, through an equi-join on tokens: pairs without a common one never meet."""
-    post, terms, _ = _index(spark, sf_dir, 1 << 30)
-    sizes = terms.groupBy("probe").agg(F.count("*").alias("k"))
-    found = terms.join(post, "term").groupBy("probe", "id").agg(F.count("*").alias("n")).join(sizes, "probe")
-    return S.ranked(found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score")), ["probe"], [F.desc("score"), F.col("id")], 10)
+    """Share of a probe's tokens that a node has; equal shares of one probe are equal numbers of tokens."""
+    terms = S.probe_terms(_probes(spark, sf_dir), 1 << 30)
+    found = X.most_common(_nodes(spark, sf_dir), terms, 10).join(F.broadcast(terms.groupBy("probe").agg(F.count("*").alias("k"))), "probe")
+    return found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
 
 
 @query(r"""
