@@ -130,12 +130,12 @@ WITH b AS (SELECT l_orderkey AS node, list_sort(list_distinct(list(l_partkey)))
 SELECT c AS shared, count(*) AS pairs, round(max(c / u), 6) AS best FROM p GROUP BY 1
 """)
 def entity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of orders by their parts: pairs meet on a common part, and their union follows from their sizes."""
-    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("e")).distinct()
-    sized = own.join(own.groupBy("node").agg(F.count("*").alias("n")), "node")
-    a, b = (sized.select("e", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    met = a.join(b, "e").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    return met.groupBy(F.col("c").alias("shared")).agg(F.count("*").alias("pairs"), F.round(F.max(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))), 6).alias("best"))
+    """Likeness of orders by their parts: pairs meet on common parts, each with its own few, and are counted at the smallest of those in common, so no pair is shuffled."""
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.collect_set("l_partkey").alias("s"))
+    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"), F.explode("s").alias("e")) for x in "ab")
+    met = a.join(b, "e").where("a < b").select("e", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.array_intersect("s_a", "s_b").alias("i")).where(F.array_min("i") == F.col("e"))
+    c = F.size("i").cast("long")
+    return met.groupBy(c.alias("shared")).agg(F.count("*").alias("pairs"), F.round(F.max(c / (F.col("n_a") + F.col("n_b") - c)), 6).alias("best"))
 
 
 @query("""
