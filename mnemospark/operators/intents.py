@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.functions.columns import once
+
 #: Patterns of each class of questions, in the order in which classes give facets.
 PATTERNS = {
     "who": (r"\bwho(?:m|se)?\b", r"\bwhich (?:person|people|participant)\b", "谁", "哪位", "哪些人", "参与者"),
@@ -45,8 +48,24 @@ LOOKUPS = {
 }
 
 
+def _begins(pattern: str) -> list[str] | None:
+    """Plain strings of which a text must have one for the pattern to hold, from how the pattern begins; None where that isn't plain."""
+    if "|" in re.sub(r"\([^()]*\)", "", re.sub(r"\([^()]*\)", "", pattern)):
+        return None
+    rest = pattern.removeprefix(r"\b")
+    if some := re.match(r"\(\?:([^()\\\[\]?*+.{}^$]+)\)(?![?*+{])", rest):
+        return some[1].split("|")
+    plain = re.match(r"[^()|\\\[\]?*+.{}^$]*", rest)[0]
+    if plain and rest[len(plain) : len(plain) + 1] in ("?", "*", "+", "{"):
+        plain = plain[:-1]
+    return [plain] if plain else None
+
+
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    """Whether a pattern holds. Most texts lack the strings that patterns begin with, and looking for those is far quicker."""
+    either = lambda tests: reduce(lambda a, b: a | b, tests)
+    has = lambda p: either(F.contains(text, F.lit(s)) for s in _begins(p)) & text.rlike(p) if _begins(p) else text.rlike(p)
+    return either(F.contains(text, F.lit(p)) if _begins(p) == [p] else has(p) for p in patterns)
 
 
 def _strings(*values: str) -> Column:
@@ -61,7 +80,14 @@ def question(text: Column) -> Column:
 def classes(text: Column) -> Column:
     """The classes of a question (array, in the order of PATTERNS), and "complex" if it has two or more or says so."""
     low = F.lower(question(text))
-    own = F.array_compact(F.array(*(F.when(_any(low, p), name) for name, p in PATTERNS.items())))
+    return _with_complex(low, _own(low))
+
+
+def _own(low: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(_any(low, p), name) for name, p in PATTERNS.items())))
+
+
+def _with_complex(low: Column, own: Column) -> Column:
     return F.when((F.size(own) >= 2) | _any(low, COMPLEX), F.array_append(own, "complex")).otherwise(own)
 
 
@@ -85,7 +111,13 @@ def edge_priorities(kinds: Column) -> Column:
 
 def analysed(questions: DataFrame) -> DataFrame:
     """questions (probe, text) with kinds, facets, complexity, probe_budget, edges and whether entity and overlap lookups are open."""
-    df = questions.withColumn("kinds", classes(F.col("text")))
+    return _analysed(questions).drop("_low")
+
+
+def _analysed(questions: DataFrame) -> DataFrame:
+    """As analysed, with _low: the question in lower case. That, its own classes and all its classes are each worked out once."""
+    df = once(questions, "_low", F.lower(question(F.col("text"))))
+    df = once(once(df, "_own", _own(F.col("_low"))), "kinds", _with_complex(F.col("_low"), F.col("_own"))).drop("_own")
     hard = is_complex(F.col("kinds"))
     return df.select(
         "*", facets(F.col("kinds")).alias("facets"), F.when(hard, "complex").otherwise("simple").alias("complexity"), F.when(hard, 12).otherwise(8).alias("probe_budget"), edge_priorities(F.col("kinds")).alias("edges"),
@@ -100,10 +132,11 @@ def catalog(questions: DataFrame, results: DataFrame) -> DataFrame:
     has_evidence and options (array of edge_type, direction). Moves are the edges at hand, by the question's priorities,
     and then lookups that fit the node and the question; each move is listed once, results without reference give none.
     """
-    asked = analysed(questions.select("probe", "text")).select("probe", question(F.col("text")).alias("text"), "kinds", "edges", "by_entity", "by_overlap")
+    # what the text tells is worked out once a question; the text itself meets no result
+    told = once(_analysed(questions.select("probe", "text")), "_told", F.struct(_any(F.col("_low"), BEFORE).alias("before"), _any(F.col("_low"), AFTER).alias("after")))
+    asked = told.select("probe", "_told", "kinds", "edges", "by_entity", "by_overlap")
     at = results.where("coalesce(source, '') <> ''").join(asked, "probe")
-    low, kinds = F.lower("text"), F.col("kinds")
-    before, after = _any(low, BEFORE), _any(low, AFTER)
+    kinds, before, after = F.col("kinds"), F.col("_told.before"), F.col("_told.after")
     turned = F.when(before & ~after, "in").otherwise("out")
     edge = at.select("probe", "source", "kinds", "edges", turned.alias("turned"), F.inline("options")).withColumn("action", F.upper("edge_type")).withColumn("direction", F.lower("direction"))
     edge = edge.where("coalesce(action, '') <> '' AND direction IN ('in', 'out')")
@@ -119,9 +152,9 @@ def catalog(questions: DataFrame, results: DataFrame) -> DataFrame:
     }
     moves = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("action"), F.lit(LOOKUPS[name]).cast("long").alias("priority"))) for name, test in tests.items())))
     looked = at.select("probe", "source", F.inline(moves)).select("probe", "source", "action", F.lit("lookup").alias("direction"), "priority", F.lit(0).alias("turn"))
-    once = edge.unionByName(looked).groupBy("probe", "source", "action", "direction").agg(F.min("priority").alias("priority"), F.min("turn").alias("turn"))
+    listed = edge.unionByName(looked).groupBy("probe", "source", "action", "direction").agg(F.min("priority").alias("priority"), F.min("turn").alias("turn"))
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("priority", "turn", "source", "action", "direction"))
-    return once.select("probe", rank.alias("place"), "source", "action", "direction").select("probe", F.concat(F.lit("a"), F.col("place").cast("string")).alias("action_id"), "source", "action", "direction")
+    return listed.select("probe", rank.alias("place"), "source", "action", "direction").select("probe", F.concat(F.lit("a"), F.col("place").cast("string")).alias("action_id"), "source", "action", "direction")
 
 
 def first_open(moves: DataFrame, tried: DataFrame) -> DataFrame:

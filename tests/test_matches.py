@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.operators import intents as I
 from mnemospark.operators import judging as J
 from mnemospark.operators import texts as X
 from mnemospark.plans import registry
@@ -82,3 +83,19 @@ def test_answers_meet_their_references_in_one_row(spark):
 
 def test_jaccard_shuffles_no_pairs(spark, data):
     assert "hashpartitioning(a#, b" not in re.sub(r"#\d+L?", "#", plan(registry.queries()["entity_jaccard"](spark, data)))
+
+
+def test_questions_are_read_once_and_patterns_looked_for_by_their_beginnings(spark):
+    every = [p for own in I.PATTERNS.values() for p in own] + [*I.COMPLEX, *I.BEFORE, *I.AFTER]
+    said = ["who is it now", "known anyhow", "what place, which people", "the reason it caused", "谁 之前", "", "Before  and\nAfter, how many", "list all", "compare both if he had", "whom", *(re.sub(r"\\b|\(\?:|\)|\?|\|.*", "", p) for p in every)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "probe long, text string")
+    low = F.lower(I.question(F.col("text")))
+    own = [(p, I._begins(p)) for p in every]
+    row = df.select(*(F.count_if(low.rlike(p) & ~(F.lit(False) if b is None else F.exists(F.array(*map(F.lit, b)), lambda s: F.contains(low, s)))).alias(f"x{i}") for i, (p, b) in enumerate(own) if b)).first()
+    assert not any(row) and sum(b is not None for _, b in own) > len(own) / 2
+    found = I.analysed(df)
+    kinds = {r.probe: r.kinds for r in found.collect()}
+    plainly = df.select("probe", *(low.rlike("|".join(f"(?:{p})" for p in ps)).alias(n) for n, ps in I.PATTERNS.items()))
+    assert all([k for k in I.PATTERNS if r[k]] == [k for k in kinds[r.probe] if k != "complex"] for r in plainly.collect())
+    assert "_low" not in found.columns
+    assert plan(found).count("regexp_replace") <= 2
