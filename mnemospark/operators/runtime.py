@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.functions.shared import shared_dir
+from mnemospark.functions.shared import shared_dir, stored
 
 from .graph import expand
 from .search import ranked
@@ -31,7 +31,7 @@ def retrieve(found: DataFrame, edges: DataFrame, relevance: DataFrame, rounds: i
     on end drops out, and the loop ends when all have. At the end relevance (probe, node, rel), or what `rerank` makes of the candidates
     (probe, id, rel), counts 0.7 and the scaled retrieval score 0.3. Each round is written to spark.checkpoint.dir.
     """
-    shared_dir(found.sparkSession)
+    edges, relevance = stored(edges), stored(relevance)  # every round reads them
     pool = found.select("probe", "id", F.lit(0).alias("hop"), F.col("score").cast("double").alias("score"), F.lit(False).alias("used")).checkpoint()
     growing = pool.select("probe").distinct().withColumn("idle", F.lit(0))
     for turn in range(1, rounds + 1):

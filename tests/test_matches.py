@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from mnemospark.operators import graph as G
 from mnemospark.operators import intents as I
 from mnemospark.operators import judging as J
+from mnemospark.operators import runtime as R
 from mnemospark.operators import texts as X
 from mnemospark.plans import registry
 
@@ -99,3 +101,20 @@ def test_questions_are_read_once_and_patterns_looked_for_by_their_beginnings(spa
     assert all([k for k in I.PATTERNS if r[k]] == [k for k in kinds[r.probe] if k != "complex"] for r in plainly.collect())
     assert "_low" not in found.columns
     assert plan(found).count("regexp_replace") <= 2
+
+
+def test_rounds_read_edges_that_were_made_once(spark):
+    """Eight rounds over a chain; the edges are counted as they are made."""
+    made = spark.sparkContext.accumulator(0)
+    chain = spark.createDataFrame([(i, i + 1, "next", "explicit", 1.0) for i in range(12)], "source long, target long, type string, trust string, confidence double").coalesce(1)
+    edges = G.oriented(chain)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = edges.count()
+    rel = spark.createDataFrame([(1, i, 0.5) for i in range(13)], "probe long, node long, rel double")
+    found = R.retrieve(spark.createDataFrame([(1, 0, 0.9)], "probe long, id long, score double"), edges.mapInArrow(counted, edges.schema), rel, rounds=3)
+    assert found.count() == 4 and made.value == rows
