@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -271,9 +272,8 @@ def duration(starts: Column, ends: Column, unit: Column) -> Column:
 def expressions(text: str | None) -> list[str]:
     """The times written in a text, most exact forms first, then by place; what lies within a longer one is part of it."""
     spans: dict[tuple[int, int], int] = {}
-    for pattern, rank in _COMPILED:
-        for m in pattern.finditer(text or ""):
-            spans[m.span()] = min(rank, spans.get(m.span(), rank))
+    for span, rank in _written(text or ""):
+        spans[span] = min(rank, spans.get(span, rank))
     out, reach = [], -1
     for begin, end in sorted(spans, key=lambda s: (s[0], -s[1])):  # one sweep: whatever ends no later than the reach lies within what reached it
         if end > reach:
@@ -283,6 +283,39 @@ def expressions(text: str | None) -> list[str]:
 
 
 _COMPILED = [(re.compile(p, re.IGNORECASE), rank) for p, rank in WRITTEN]
+#: The same for texts in lower case, which are read faster; no form has an escape that lower case would change.
+_LOWER = [(re.compile(p.lower()), rank) for p, rank in WRITTEN]
+_WORD = re.compile(r"\w+")
+#: The words that each form of WRITTEN begins with, where that isn't a number; and the forms that begin with
+#: a number of one, two or four digits, with another, and with digits and letters.
+_UNITS = {f"{unit}{s}" for unit in ("year", "month", "week", "day") for s in ("", "s")}
+_MONTH_WORDS = {*MONTHS, *(m[:3] for m in MONTHS)}
+_OPENING = (
+    set(), _MONTH_WORDS, set(), set(DAYS), _MONTH_WORDS, {"last", "next", "this", "previous", "following"}, {"yesterday", "today", "tomorrow"}, {"the"}, {"day"},
+    {"in", "couple", "few", "several", *NUMBERS, *_UNITS}, {"in"}, set(DAYS), set(),
+)
+_BY_DIGITS, _BY_NUMBER, _BY_ORDINAL = {1: (2, 9), 2: (2, 9), 4: (0, 9, 12)}, (9,), (2,)
+_BY_WORD = {w: tuple(i for i, some in enumerate(_OPENING) if w in some) for w in set().union(*_OPENING)}
+
+
+def _written(text: str) -> Iterator[tuple[tuple[int, int], int]]:
+    """The spans of all forms and their ranks, each form's as finditer gives them. Every form begins with a whole word, so
+    it is tried only at words that may begin it; one that isn't ASCII may equal another in a different case, and tries all."""
+    plain = text.isascii()
+    text, forms = (text.lower(), _LOWER) if plain else (text, _COMPILED)
+    reach = [0] * len(forms)
+    for word in _WORD.finditer(text):
+        w = word[0]
+        if plain or w.isascii():
+            some = _BY_WORD.get(w if plain else w.lower(), ())
+            if not some and w[0].isdigit():
+                some = _BY_DIGITS.get(len(w), _BY_NUMBER) if w.isdigit() else _BY_ORDINAL
+        else:
+            some = range(len(forms))
+        for i in some:
+            if (at := word.start()) >= reach[i] and (m := forms[i][0].match(text, at)):
+                reach[i] = m.end()
+                yield m.span(), forms[i][1]
 
 
 def expressions_in(text: Column) -> Column:
