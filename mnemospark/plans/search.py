@@ -196,7 +196,7 @@ SELECT probe, id, CAST(max(score) AS DOUBLE) AS score FROM x JOIN t USING (term)
 def exact_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the names in each document mention each probe's terms, all of them."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)), F.lower))
-    return S.exact_mentions(S.probe_terms(_probes(spark, sf_dir), 1 << 30), _nodes(spark, sf_dir).select("id", F.explode(names).alias("mention")))
+    return S.mentioned(S.probe_terms(_probes(spark, sf_dir), 1 << 30), _nodes(spark, sf_dir).select("id", names.alias("names")))
 
 
 @query(f"""
