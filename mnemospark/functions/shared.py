@@ -41,6 +41,13 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def sized(df: DataFrame, rows: int, *keys: str, most: int = 1_000_000) -> DataFrame:
+    """df, whose rows were counted, dealt by keys so that a task has about `most` of them; unchanged if it has no more in all.
+
+    What a task sorts or holds then doesn't grow with the data, and adaptive plans don't merge tasks whose rows compress well."""
+    return df if rows <= most else df.repartition(max(-(-rows // most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
