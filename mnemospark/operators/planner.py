@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 from mnemospark.functions.lazy import pd
@@ -82,7 +83,7 @@ def by_terms(nodes: DataFrame) -> Search:
 
     def search(probes: DataFrame) -> DataFrame:
         asked = probes.select(*KEY, F.size(F.array_distinct("must")).alias("need"), F.size(F.array_distinct(F.concat("must", "should", "entities"))).alias("all"), F.explode(F.array_distinct(F.concat("must", "should", "entities"))).alias("term"), "must")
-        met = asked.withColumn("due", F.array_contains("must", F.col("term"))).drop("must").join(nodes.select("question", "id", "term").distinct(), ["question", "term"])
+        met = asked.withColumn("due", F.array_contains("must", F.col("term"))).drop("must").join(nodes.select("question", "id", "term"), ["question", "term"]).distinct()
         scored = met.groupBy(*KEY, "id").agg(F.count("*").alias("n"), F.count_if("due").alias("got"), F.first("need").alias("need"), F.first("all").alias("all"))
         return scored.where("got = need").select(*KEY, "id", F.round(F.col("n") / F.col("all"), 6).alias("score"))
 
@@ -118,7 +119,9 @@ def run(targets: DataFrame, search: Search, moves: DataFrame, facets: DataFrame,
     start = targets.select(*KEY, "required", *PROBE[:1], *(F.coalesce(c, none).alias(c) for c in arrays))
     state = start.withColumns({"stage": F.lit(0), "zero": F.lit(0), "out_at": F.lit(-1), "prints": F.array(print_())}).checkpoint()
     best_moves = stored(ranked(moves.select("source", "action", "direction", "priority", "id", "score"), ["source", "action", "direction"], [F.desc("score"), F.col("id")], reach, "n").drop("n"))
+    paths = stored(best_moves.groupBy("source", "action", "direction").agg(F.min("priority").alias("priority")))
     tells = facets.select("id", "facet").distinct()
+    order = [F.desc("local"), F.desc(F.col("action") == "SOURCE_EVIDENCE_LOOKUP"), F.col("priority"), F.col("source"), F.col("action"), F.col("direction")]
     found = ranked(search(state.select(*KEY, *PROBE)), KEY, [F.desc("score"), F.col("id")], first, "n").drop("n")
     pool = found.withColumns({"score": F.col("score").cast("double"), "turn": F.lit(0)}).checkpoint()
     tried, ended, log = [], [], []
@@ -127,8 +130,10 @@ def run(targets: DataFrame, search: Search, moves: DataFrame, facets: DataFrame,
         told = _told(pool, tells)
         at = state.join(told, KEY, "left").withColumn("missing", F.array_sort(F.array_except("facets", F.coalesce("told", none)))).drop("told")
         # moves that a target hasn't tried, from all nodes of its question
-        ready = _open(at.where("size(missing) > 0 AND (target = 'root' OR required)"), pool, known, best_moves, _all(tried))
-        fresh = ready.groupBy(*KEY).agg(F.max("turn").alias("newest"))
+        ready = _open(at.where("size(missing) > 0 AND (target = 'root' OR required)"), pool, known, paths, _all(tried))
+        # of each target only the moves it may take now, and the turn of its newest
+        ready = stored(ranked(ready.withColumn("newest", F.max("turn").over(Window.partitionBy(*KEY))), KEY, order, actions, "n").drop("n"))
+        fresh = ready.groupBy(*KEY).agg(F.max("newest").alias("newest"))
         at = at.join(fresh, KEY, "left").withColumn("acts", F.expr("size(missing) > 0 AND (target = 'root' OR required) AND (out_at < 0 OR coalesce(newest >= out_at, FALSE))")).checkpoint()
         whole = at.groupBy("question").agg(F.max(F.expr("size(missing) > 0 AND (target = 'root' OR required)")).alias("open"), F.max("acts").alias("can"))
         over = whole.where("NOT open OR NOT can").select("question", F.when(~F.col("open"), "sufficient").otherwise("exhausted").alias("reason"), F.lit(turn - 1).alias("rounds"))
@@ -142,13 +147,14 @@ def run(targets: DataFrame, search: Search, moves: DataFrame, facets: DataFrame,
         eased_ = relaxed(again)
         turned = diversified(again.join(eased_.select(*KEY), KEY, "left_anti"))
         asked = eased_.withColumn("how", F.lit("relaxed")).unionByName(turned.withColumn("how", F.lit("diversified"))).withColumn("print", print_())
-        asked = asked.where(~F.array_contains("prints", F.col("print"))).drop("prints", "missing")
-        hits = ranked(search(asked.select(*KEY, *PROBE)), KEY, [F.desc("score"), F.col("id")], later, "n").select(*KEY, "id", F.col("score").cast("double").alias("score"))
+        asked = asked.where(~F.array_contains("prints", F.col("print"))).drop("prints", "missing").checkpoint()
         # moves made
-        order = [F.desc("local"), F.desc(F.col("action") == "SOURCE_EVIDENCE_LOOKUP"), F.col("priority"), F.col("source"), F.col("action"), F.col("direction")]
-        taken = ranked(ready.join(now.select(*KEY), KEY, "left_semi"), KEY, order, actions, "n").select(*KEY, "source", "action", "direction").checkpoint()
+        taken = ready.join(now.select(*KEY), KEY, "left_semi").select(*KEY, "source", "action", "direction").checkpoint()
         tried.append(taken)
-        gained = taken.join(best_moves, ["source", "action", "direction"]).select(*KEY, "id", F.col("score").cast("double").alias("score")).unionByName(hits).groupBy(*KEY, "id").agg(F.max("score").alias("score"))
+        gained = taken.join(best_moves, ["source", "action", "direction"]).select(*KEY, "id", F.col("score").cast("double").alias("score"))
+        if asked.limit(1).count():
+            gained = gained.unionByName(ranked(search(asked.select(*KEY, *PROBE)), KEY, [F.desc("score"), F.col("id")], later, "n").select(*KEY, "id", F.col("score").cast("double").alias("score")))
+        gained = gained.groupBy(*KEY, "id").agg(F.max("score").alias("score"))
         new = gained.join(pool.select(*KEY, "id"), [*KEY, "id"], "left_anti").withColumn("turn", F.lit(turn)).checkpoint()
         growth = new.join(known.select("question", "id"), ["question", "id"], "left_anti").groupBy(*KEY).agg(F.count("*").alias("growth"))
         pool = pool.unionByName(new)
@@ -188,10 +194,9 @@ def _told(pool: DataFrame, tells: DataFrame) -> DataFrame:
     return each.join(tells, "id").groupBy(*KEY).agg(F.collect_set("facet").alias("told"))
 
 
-def _open(at: DataFrame, pool: DataFrame, known: DataFrame, moves: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _open(at: DataFrame, pool: DataFrame, known: DataFrame, paths: DataFrame, tried: DataFrame | None) -> DataFrame:
     """(question, target, source, action, direction, priority, turn, local): moves that targets can make and haven't."""
     each = at.select(*KEY).join(known.select("question", F.col("id").alias("source"), "turn"), "question")
-    paths = moves.groupBy("source", "action", "direction").agg(F.min("priority").alias("priority"))
     every = each.join(paths, "source")
     if tried is not None:
         every = every.join(tried, [*KEY, "source", "action", "direction"], "left_anti")
