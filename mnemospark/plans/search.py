@@ -73,17 +73,17 @@ def dense_topk_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-def _index(spark: SparkSession, sf_dir: str, most: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings of the probes' first terms, those terms, and the corpus's size."""
+def _counted(spark: SparkSession, sf_dir: str, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Nodes with how often they have the probes' first terms, and those terms."""
     terms = S.probe_terms(_probes(spark, sf_dir), most)
-    indexed = S.index(_nodes(spark, sf_dir), terms)
-    return S.postings(indexed), terms, S.corpus_stats(indexed)
+    return stored(S.counted(_nodes(spark, sf_dir), terms)), terms
 
 
 @query(f"WITH {_POST} SELECT * FROM (SELECT probe, id, n_terms, round(bm25, 6) AS score, row_number() OVER (PARTITION BY probe ORDER BY round(bm25, 6) DESC, id) AS rank FROM hit) WHERE rank <= 20")
 def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, terms, corpus = _index(spark, sf_dir)
-    return S.bm25_top(post, stored(S.weighed(post, terms, corpus)), 20)
+    nodes, terms = _counted(spark, sf_dir)
+    nodes = S.one_an_id(nodes)
+    return S.bm25_best(nodes, S.weights_of(nodes, terms).withColumn("need", F.lit(1)), 20)
 
 
 _BM25 = "sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))"
@@ -108,8 +108,8 @@ structured AS (SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTIT
 @query(f"WITH {_POST}, {_structured(20)} SELECT * FROM structured")
 def bm25_strict_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of the first four terms weigh 0.7 and any of the first twelve 0.3; any alone where nothing has all four."""
-    post, terms, corpus = _index(spark, sf_dir, 12)
-    return S.structured(post, terms.where("place < 4"), terms.where("place >= 4"), corpus, 20)
+    nodes, terms = _counted(spark, sf_dir, 12)
+    return S.structured(nodes, terms.where("place < 4"), terms.where("place >= 4"), 20)
 
 
 @query(f"""
