@@ -113,11 +113,11 @@ def bm25_strict_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_POST}, need AS (SELECT probe, count(*) AS k FROM pterm GROUP BY probe)
+WITH {_POST.replace(" WHERE r <= 16", "")}, need AS (SELECT probe, count(*) AS k FROM pterm GROUP BY probe)
 SELECT * FROM (SELECT probe, id, round(n_terms / k, 6) AS score, row_number() OVER (PARTITION BY probe ORDER BY n_terms DESC, id) AS rank FROM hit JOIN need USING (probe)) WHERE rank <= 20
 """)
 def entity_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a probe's entities (its terms) that a node names."""
+    """Share of a probe's entities (all of its terms) that a node names."""
     terms = S.probe_terms(_probes(spark, sf_dir))
     found = X.most_common(_nodes(spark, sf_dir), terms, 20).join(F.broadcast(terms.groupBy("probe").agg(F.count("*").alias("k"))), "probe")
     return found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
@@ -182,7 +182,7 @@ SELECT * FROM (SELECT probe, id, score, row_number() OVER (PARTITION BY probe OR
 """)
 def lexical_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a probe's tokens that a node has; equal shares of one probe are equal numbers of tokens."""
-    terms = S.probe_terms(_probes(spark, sf_dir), 1 << 30)
+    terms = S.probe_terms(_probes(spark, sf_dir))
     found = X.most_common(_nodes(spark, sf_dir), terms, 10).join(F.broadcast(terms.groupBy("probe").agg(F.count("*").alias("k"))), "probe")
     return found.select("probe", "id", F.round(F.col("n") / F.col("k"), 6).alias("score"), "rank")
 
@@ -196,7 +196,7 @@ SELECT probe, id, CAST(max(score) AS DOUBLE) AS score FROM x JOIN t USING (term)
 def exact_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the names in each document mention each probe's terms, all of them."""
     names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][A-Za-z0-9_-]+)"), F.lit(1)), F.lower))
-    return S.mentioned(S.probe_terms(_probes(spark, sf_dir), 1 << 30), _nodes(spark, sf_dir).select("id", names.alias("names")))
+    return S.mentioned(S.probe_terms(_probes(spark, sf_dir)), _nodes(spark, sf_dir).select("id", names.alias("names")))
 
 
 @query(f"""

@@ -61,6 +61,13 @@ def test_best_nodes_are_cut_in_the_tasks_that_read_them(spark, data, name):
     assert "MapInArrow" in found and "hashpartitioning(term" not in found and "hashpartitioning(probe#, id" not in re.sub(r"#\d+L?", "#", found)
 
 
+def test_entities_are_all_terms_of_a_probe(spark, tmp_path):
+    spark.createDataFrame([(1, "w0 w1"), (2, "w17 w18 w19"), (3, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = registry.queries()["entity_match_topk"](spark, str(tmp_path)).collect()
+    assert sorted((r["probe"], r["id"], r["score"], r["rank"]) for r in found) == [(7, 1, 0.1, 2), (7, 2, 0.15, 1)]
+
+
 def test_hash_embedding_like_a_loop(spark):
     cells = defaultdict(int)
     for i, text in [*TEXTS, (2, "again red")]:
