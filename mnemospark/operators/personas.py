@@ -23,9 +23,10 @@ HISTORY = "persona long, session int, attribute string, before string, after str
 
 
 def calendar(spark: SparkSession, seeds: DataFrame, months: int = 47) -> DataFrame:
-    """persona, session and date: one session a month from February 2022, its day by hash."""
-    at = seeds.select("persona", F.posexplode(F.sequence(F.lit("2022-02-01").cast("date"), F.add_months(F.lit("2022-02-01").cast("date"), months - 1), F.expr("INTERVAL 1 MONTH"))).alias("session", "month"))
-    return at.select("persona", "session", F.date_add("month", F.floor(hash_unit(F.col("persona"), F.col("session"), F.lit("day")) * 28).cast("int")).alias("date"))
+    """session and date for each of seeds (persona and other columns, which stay): one session a month from February 2022, its
+    day by hash. Planners take the sessions for as few as the seeds; so no join should follow that may broadcast them."""
+    at = seeds.select("*", F.posexplode(F.sequence(F.lit("2022-02-01").cast("date"), F.add_months(F.lit("2022-02-01").cast("date"), months - 1), F.expr("INTERVAL 1 MONTH"))).alias("session", "month"))
+    return at.select(*seeds.columns, "session", F.date_add("month", F.floor(hash_unit(F.col("persona"), F.col("session"), F.lit("day")) * 28).cast("int")).alias("date"))
 
 
 def simulate(sessions: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def reveal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of seven attributes over 47 months of every person's life."""
-    people = _people(spark, sf_dir)
-    return G.lives(P.calendar(spark, people.select("persona")).join(people, "persona"))
+    people = dealt(_people(spark, sf_dir).where("persona IS NOT NULL"), "persona")
+    return G.lives(P.calendar(spark, people))
 
 
 @query(f"""

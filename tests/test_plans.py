@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from mnemospark.operators import personas as P
 from mnemospark.plans import registry
 
 QUERIES = registry.queries()
@@ -74,3 +75,14 @@ def test_equally_near_suppliers_go_by_id(spark, tmp_path):
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     want = con.execute(registry.oracle_sql()["nearest_same_type"]).fetchall()
     assert sorted(map(tuple, QUERIES["nearest_same_type"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_lives_broadcast_no_sessions(spark, data):
+    found = plan(QUERIES["full_lives"](spark, data))
+    assert "Join" not in found and "BroadcastExchange" not in found
+
+
+def test_calendar_keeps_what_is_known_of_people(spark):
+    seeds = spark.createDataFrame([(1, "a"), (2, "b")], "persona long, name string")
+    own = P.calendar(spark, seeds)
+    assert sorted(own.collect()) == sorted(P.calendar(spark, seeds.select("persona")).join(seeds, "persona").select(*own.columns).collect())
